@@ -41,3 +41,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def text_of(df: DataFrame, column: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(df[column].cast("string"), F.lit(""))
+
+
+def let(value, body):
+    """``body`` of a value that is worked out once, also where ``body`` uses it within a lambda."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
