@@ -46,3 +46,9 @@ def text_of(df: DataFrame, column: str = "text"):
 def let(value, body):
     """``body`` of a value that is worked out once, also where ``body`` uses it within a lambda."""
     return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete a folder that ``cut`` or ``new_folder`` made and that no later step reads."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

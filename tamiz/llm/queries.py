@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import decontaminate, langid, licenses, packing, quality, secrets, sharding, simhash, warc
+from tamiz.llm import decontaminate, langid, licenses, packing, quality, secrets, sharding, simhash, suffixes, warc
 from tamiz.llm.common import cut, new_folder, table
 
 
@@ -39,6 +39,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
 
+def op6_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.remove_repeats(table(spark, sf_dir, "documents"))
+
+
 def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan(table(spark, sf_dir, "documents"))
 
@@ -58,6 +62,6 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_licenses, op2_archives, op3_decontaminate, op4_packing, op5_language, op7_secrets, op8_shards, op9_quality, op10_simhash)
+    f.__name__: f for f in (op1_licenses, op2_archives, op3_decontaminate, op4_packing, op5_language, op6_repeats, op7_secrets, op8_shards, op9_quality, op10_simhash)
 }
 ORACLES: dict[str, str] = {}

@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from tamiz.llm import decontaminate, langid, licenses, packing, quality, queries, secrets, sharding, simhash, warc
+from tamiz.llm import decontaminate, langid, licenses, packing, quality, queries, secrets, sharding, simhash, suffixes, warc
 from tamiz.llm.components import components
 
 TOKENIZER = queries.tokenizer_path()
@@ -450,3 +450,53 @@ def test_archives_odd_rows(spark, tmp_path):
 
 def test_queries_are_json_safe():
     json.dumps(sorted(queries.QUERIES))
+
+
+# repeated strings
+
+
+def without_repeats(texts):
+    at = defaultdict(list)
+    for k, t in enumerate(texts):
+        for p in range(len(t) - 199):
+            at[t[p : p + 200]].append((k, p))
+    gone = [np.zeros(len(t), bool) for t in texts]
+    for places in at.values():
+        if len(places) > 1:
+            for k, p in places:
+                gone[k][p : p + 200] = True
+    out = []
+    for t, g in zip(texts, gone, strict=True):
+        edges = np.diff(np.concatenate(([0], g.astype(int), [0])))
+        out.append((len(t), int(g.sum()), int((edges == 1).sum()), hashlib.sha256(np.frombuffer(t, np.uint8)[~g].tobytes()).hexdigest()))
+    return out
+
+
+def check_repeats(spark, texts, **more):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffixes.remove_repeats(df, **more).collect()}
+    want = without_repeats([(t or "").encode() for t in texts])
+    assert {k: v for k, v in enumerate(want) if got[k] != v} == {} and len(got) == len(texts)
+
+
+def test_repeats_match_brute_force(spark, small):
+    check_repeats(spark, [r.text for r in docs_of(spark, small).select("text").collect()])
+
+
+def test_repeats_at_every_edge(spark):
+    r = np.random.default_rng(7)
+    text = lambda n: "".join(map(chr, r.integers(97, 123, n)))
+    passage = text(700)
+    texts = [text(int(r.integers(0, 300))) + passage[a:b] + text(int(r.integers(0, 300))) for a, b in np.sort(r.integers(0, 700, (60, 2)), axis=1).tolist()]
+    texts += ["ab" * 300, "é" * 150 + passage, "x" * 199, "x" * 200, "x" * 201, "", None, passage * 2, "ab" * 150 + text(30)]
+    edited = list(passage)
+    for k in (100, 333, 520):
+        edited[k] = "#"
+    texts.append("".join(edited))
+    check_repeats(spark, texts, batches=3)
+
+
+def test_repeats_odd_rows(odd):
+    got = suffixes.remove_repeats(odd, with_text=True).collect()
+    assert len(got) == 10 and sum(r.n_removed for r in got if r.doc_id != 6) == 0 or all(r.n_bytes == r.n_removed + len(r.kept) for r in got)
+    assert suffixes.remove_repeats(empty(odd)).count() == 0
