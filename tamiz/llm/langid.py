@@ -172,39 +172,58 @@ def sample(docs: DataFrame, per_language: int = 500, snippets: int = 4, most_lan
     return [x[3].encode()[:WINDOW] for x in found], [names.index(x[2]) for x in found], names
 
 
+def pooled(w: dict, texts: list[bytes]) -> np.ndarray:
+    """(texts, languages): the mean over each text's positions."""
+    codes, lengths, counts = windows_of(texts)
+    sums = np.zeros((len(texts), len(w["b"])))
+    owner = np.repeat(np.arange(len(texts)), counts)
+    for k in range(0, len(codes), SIDE):
+        p = position_probabilities(w, np.ascontiguousarray(codes[k : k + SIDE].T).astype(np.intp))
+        own, length = owner[k : k + SIDE], lengths[k : k + SIDE]
+        for j in np.flatnonzero(length < WINDOW):
+            p[length[j] :, :, j] = 0
+        per = p.sum(axis=0)
+        for j in range(sums.shape[1]):
+            sums[:, j] += np.bincount(own, per[j], len(texts))
+    return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
+
+
+def _probabilities(w: dict, column: pa.Array) -> np.ndarray:
+    """``pooled`` over a column, a few MB of texts at a time (or one longer text)."""
+    out, held, size = [], [], 0
+    for x in column.cast(pa.binary()):
+        held.append(x.as_py() or b"")
+        size += len(held[-1])
+        if size > 4 * SIDE * WINDOW:
+            out.append(pooled(w, held))
+            held, size = [], 0
+    return np.concatenate([*out, pooled(w, held)])
+
+
 def _predictor(shared):
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         w, names = shared.value
+        for batch in batches:
+            p = _probabilities(w, batch.column(1))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([names[k] for k in p.argmax(axis=1)], pa.string()), pa.array(p.max(axis=1))], ["doc_id", "letters", "best", "score"])
+
+    return predict
 
-        def pooled(texts: list[bytes]) -> np.ndarray:
-            codes, lengths, counts = windows_of(texts)
-            sums = np.zeros((len(texts), len(names)))
-            owner = np.repeat(np.arange(len(texts)), counts)
-            for k in range(0, len(codes), SIDE):
-                p = position_probabilities(w, np.ascontiguousarray(codes[k : k + SIDE].T).astype(np.intp))
-                own, length = owner[k : k + SIDE], lengths[k : k + SIDE]
-                for j in np.flatnonzero(length < WINDOW):
-                    p[length[j] :, :, j] = 0
-                per = p.sum(axis=0)
-                for j in range(len(names)):
-                    sums[:, j] += np.bincount(own, per[j], len(texts))
-            return sums / np.maximum(sums.sum(axis=1, keepdims=True), 1e-9)
 
+def _keeper(shared, least: float):
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        w, _ = shared.value
         for batch in batches:
-            texts, held, out = [x.as_py() or b"" for x in batch.column(1).cast(pa.binary())], [], []
-            size = 0
-            for text in texts:
-                held.append(text)
-                size += len(text)
-                if size > 4 * SIDE * WINDOW:
-                    out.append(pooled(held))
-                    held, size = [], 0
-            out.append(pooled(held))
-            p = np.concatenate(out)
-            best = p.argmax(axis=1)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([names[k] for k in best]), pa.array(p.max(axis=1))], ["doc_id", "letters", "best", "score"])
+            p = _probabilities(w, batch.column(batch.schema.get_field_index("text")))
+            yield batch.filter(pa.array(p.max(axis=1) >= least))
 
-    return predict
+    return keep
+
+
+def _model(docs: DataFrame, per_language: int, steps: int):
+    """The trained network and its languages, broadcast; None if nothing is labelled. A few kB."""
+    snippets, wanted, names = sample(docs, per_language)
+    return docs.sparkSession.sparkContext.broadcast((train(snippets, wanted, len(names), steps), names)) if names else None
 
 
 def identify(docs: DataFrame, per_language: int = 500, steps: int = 400) -> DataFrame:
@@ -213,10 +232,9 @@ def identify(docs: DataFrame, per_language: int = 500, steps: int = 400) -> Data
     ``und`` with score 0 if the text is null, has no letter, or if no row is labelled. Ties go to the first language by name. Repeated
     rows are predicted each; an empty table gives no rows; further columns are not read.
     """
-    snippets, wanted, names = sample(docs, per_language)
+    shared = _model(docs, per_language, steps)
     plain = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
-    if names:
-        shared = docs.sparkSession.sparkContext.broadcast((train(snippets, wanted, len(names), steps), names))
+    if shared:
         found = plain.mapInArrow(_predictor(shared), "doc_id long, letters boolean, best string, score double")
     else:
         found = plain.select("doc_id", F.lit(False).alias("letters"), F.lit(UNKNOWN).alias("best"), F.lit(0.0).alias("score"))
@@ -224,7 +242,11 @@ def identify(docs: DataFrame, per_language: int = 500, steps: int = 400) -> Data
     return found.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), F.when(sure, F.col("best")).otherwise(UNKNOWN).alias("lang_pred"), F.when(sure, F.col("score")).otherwise(0.0).alias("score"))
 
 
-def keep_identified(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """``docs`` whose language is identified with a score of at least ``least``, all columns unchanged."""
-    sure = identify(docs).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select("doc_id").distinct()
-    return docs.join(sure, "doc_id", "left_semi").select(*docs.columns)
+def keep_identified(docs: DataFrame, least: float = 0.5, per_language: int = 500, steps: int = 400) -> DataFrame:
+    """``docs`` whose language is identified with a score of at least ``least``; rows and columns that stay are unchanged.
+
+    Rows that ``identify`` gives ``und`` go. Nothing is shuffled. If no row is labelled, no language is known and all rows go.
+    """
+    shared = _model(docs, per_language, steps)
+    some = docs.where(F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
+    return some.mapInArrow(_keeper(shared, least), docs.schema) if shared else docs.limit(0)
