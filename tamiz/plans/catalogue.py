@@ -1,4 +1,300 @@
-"""All registered queries of the library's own operators, with their SQL."""
+"""The registered queries of the library's own operators and, for each, SQL that gives the same rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tamiz.functions import numbers, text
+from tamiz.operators import audit, linkage, retrieval
+from tamiz.session import load
 
 QUERIES: dict = {}
 ORACLES: dict = {}
+
+#: DuckDB's spelling of the white-space split and of the word tokens.
+_WORDS = r"list_filter(regexp_split_to_array(text, '\s+'), lambda w: w <> '')"
+_TOKENS = r"list_transform(regexp_extract_all(text, '[\p{L}\p{N}_]+'), lambda w: lower(w))"
+
+
+def query(sql: str | None = None):
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return register
+
+
+_SPANS = f"""(SELECT doc_id, k AS ordinal, k * 275 AS start, least(k * 275 + 320, n) AS "end" FROM
+  (SELECT doc_id, n, unnest(range(0, CASE WHEN n >= 40 THEN (n - 40) // 275 + 1 ELSE 0 END)) AS k FROM (SELECT doc_id, len({_WORDS}) AS n FROM documents))
+  WHERE k = 0 OR (k - 1) * 275 + 320 < n)"""
+
+
+@query(f"SELECT doc_id, ordinal, start, \"end\" FROM {_SPANS}")
+def chunk_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.chunk_spans(load(spark, sf, "documents"))
+
+
+@query(f"""SELECT s.doc_id, ordinal, sha256(array_to_string(list_slice(w, start + 1, "end"), ' ')) AS text_sha256 FROM {_SPANS} s JOIN (SELECT doc_id, {_WORDS} AS w FROM documents) d ON s.doc_id = d.doc_id""")
+def chunk_texts(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.chunks(load(spark, sf, "documents")).select("doc_id", "ordinal", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"SELECT source AS document_id, doc_id AS page, length(coalesce(text, '')) AS characters, len({_WORDS}) AS words FROM documents")
+def page_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), F.length(F.coalesce("text", F.lit(""))).alias("characters"), text.word_count(F.col("text")).alias("words"))
+
+
+_LAYER = f"""(SELECT doc_id, source, c AS chars, w AS words, CASE WHEN c >= 180 AND w < 40 AND (w = 0 OR c > 25 * w) THEN 'glued' WHEN c >= 180 THEN 'digital' WHEN c <= 25 THEN 'scanned' ELSE 'sparse' END AS layer
+  FROM (SELECT doc_id, source, length(coalesce(text, '')) AS c, len({_WORDS}) AS w FROM documents))"""
+
+
+def _layers(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", "source", F.length(F.coalesce("text", F.lit(""))).alias("chars"), text.word_count(F.col("text")).alias("words"))
+    return docs.withColumn("layer", numbers.text_layer(F.col("chars"), F.col("words")))
+
+
+@query(f"SELECT doc_id, layer FROM {_LAYER}")
+def text_layer_labels(spark: SparkSession, sf: str) -> DataFrame:
+    return _layers(spark, sf).select("doc_id", "layer")
+
+
+@query(f"""SELECT source, layer, total AS n FROM (SELECT source, layer, sum(n) OVER (PARTITION BY source) AS total,
+  row_number() OVER (PARTITION BY source ORDER BY n DESC, list_position(['scanned', 'glued', 'sparse', 'digital'], layer)) AS k FROM (SELECT source, layer, count(*) AS n FROM {_LAYER} GROUP BY 1, 2)) WHERE k = 1""")
+def document_layer(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.majority(_layers(spark, sf), ["source"], "layer", ["scanned", "glued", "sparse", "digital"])
+
+
+@query(f"""SELECT source, n_pages, n_missing, least(1000, CAST(round_even(1000.0 * n_missing / n_pages, 0) AS BIGINT)) AS estimate FROM (SELECT source, count(*) AS n_pages, count(*) FILTER (layer <> 'digital') AS n_missing FROM {_LAYER} GROUP BY 1)""")
+def sampled_gap_estimate(spark: SparkSession, sf: str) -> DataFrame:
+    found = _layers(spark, sf).groupBy("source").agg(F.count("*").alias("n_pages"), F.sum((F.col("layer") != "digital").cast("int")).alias("n_missing"))
+    return found.withColumn("estimate", numbers.gap_estimate(F.lit(1000), F.col("n_missing"), F.col("n_pages")))
+
+
+_BM25 = f"""(WITH q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT item_id, unnest({_TOKENS}) AS term FROM benchmark) WHERE length(term) > 2),
+  d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
+  tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
+  df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
+  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+    SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+    FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN s GROUP BY 1, 2))"""
+
+
+def _lexical(spark: SparkSession, sf: str, limit: int) -> DataFrame:
+    return retrieval.bm25(load(spark, sf, "documents"), load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), limit)
+
+
+@query(f"SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM {_BM25} WHERE rank <= 10")
+def bm25_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _lexical(spark, sf, 10)
+
+
+def _dense(spark: SparkSession, sf: str, limit: int) -> DataFrame:
+    vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    return retrieval.dense(vectors, vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), limit)
+
+
+_DENSE = """(SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0))"""
+
+
+@query(f"SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM {_DENSE} WHERE rank <= 10")
+def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
+    return _dense(spark, sf, 10)
+
+
+def _fused(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.fuse(_dense(spark, sf, 100), _lexical(spark, sf, 100))
+
+
+_FUSED = f"""(SELECT query_id, doc_id, dense_rank, lexical_rank, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST) AS rank FROM (
+  SELECT query_id, doc_id, a.rank AS dense_rank, b.rank AS lexical_rank, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score
+  FROM (SELECT * FROM {_DENSE} WHERE rank <= 100) a FULL JOIN (SELECT * FROM {_BM25} WHERE rank <= 100) b USING (query_id, doc_id)))"""
+
+
+@query(f"SELECT query_id, doc_id, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank, score, CAST(rank AS INT) AS rank FROM {_FUSED} WHERE rank <= 20")
+def rrf_fusion(spark: SparkSession, sf: str) -> DataFrame:
+    return _fused(spark, sf).where("rank <= 20")
+
+
+@query(f"""SELECT query_id, doc_id, source, CAST(position AS INT) AS position FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM (
+  SELECT f.*, source, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM {_FUSED} f JOIN documents USING (doc_id)) WHERE k <= 2) WHERE position <= 5""")
+def diversified_topk(spark: SparkSession, sf: str) -> DataFrame:
+    with_source = _fused(spark, sf).join(load(spark, sf, "documents").select("doc_id", "source"), "doc_id")
+    return retrieval.diversify(with_source, "source", 5, 2).select("query_id", "doc_id", "source", "position")
+
+
+def _gold(spark: SparkSession, sf: str) -> DataFrame:
+    """Items that occur verbatim in a document; the stated query set goes to all tasks."""
+    items = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
+    docs = load(spark, sf, "documents").select("doc_id", "text")
+    met = docs.join(F.broadcast(items), F.contains("text", F.col("item"))).select("query_id", F.col("doc_id").alias("document_id"))
+    return met.withColumns({"page_start": F.lit(1), "page_end": F.lit(1), "relevance": F.lit(1)})
+
+
+_GOLD = "(SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+
+
+@query(f"SELECT query_id, doc_id AS document_id, CASE WHEN g.doc_id IS NULL THEN 'unjudged' ELSE 'positive' END AS judgment FROM (SELECT * FROM {_BM25} WHERE rank <= 5) LEFT JOIN {_GOLD} g USING (query_id, doc_id)")
+def retrieval_judgments(spark: SparkSession, sf: str) -> DataFrame:
+    results = _lexical(spark, sf, 5).select("query_id", F.col("doc_id").alias("document_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"))
+    return retrieval.judge(results, _gold(spark, sf)).select("query_id", "document_id", "judgment")
+
+
+@query(f"""WITH g AS {_GOLD}, n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1), r AS (SELECT query_id, rank FROM {_BM25} JOIN g USING (query_id, doc_id) WHERE rank <= 5)
+  SELECT query_id, CAST(coalesce(min(rank) <= 3, false) AS INT) AS hit_at_3, coalesce(round(1.0::DOUBLE / min(rank), 6), 0) AS mrr,
+  round(coalesce(sum(1.0::DOUBLE / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(any_value(n), 5) + 1), lambda k: 1.0::DOUBLE / log2(k + 1))), 6) AS ndcg_at_5 FROM n LEFT JOIN r USING (query_id) GROUP BY query_id""")
+def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    results = _lexical(spark, sf, 5).select("query_id", F.col("doc_id").alias("document_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "rank")
+    return retrieval.metrics(results, _gold(spark, sf))
+
+
+@query(f"""WITH a AS (SELECT query_id, document_id, min(rank) AS best_rank, string_agg(mode, '|' ORDER BY mode DESC) AS seen_in_modes FROM (
+  SELECT query_id, doc_id AS document_id, rank, 'lexical' AS mode FROM {_BM25} WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank, 'dense' FROM {_DENSE} WHERE rank <= 5) GROUP BY 1, 2)
+  SELECT a.query_id, document_id, seen_in_modes, CAST(best_rank AS INT) AS best_rank, CASE WHEN g.doc_id IS NULL THEN 'unjudged' ELSE 'positive' END AS judgment FROM a LEFT JOIN {_GOLD} g ON a.query_id = g.query_id AND a.document_id = g.doc_id""")
+def retrieval_pool(spark: SparkSession, sf: str) -> DataFrame:
+    of = lambda df, mode: df.select("query_id", F.col("doc_id").alias("document_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "rank", F.lit(mode).alias("mode"))
+    both = of(_lexical(spark, sf, 5), "lexical").unionByName(of(_dense(spark, sf, 5), "dense"))
+    return retrieval.pool(both, _gold(spark, sf)).select("query_id", "document_id", "seen_in_modes", "best_rank", "judgment")
+
+
+_TOP = f"""(SELECT query_id, label AS answerable, max(score) AS top FROM (SELECT query_id, score, (q.label = d.label)::INT AS label FROM {_DENSE} x JOIN embeddings q ON q.vec_id = query_id JOIN embeddings d ON d.vec_id = doc_id WHERE query_id <> doc_id) GROUP BY 1, 2)"""
+
+
+@query(f"""WITH t AS {_TOP}, s AS (SELECT answerable, count(*) AS n, min(top) AS lo, list_extract(list_sort(list(top)), count(*) // 2 + 1) AS med, max(top) AS hi FROM t GROUP BY 1)
+  SELECT CAST(a.n AS BIGINT) AS questions, CAST(u.n AS BIGINT) AS controls, a.lo AS answerable_min, a.med AS answerable_median, a.hi AS answerable_max, u.lo AS unanswerable_min, u.med AS unanswerable_median, u.hi AS unanswerable_max,
+  round(CASE WHEN a.lo > u.hi THEN (a.lo + u.hi) / 2 ELSE a.lo END, 6) AS min_top_score, round(a.lo - u.hi, 6) AS gap, a.lo > u.hi AS separable FROM s a, s u WHERE a.answerable = 1 AND u.answerable = 0""")
+def calibration_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Queries' best score among vectors of their label (answerable) and of others (controls)."""
+    v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
+    q = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), numbers.unit(F.col("v")).alias("qv"), F.col("label").alias("q_label"))
+    met = v.join(F.broadcast(q), F.col("doc_id") != F.col("query_id")).select("query_id", (F.col("label") == F.col("q_label")).alias("answerable"), F.round(numbers.dot(numbers.unit(F.col("v")), F.col("qv")), 6).alias("score"))
+    top = met.groupBy("query_id", "answerable").agg(F.max("score").alias("top"))
+    own = lambda x, name: top.where("answerable" if x else "not answerable").agg(F.count("*").alias(name), F.min("top").alias("lo"), audit.upper_median("top").alias("med"), F.max("top").alias("hi"))
+    a = own(True, "questions").select("questions", F.col("lo").alias("answerable_min"), F.col("med").alias("answerable_median"), F.col("hi").alias("answerable_max"))
+    u = own(False, "controls").select("controls", F.col("lo").alias("unanswerable_min"), F.col("med").alias("unanswerable_median"), F.col("hi").alias("unanswerable_max"))
+    both = a.join(F.broadcast(u)).withColumn("t", numbers.threshold(F.col("answerable_min"), F.col("unanswerable_max")))
+    return both.select(*a.columns, *u.columns, F.round("t.min_top_score", 6).alias("min_top_score"), F.round("t.gap", 6).alias("gap"), "t.separable")
+
+
+_SENTENCES = r"""(SELECT doc_id, s, generate_subscripts AS k FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-ZÁÉÍÓÚÑ¿¡"“«])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)))"""
+
+
+@query(rf"""SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 8 AND NOT ends_with(s, '?')) AS n_evidence FROM {_SENTENCES} GROUP BY 1""")
+def evidence_sentences(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", F.explode(text.sentences(F.col("text"))).alias("s"))
+    return docs.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(text.is_evidence(F.col("s")).cast("int")).alias("n_evidence"))
+
+
+@query(r"SELECT conv_id, turn, len(regexp_extract_all(text, '\[(\d+)\]', 1)) AS n_markers, len(list_filter(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: CAST(x AS INT) NOT BETWEEN 1 AND 5)) AS n_invalid FROM conversations WHERE role = 'assistant'")
+def citation_problems(spark: SparkSession, sf: str) -> DataFrame:
+    marks = text.citations(F.col("text"))
+    turns = load(spark, sf, "conversations").where("role = 'assistant'")
+    return turns.select("conv_id", "turn", F.size(marks).alias("n_markers"), F.size(F.filter(marks, lambda x: (x < 1) | (x > 5))).alias("n_invalid"))
+
+
+def _merged(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.with_indicator(load(spark, sf, "documents").select("doc_id", "lang", "source", "n_chars"), load(spark, sf, "labels"), ["doc_id"])
+
+
+@query("SELECT lang, count(*) AS n_rows, count(l.doc_id) AS n_matched, round(count(l.doc_id) / count(*), 6) AS match_rate FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang")
+def merge_audit_rates(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.rates(_merged(spark, sf), ["lang"])
+
+
+@query("SELECT CASE WHEN l.doc_id IS NULL THEN 'left_only' ELSE 'both' END AS merge, count(*) AS n FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY 1")
+def merge_indicator_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return _merged(spark, sf).groupBy(F.col("_merge").alias("merge")).agg(F.count("*").alias("n"))
+
+
+@query("""SELECT lang, round(avg(n_chars), 6) AS mean_all, round(avg(n_chars) FILTER (l.doc_id IS NOT NULL), 6) AS mean_matched, round(avg(n_chars) - avg(n_chars) FILTER (l.doc_id IS NOT NULL), 6) AS gap FROM documents d LEFT JOIN labels l USING (doc_id) GROUP BY lang""")
+def merge_gap(spark: SparkSession, sf: str) -> DataFrame:
+    every, some = F.avg("n_chars"), F.avg(F.when(F.col("_merge") == "both", F.col("n_chars")))
+    return _merged(spark, sf).groupBy("lang").agg(F.round(every, 6).alias("mean_all"), F.round(some, 6).alias("mean_matched"), F.round(every - some, 6).alias("gap"))
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
+def coverage_semi(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "orders").select("o_orderkey").join(load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
+
+
+@query("SELECT o_orderkey FROM orders WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem)")
+def coverage_anti(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "orders").select("o_orderkey").join(load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_anti")
+
+
+@query("SELECT l_orderkey, l_linenumber, count(*) AS n FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1")
+def key_violations(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.duplicates(load(spark, sf, "lineitem"), ["l_orderkey", "l_linenumber"])
+
+
+@query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
+def dedup_first_wins(spark: SparkSession, sf: str) -> DataFrame:
+    docs = load(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+
+
+@query()
+def dedup_multikey(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with two keys from the documents: the first words as title, and a hash of length as id, in blocks per source and hundred documents."""
+    docs = load(spark, sf, "documents").select(
+        F.concat_ws("/", "source", F.floor(F.col("doc_id") / 2000).cast("string")).alias("block"), F.col("doc_id").alias("position"),
+        F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("10.1000/"), F.substring("text", 1, 12))).alias("doi"), F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("W"), F.col("n_chars"))).alias("id"), F.substring("text", 1, 30).alias("title"),
+    )
+    return linkage.dedup(docs, "block")
+
+
+@query("SELECT o_custkey AS c_custkey, 'new' AS c_mktsegment FROM (SELECT DISTINCT o_custkey FROM orders WHERE o_totalprice > 200000) UNION ALL SELECT c_custkey, c_mktsegment FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
+def ledger_upsert(spark: SparkSession, sf: str) -> DataFrame:
+    pending = load(spark, sf, "orders").where("o_totalprice > 200000").select(F.col("o_custkey").alias("c_custkey")).distinct().withColumn("c_mktsegment", F.lit("new"))
+    return audit.upsert(load(spark, sf, "customer").select("c_custkey", "c_mktsegment"), pending, ["c_custkey"])
+
+
+@query("""SELECT coalesce(c_custkey, o_custkey) AS c_custkey, CASE WHEN n IS NOT NULL AND (c_custkey IS NULL OR c_mktsegment = 'BUILDING') THEN n ELSE c_mktsegment END AS c_mktsegment
+  FROM customer FULL JOIN (SELECT o_custkey, CAST(count(*) AS VARCHAR) AS n FROM orders GROUP BY 1) ON c_custkey = o_custkey""")
+def override_merge(spark: SparkSession, sf: str) -> DataFrame:
+    pending = load(spark, sf, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.count("*").cast("string").alias("c_mktsegment"))
+    return audit.override(load(spark, sf, "customer").select("c_custkey", "c_mktsegment"), pending, ["c_custkey"], F.col("c_mktsegment") == "BUILDING")
+
+
+@query(rf"SELECT doc_id FROM (SELECT doc_id, lang, {_TOKENS} AS t FROM documents) WHERE lang = 'en' AND list_has_any(t, ['thing', 'nation', 'reason', 'heat'])")
+def keyword_filter(spark: SparkSession, sf: str) -> DataFrame:
+    terms = F.array(*map(F.lit, ("thing", "nation", "reason", "heat")))
+    return load(spark, sf, "documents").where("lang = 'en'").where(F.arrays_overlap(F.transform(text.tokens(F.col("text")), F.lower), terms)).select("doc_id")
+
+
+@query("""SELECT conv_id, turn, round(e - d, 6) AS start_s, round(e, 6) AS end_s FROM (SELECT conv_id, turn, d, sum(d) OVER w + 0.4::DOUBLE * (row_number() OVER w - 1) AS e
+  FROM (SELECT conv_id, turn, length(coalesce(text, '')) / 10.0::DOUBLE AS d FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))""")
+def turn_timeline(spark: SparkSession, sf: str) -> DataFrame:
+    turns = load(spark, sf, "conversations").select("conv_id", "turn", (F.length(F.coalesce("text", F.lit(""))) / 10.0).alias("d"))
+    return audit.timeline(turns, "conv_id", "turn", F.col("d")).select("conv_id", "turn", "start_s", "end_s")
+
+
+@query(r"""SELECT doc_id, line, last_value(CASE WHEN length(l) < 20 THEN l END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line ROWS UNBOUNDED PRECEDING) AS section
+  FROM (SELECT doc_id, unnest(range(0, len(a))) AS line, unnest(a) AS l FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM documents))""")
+def section_fill(spark: SparkSession, sf: str) -> DataFrame:
+    lines = load(spark, sf, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "l"))
+    return audit.forward_fill(lines, "doc_id", "line", F.when(F.length("l") < 20, F.col("l")), "section").select("doc_id", F.col("line").cast("long").alias("line"), "section")
+
+
+@query("""SELECT event_id, n_calls, n_click, n_calls <= 6 AND (event_type <> 'click' OR n_click <= 3) AS within FROM (SELECT event_id, event_type, count(*) OVER w AS n_calls, CAST(sum((event_type = 'click')::INT) OVER w AS BIGINT) AS n_click
+  FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))""")
+def session_budget(spark: SparkSession, sf: str) -> DataFrame:
+    return audit.budget(load(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type"), {"click": 3}, 6).select("event_id", "n_calls", "n_click", "within")
+
+
+@query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
+def trace_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
+
+
+@query(rf"SELECT doc_id, array_to_string(list_transform(list_slice({_WORDS}, 1, 40), lambda w: w), ' ') || CASE WHEN len({_WORDS}) > 40 THEN ' …' ELSE '' END AS quote, array_to_string(list_slice({_WORDS}, 1, 24), ' ') || ' …' AS preview FROM documents")
+def clipped_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents").select("doc_id", text.clip(F.col("text")).alias("quote"), text.preview(F.col("text")).alias("preview"))
+
+
+@query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM part")
+def title_keys(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "part").select("p_partkey", text.title_key(F.col("p_name")).alias("title_key"))
