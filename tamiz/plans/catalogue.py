@@ -179,7 +179,7 @@ def calibration_summary(spark: SparkSession, sf: str) -> DataFrame:
     return both.select(*a.columns, *u.columns, F.round("t.min_top_score", 6).alias("min_top_score"), F.round("t.gap", 6).alias("gap"), "t.separable")
 
 
-_SENTENCES = r"""(SELECT doc_id, s, generate_subscripts AS k FROM (SELECT doc_id, unnest(l) AS s, generate_subscripts(l, 1) FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-ZÁÉÍÓÚÑ¿¡"“«])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents)))"""
+_SENTENCES = r"""(SELECT doc_id, unnest(l) AS s FROM (SELECT doc_id, list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), '([.!?])\s+([A-ZÁÉÍÓÚÑ¿¡"“«])', '\1' || chr(30) || '\2', 'g'), chr(30)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS l FROM documents))"""
 
 
 @query(rf"""SELECT doc_id, count(*) AS n_sentences, count(*) FILTER (len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 8 AND NOT ends_with(s, '?')) AS n_evidence FROM {_SENTENCES} GROUP BY 1""")
