@@ -23,8 +23,8 @@ from tamiz.llm.components import components
 
 BITS, MAX_BITS, POSITIONS, SHARED = 64, 3, 8, 5
 SEED = 42
-#: Shingles whose bits are counted at a time: bounds the unpacked bits to 8 MB.
-BLOCK = 1 << 17
+#: The bits of each byte, lowest first: counts of bytes times this are counts of bits.
+_BITS_OF = np.array([[c >> b & 1 for b in range(8)] for c in range(256)], np.int64)
 
 
 def fingerprint_of(text: bytes | None, size: int = 3) -> int:
@@ -40,10 +40,8 @@ def fingerprint_of(text: bytes | None, size: int = 3) -> int:
     digest = xxhash.xxh64_intdigest
     n = len(starts)
     hashes = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts, ends[size - 1 :].tolist(), strict=True)), np.uint64, n)
-    ones = np.zeros(BITS, np.int64)
-    for k in range(0, n, BLOCK):
-        part = np.unpackbits(hashes[k : k + BLOCK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        ones += part.sum(axis=0, dtype=np.int64)
+    lanes = hashes.view(np.uint8).reshape(-1, POSITIONS)
+    ones = np.concatenate([np.bincount(lanes[:, p], minlength=256) @ _BITS_OF for p in range(POSITIONS)])
     return int.from_bytes(np.packbits(ones * 2 > n, bitorder="little").tobytes(), "little")
 
 
