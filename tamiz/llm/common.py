@@ -48,6 +48,16 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+    """Arrow batches hold at most ``most`` bytes (or one longer row), so that workers' memory does not grow with the texts' length.
+
+    The session's own setting, if there is one, stays.
+    """
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is None:
+        spark.conf.set(key, most)
+
+
 def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``cut`` or ``new_folder`` made and that no later step reads."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

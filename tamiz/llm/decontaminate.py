@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamiz.llm.common import bound_batches
+
 #: Bytes of words: digits, a-z and all above ASCII; A-Z is lowered, everything else separates.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
 
@@ -169,6 +171,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
     Null texts have no words. Items without words match nothing. No items: no hits. A doc_id must be unique if there are several blocks.
     """
     spark, parts = docs.sparkSession, []
+    bound_batches(spark)
     for names, items in _blocks(benchmark, block_words):
         shared = spark.sparkContext.broadcast((Automaton.build(items, window), names))
         parts.append(docs.select("doc_id", "text").mapInArrow(_scanner(shared), "doc_id long, n_words long, spans array<array<long>>, items array<string>"))
@@ -248,6 +251,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_c
     Each block of items is one more pass over the documents (see ``matches``). Spans are judged on the input of the pass.
     """
     spark = docs.sparkSession
+    bound_batches(spark)
     for _, items in _blocks(benchmark, block_words):
         shared = [spark.sparkContext.broadcast((Automaton.build(items, window), None))]
         docs = docs.mapInArrow(_cleaner(shared, max_coverage), docs.schema)

@@ -15,6 +15,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm.common import bound_batches
+
 WINDOW, HIDDEN = 64, 8
 #: Windows that run side by side: bounds a worker's arrays to a few MB.
 SIDE = 4096
@@ -222,6 +224,7 @@ def _keeper(shared, least: float):
 
 def _model(docs: DataFrame, per_language: int, steps: int):
     """The trained network and its languages, broadcast; None if nothing is labelled. A few kB."""
+    bound_batches(docs.sparkSession)
     snippets, wanted, names = sample(docs, per_language)
     return docs.sparkSession.sparkContext.broadcast((train(snippets, wanted, len(names), steps), names)) if names else None
 

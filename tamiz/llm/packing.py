@@ -9,6 +9,7 @@ cost less than its padding.
 
 from __future__ import annotations
 
+import functools
 import json
 import re
 import sys
@@ -23,6 +24,8 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tamiz.llm.common import bound_batches
+
 # The pre-tokenisation pattern of byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 #: A space beside other white space: there the pieces between spaces can't be encoded one by one.
@@ -51,24 +54,33 @@ class Encoder:
 
     def __init__(self, path: str, most: int = 300_000):
         import tiktoken
-        from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        self.slow, vocab = Tokenizer.from_file(path), spec["model"].get("vocab")
-        self.specials = [x["content"] for x in spec.get("added_tokens", [])]
+        self.path, vocab = path, spec["model"].get("vocab")
+        added = {x["content"]: x["id"] for x in spec.get("added_tokens", [])}
+        self.specials = list(added)
         kept = [c for c in range(256) if 33 <= c <= 126 or 161 <= c <= 172 or 174 <= c <= 255]
         shown = {chr(c): c for c in kept} | {chr(256 + k): c for k, c in enumerate(c for c in range(256) if c not in kept)}
         before, merges = spec.get("pre_tokenizer") or {}, spec["model"].get("merges", [])
         joined = [vocab.get(m.replace(" ", "") if isinstance(m, str) else "".join(m), -1) for m in merges] if isinstance(vocab, dict) else [-1]
         self.plain = before.get("type") == "ByteLevel" and not before.get("add_prefix_space") and spec.get("normalizer") is None and all(a < b for a, b in zip(joined, joined[1:]))
         if self.plain:
-            ranks = {bytes(shown[c] for c in token): k for token, k in vocab.items() if token not in self.specials}
+            ranks = {bytes(shown[c] for c in token): k for token, k in vocab.items() if token not in added}
             self.fast = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
             self.pieces = _Pieces(self.fast, most)
-        ends = re.compile(r"[.!?\n]\s*$")
-        size = self.slow.get_vocab_size()
-        self.is_end = np.fromiter((bool(ends.search(self.slow.decode([k], skip_special_tokens=False))) for k in range(size)), bool, size)
+            said = {k: raw.decode("utf-8", "replace") for raw, k in ranks.items()} | {k: x for x, k in added.items()}
+        else:
+            said = {k: self.slow.decode([k], skip_special_tokens=False) for k in range(self.slow.get_vocab_size())}
+        ends, size = re.compile(r"[.!?\n]\s*$"), max(said) + 1
+        self.is_end = np.fromiter((bool(ends.search(said.get(k, ""))) for k in range(size)), bool, size)
+
+    @functools.cached_property
+    def slow(self):
+        """The tokenizers library's own tokenizer, loaded at first need: most workers never meet a text that needs it."""
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
 
     def __call__(self, text: str) -> bytes:
         if not self.plain or any(x in text for x in self.specials):
@@ -184,5 +196,6 @@ def pack(docs: DataFrame, tokenizer_path: str, size: int = 1024, block: int = 1_
     """
     if size % grid:
         raise ValueError("size must be a multiple of grid")
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long" + ", ids array<int>" * with_ids
     return docs.select("doc_id", "text").mapInArrow(_packer(tokenizer_path, size, block, sentence, inner, grid, with_ids), schema)

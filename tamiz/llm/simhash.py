@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import cut
+from tamiz.llm.common import bound_batches, cut
 from tamiz.llm.components import components
 
 BITS, MAX_BITS, POSITIONS, SHARED = 64, 3, 8, 5
@@ -54,6 +54,7 @@ def _fingerprints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp long): a pass over the texts in place, without a shuffle. Null and blank texts get 0."""
+    bound_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
