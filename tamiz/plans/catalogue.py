@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions import numbers, text
-from tamiz.operators import audit, linkage, retrieval
+from tamiz.operators import audit, documents, linkage, retrieval
 from tamiz.session import load
 
 QUERIES: dict = {}
@@ -298,3 +298,41 @@ def clipped_quotes(spark: SparkSession, sf: str) -> DataFrame:
 @query("SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS title_key FROM part")
 def title_keys(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "part").select("p_partkey", text.title_key(F.col("p_name")).alias("title_key"))
+
+
+_CROSS = f"""(WITH p AS (SELECT source, doc_id, w, n, CAST(sum(n) OVER (PARTITION BY source ORDER BY doc_id) - n AS BIGINT) AS a FROM (SELECT source, doc_id, {_WORDS} AS w, len({_WORDS}) AS n FROM documents WHERE source IS NOT NULL) WHERE n > 0),
+  t AS (SELECT source, CAST(sum(n) AS BIGINT) AS total FROM p GROUP BY 1),
+  c AS (SELECT source, total, unnest(range(0, CASE WHEN total >= 40 THEN (total - 40) // 275 + 1 ELSE 0 END)) AS k FROM t),
+  s AS (SELECT source, k, k * 275 AS a, least(k * 275 + 320, total) AS b FROM c WHERE k = 0 OR (k - 1) * 275 + 320 < total)
+  SELECT s.source AS document_id, k AS ordinal, min(doc_id) AS page_start, max(doc_id) AS page_end,
+  string_agg(array_to_string(list_slice(w, greatest(s.a - p.a, 0) + 1, least(s.b - p.a, n)), ' '), ' ' ORDER BY doc_id) AS text
+  FROM s JOIN p ON s.source = p.source AND p.a < s.b AND p.a + p.n > s.a GROUP BY 1, 2)"""
+
+
+def _crossing(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of a source as the pages of one document."""
+    return documents.document_chunks(load(spark, sf, "documents").select(F.col("source").alias("document_id"), F.col("doc_id").alias("page"), "text"))
+
+
+@query(f"SELECT document_id, ordinal, page_start, page_end, sha256(text) AS text_sha256 FROM {_CROSS}")
+def cross_page_chunks(spark: SparkSession, sf: str) -> DataFrame:
+    return _crossing(spark, sf).select("document_id", "ordinal", "page_start", "page_end", F.sha2("text", 256).alias("text_sha256"))
+
+
+@query(f"SELECT document_id, count(*) AS chunks, count(*) FILTER (page_start < page_end) AS crossing, CAST(sum(length(text)) AS BIGINT) AS characters FROM {_CROSS} GROUP BY 1")
+def document_records(spark: SparkSession, sf: str) -> DataFrame:
+    return documents.document_records(_crossing(spark, sf))
+
+
+_PLACED = _SENTENCES.replace("unnest(l) AS s", "unnest(l) AS s, unnest(range(len(l))) AS place", 1)
+
+
+@query(rf"""WITH q AS (SELECT item_id AS query_id, list_distinct(list_filter({_TOKENS}, lambda w: length(w) > 2)) AS terms FROM benchmark),
+  c AS (SELECT query_id, rank, doc_id, s, place, len(list_filter(regexp_split_to_array(s, '\s+'), lambda w: w <> '')) >= 8 AND NOT ends_with(s, '?') AS states,
+    len(list_intersect(terms, list_distinct(list_transform(regexp_extract_all(s, '[\p{{L}}\p{{N}}_]+'), lambda w: lower(w))))) AS score FROM (SELECT * FROM {_BM25} WHERE rank <= 5) JOIN q USING (query_id) JOIN {_PLACED} USING (doc_id)),
+  e AS (SELECT query_id, rank, doc_id, regexp_split_to_array(s, '\s+') AS w FROM c QUALIFY row_number() OVER (PARTITION BY query_id, doc_id ORDER BY states DESC, score DESC, place) = 1)
+  SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INT) AS marker, doc_id, array_to_string(list_slice(w, 1, 40), ' ') || CASE WHEN len(w) > 40 THEN ' …' ELSE '' END AS quote, true AS grounded FROM e""")
+def evidence_quotes(spark: SparkSession, sf: str) -> DataFrame:
+    """Each item's best sentence in each of its first five documents."""
+    items = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return documents.evidence(_lexical(spark, sf, 5), load(spark, sf, "documents"), items)
