@@ -5,14 +5,14 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import text
 
 
 def dedup(records: DataFrame, block: str) -> DataFrame:
-    """(position, kept_position): records by position within a block; a record that shares a key with a kept one is dropped and points to it.
+    """(block, position, kept_position, matched): records by position within a block; one that shares a key (``matched``) with a kept one is dropped and points to it.
 
     A dropped record's other keys are not remembered, so this is not the same as connected components. Blocks are independent queries'
     results; one block is folded in one task and holds keys only.
@@ -26,12 +26,25 @@ def dedup(records: DataFrame, block: str) -> DataFrame:
             for b, p, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if b != now or not out and now is None:
                     now, seen = b, {}
-                kept = next((seen[k] for k in keys if k in seen), None)
-                if kept is None:
+                hit = next((k for k in keys if k in seen), None)
+                if hit is None:
                     seen |= dict.fromkeys(keys, p)
-                out.append((b, p, p if kept is None else kept))
-            columns = zip(*out, strict=True) if out else ((),) * 3
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.types[0], pa.int64(), pa.int64()), strict=True)], ["block", "position", "kept_position"])
+                out.append((b, p, p if hit is None else seen[hit], hit))
+            columns = zip(*out, strict=True) if out else ((),) * 4
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.types[0], pa.int64(), pa.int64(), pa.string()), strict=True)], ["block", "position", "kept_position", "matched"])
 
     kind = keyed.schema["block"].dataType.simpleString()
-    return keyed.repartition("block").sortWithinPartitions("block", "position").mapInArrow(fold, f"block {kind}, position long, kept_position long")
+    return keyed.repartition("block").sortWithinPartitions("block", "position").mapInArrow(fold, f"block {kind}, position long, kept_position long, matched string")
+
+
+def discovery(records: DataFrame, block: str, cap: int) -> DataFrame:
+    """RET-13, WIN-06, SRT-06, JON-14: (block, position, candidate_id, duplicate, matched, within): each record with the id of the candidate that it is or repeats.
+
+    Candidates are numbered by position within a block; ``within`` is false for those after the first ``cap``, which keep their ids. Repeats
+    point to their candidate by its position, so candidates without an identifier aren't mixed up.
+    """
+    linked = dedup(records, block)
+    number = F.row_number().over(Window.partitionBy("block").orderBy("position"))
+    kept = linked.where("position = kept_position").select("block", "kept_position", number.alias("n"))
+    made = linked.join(kept, ["block", "kept_position"])
+    return made.select("block", "position", F.format_string("D%02d", "n").alias("candidate_id"), (F.col("position") != F.col("kept_position")).alias("duplicate"), "matched", (F.col("n") <= cap).alias("within"))
