@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions import numbers, text
-from tamiz.operators import audit, documents, linkage, retrieval
+from tamiz.operators import answers, audit, documents, governance, linkage, preflight, retrieval
 from tamiz.session import load
 
 QUERIES: dict = {}
@@ -336,3 +336,132 @@ def evidence_quotes(spark: SparkSession, sf: str) -> DataFrame:
     """Each item's best sentence in each of its first five documents."""
     items = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
     return documents.evidence(_lexical(spark, sf, 5), load(spark, sf, "documents"), items)
+
+
+def _pages(spark: SparkSession, sf: str) -> DataFrame:
+    """The documents of a source as the pages of one document, numbered from 1."""
+    docs = load(spark, sf, "documents").select(F.col("source").alias("document_id"), "doc_id", "text", F.lit(1).alias("one"))
+    return documents.offsets(docs, "document_id", "doc_id", "one").select("document_id", (F.col("start") + 1).cast("int").alias("page"), "text", "doc_id")
+
+
+def _recognised(spark: SparkSession, sf: str) -> DataFrame:
+    return _pages(spark, sf).join(load(spark, sf, "labels").select("doc_id"), "doc_id", "left_semi").select("document_id", "page")
+
+
+def _reports(spark: SparkSession, sf: str) -> DataFrame:
+    sources = load(spark, sf, "documents").where("source is not null").select(F.col("source").alias("document_id")).distinct()
+    manifest = sources.select("document_id", F.lit(2).alias("start_page"), F.lit(None).cast("int").alias("end_page"), F.lit(40).alias("max_pages"), F.when(F.col("document_id").endswith("7"), "missing").alias("state"))
+    return preflight.inspect(manifest, _pages(spark, sf), _recognised(spark, sf))
+
+
+_PAGES = r"(SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS page, trim(regexp_replace(coalesce(text, ''), '\s+', ' ', 'g')) AS t FROM documents WHERE source IS NOT NULL)"
+_REPORTS = f"""(WITH p AS {_PAGES}, w AS (SELECT source, max(page) AS total, CASE WHEN ends_with(source, '7') THEN 0 ELSE greatest(least(max(page), 41) - 1, 0) END AS n FROM p GROUP BY 1),
+  a AS (SELECT DISTINCT source, CASE WHEN n <= 7 THEN j + 2 ELSE 2 + CAST(round_even(j * (n - 1) / 6.0::DOUBLE, 0) AS INT) END AS page FROM w, range(7) r(j) WHERE n > 0 AND (n > 7 OR j < n)),
+  m AS (SELECT source, page, length(t) AS c, len(list_filter(string_split(t, ' '), lambda x: x <> '')) AS k FROM p JOIN a USING (source, page)),
+  l AS (SELECT source, page, c, k, CASE WHEN c >= 180 AND k < 40 AND (k = 0 OR c > 25 * k) THEN 'glued' WHEN c >= 180 THEN 'digital' WHEN c <= 25 THEN 'scanned' ELSE 'sparse' END AS layer FROM m),
+  f AS (SELECT source, count(*) AS k, round(sum(c) / count(*), 1) AS chars_per_page, count(*) FILTER (layer <> 'digital') AS bad, count(*) FILTER (layer = 'scanned') AS s, count(*) FILTER (layer = 'glued') AS g, count(*) FILTER (layer = 'sparse') AS z FROM l GROUP BY 1),
+  d AS (SELECT source, count(*) AS covered FROM p JOIN w USING (source) WHERE page BETWEEN 2 AND n + 1 AND doc_id IN (SELECT doc_id FROM labels) GROUP BY 1),
+  x AS (SELECT w.source, total, n, chars_per_page, k, bad, g, coalesce(covered, 0) AS covered, CASE WHEN k IS NULL THEN NULL WHEN bad = 0 THEN 'digital' WHEN bad < k THEN 'mixed' WHEN s >= g AND s >= z THEN 'scanned' WHEN g >= z THEN 'glued' ELSE 'sparse' END AS layer
+    FROM w LEFT JOIN f USING (source) LEFT JOIN d USING (source)),
+  y AS (SELECT *, CASE WHEN layer IS NULL OR layer = 'digital' THEN 0 ELSE n - covered END AS missing FROM x)
+  SELECT source AS document_id, CASE WHEN ends_with(source, '7') THEN 'missing' WHEN n = 0 THEN 'empty-window' WHEN layer = 'digital' OR (covered > 0 AND missing = 0) THEN 'ok' ELSE 'needs-ocr' END AS status, total AS total_pages, n AS window_pages, chars_per_page,
+    layer AS text_layer, coalesce(bad, 0) AS sampled_without_text, missing AS ocr_missing_pages, CASE WHEN missing = 0 OR layer IS NULL THEN 'none' WHEN layer = 'mixed' THEN 'mixed-gaps' ELSE 'full-scan' END AS ocr_scope,
+    CAST(CASE WHEN missing = 0 OR layer IS NULL THEN 0 WHEN layer = 'mixed' THEN least(missing, round_even(n * bad / k, 0)) ELSE missing END AS BIGINT) AS ocr_pages_estimate FROM y)"""
+
+
+@query(f"SELECT document_id, status, CAST(total_pages AS INT) AS total_pages, CAST(window_pages AS INT) AS window_pages, chars_per_page, text_layer, sampled_without_text, CAST(ocr_missing_pages AS INT) AS ocr_missing_pages, ocr_scope, ocr_pages_estimate FROM {_REPORTS}")
+def preflight_reports(spark: SparkSession, sf: str) -> DataFrame:
+    return _reports(spark, sf).select("document_id", "status", "total_pages", "window_pages", "chars_per_page", "text_layer", "sampled_without_text", "ocr_missing_pages", "ocr_scope", "ocr_pages_estimate")
+
+
+@query(f"SELECT CAST(coalesce(sum(ocr_missing_pages) FILTER (ocr_scope = 'full-scan'), 0) AS BIGINT) AS full_scan, CAST(coalesce(sum(ocr_missing_pages) FILTER (ocr_scope = 'mixed-gaps'), 0) AS BIGINT) AS mixed_upper_bound, CAST(coalesce(sum(ocr_pages_estimate) FILTER (ocr_scope = 'mixed-gaps'), 0) AS BIGINT) AS mixed_estimate FROM {_REPORTS}")
+def ocr_debt(spark: SparkSession, sf: str) -> DataFrame:
+    return preflight.debt(_reports(spark, sf))
+
+
+@query(f"SELECT source AS document_id, CAST(page AS INT) AS page FROM {_PAGES} WHERE page <= 40 AND doc_id NOT IN (SELECT doc_id FROM labels) QUALIFY row_number() OVER (PARTITION BY source ORDER BY page) <= 5")
+def ocr_outstanding(spark: SparkSession, sf: str) -> DataFrame:
+    windows = _pages(spark, sf).groupBy("document_id").agg(F.lit(1).alias("start_page"), F.least(F.max("page"), F.lit(40)).alias("last"))
+    return preflight.outstanding(windows, _recognised(spark, sf), 5)
+
+
+@query()
+def path_suggestions(spark: SparkSession, sf: str) -> DataFrame:
+    """Every hundredth customer's name, mistyped, against all suppliers' names as paths."""
+    declared = load(spark, sf, "customer").where("c_custkey % 100 = 0").select(F.col("c_custkey").alias("document_id"), F.concat(F.lit("old/"), F.regexp_replace("c_name", "Customer", "Suplier"), F.lit(".PDF")).alias("relative_path"))
+    return preflight.suggestions(declared, load(spark, sf, "supplier").select(F.concat(F.lit("books/"), "s_name", F.lit(".pdf")).alias("path")))
+
+
+@query()
+def path_fixes(spark: SparkSession, sf: str) -> DataFrame:
+    return preflight.fixes(path_suggestions(spark, sf))
+
+
+_PHRASES = ", ".join(f"'{p}'" for p in governance.CAUSAL_PHRASES)
+
+
+@query(rf"""WITH dec AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'include' ELSE 'maybe' END AS decision FROM labels WHERE toxic = 0 OR quality = 1), pend AS (SELECT doc_id FROM labels WHERE toxic = 1),
+  ver AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'verified' ELSE 'rejected' END AS verdict FROM labels), ev AS (SELECT *, lang = 'es' AS official FROM documents WHERE lang IN ('es', 'fr')),
+  k AS (SELECT doc_id, list_filter([{_PHRASES}], lambda p: regexp_matches(lower(substr(text, 1, 200)), '(^|[^\p{{L}}\p{{N}}_])' || p || '([^\p{{L}}\p{{N}}_]|$)'))[1] AS phrase FROM ev),
+  v AS (SELECT 'screening' AS rule, 'still pending after a decision' AS message FROM pend JOIN dec USING (doc_id) UNION ALL SELECT 'gate', 'screening decision pending' FROM pend
+    UNION ALL SELECT 'screening', 'missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'screening', 'state outside the protocol' FROM dec WHERE decision = 'maybe'
+    UNION ALL SELECT 'screening', 'decision without a reason' FROM dec WHERE doc_id % 5 = 0 UNION ALL SELECT 'anchor', 'locator differs' FROM ev WHERE NOT official UNION ALL SELECT 'population', 'population differs' FROM ev WHERE n_chars % 7 = 0
+    UNION ALL SELECT 'causal-language', 'uses ' || phrase FROM k WHERE phrase IS NOT NULL UNION ALL SELECT 'gate', 'verification pending' FROM ev WHERE NOT official
+    UNION ALL SELECT 'ledger', 'official without a verification' FROM ev WHERE official AND doc_id NOT IN (SELECT doc_id FROM ver) UNION ALL SELECT 'ledger', 'official but the verdict is rejected' FROM ev JOIN ver USING (doc_id) WHERE official AND verdict = 'rejected'
+    UNION ALL SELECT 'ledger', 'verified but never official' FROM ver WHERE verdict = 'verified' AND doc_id NOT IN (SELECT doc_id FROM ev) UNION ALL SELECT 'ledger', 'no screening decision' FROM ev WHERE official AND doc_id NOT IN (SELECT doc_id FROM dec)
+    UNION ALL SELECT 'ledger', 'record screened as maybe' FROM ev JOIN dec USING (doc_id) WHERE official AND decision = 'maybe' UNION ALL SELECT 'evidence', 'no row yet' FROM documents JOIN dec USING (doc_id) WHERE decision = 'include' AND doc_id NOT IN (SELECT doc_id FROM ev))
+  SELECT rule, message, count(*) AS n FROM v GROUP BY 1, 2""")
+def review_violations(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as candidates, labels as decisions and verifications, Spanish documents as official evidence and French ones as proposals; broken rules, counted."""
+    docs, labels = load(spark, sf, "documents"), load(spark, sf, "labels")
+    shared = [F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("source_id"), F.col("source").alias("study_design"), F.col("lang").alias("population"), F.lit("o").alias("outcome"), F.substring("text", 1, 30).alias("verbatim_excerpt")]
+    said = F.substring("text", 1, 200)
+    decisions = labels.where("toxic = 0 or quality = 1").select(F.col("doc_id").alias("record_id"), F.when(F.col("quality") == 1, "include").otherwise("maybe").alias("human_decision"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise("r").alias("human_reason"))
+    packet = docs.select(F.col("doc_id").alias("source_id"), F.col("source").alias("design"), F.when(F.col("n_chars") % 7 == 0, "x").otherwise(F.col("lang")).alias("population"), F.lit("o").alias("outcome"), F.substring("text", 1, 30).alias("excerpt"), F.lit("l").alias("locator"))
+    broken = governance.review(
+        docs.select(F.col("doc_id").alias("record_id")), labels.where("toxic = 1").select(F.col("doc_id").alias("record_id")), decisions,
+        docs.where("lang = 'fr'").select(*shared, F.lit("m").alias("locator"), said.alias("ai_interpretation")), labels.select(F.col("doc_id").alias("evidence_id"), F.when(F.col("quality") == 1, "verified").otherwise("rejected").alias("verdict")),
+        docs.where("lang = 'es'").select(*shared, F.lit("l").alias("locator"), said.alias("final_interpretation")), packet, population="es",
+    )
+    return broken.groupBy("rule", "message").agg(F.count("*").alias("n"))
+
+
+@query("""WITH c AS (SELECT doc_id AS claim_id, CASE doc_id % 3 WHEN 0 THEN 'supported' WHEN 1 THEN 'contradicted' ELSE 'partially_supported' END AS verdict, n_chars % 2 = 0 AS causal, lang FROM documents),
+  x AS (SELECT claim_id, verdict, l.doc_id IS NULL AS bare, coalesce(toxic = 1, false) AS unopened, quality = 1 AS supports, causal, lang = 'en' AND quality = 1 AND toxic = 0 AS strong FROM c LEFT JOIN labels l ON l.doc_id = claim_id),
+  y AS (SELECT claim_id, verdict, unopened::INT + (verdict = 'supported' AND (bare OR NOT supports))::INT + (verdict = 'contradicted' AND (bare OR supports))::INT + (verdict = 'partially_supported')::INT
+    + (causal AND verdict IN ('supported', 'partially_supported') AND NOT coalesce(strong, false))::INT AS n FROM x)
+  SELECT claim_id, CASE WHEN n > 0 THEN 'insufficient' ELSE verdict END AS verdict, n AS n_problems FROM y""")
+def claim_drafts(spark: SparkSession, sf: str) -> DataFrame:
+    """A claim per document, with its label as the one reference."""
+    docs, labels = load(spark, sf, "documents"), load(spark, sf, "labels").select(F.col("doc_id").alias("claim_id"), F.col("doc_id").alias("passage_id"), "quality", "toxic")
+    third = F.col("doc_id") % 3
+    claims = docs.select(F.col("doc_id").alias("claim_id"), F.when(third == 0, "supported").when(third == 1, "contradicted").otherwise("partially_supported").alias("verdict"), (F.col("n_chars") % 2 == 0).alias("causal"))
+    references = labels.select("claim_id", "passage_id", F.when(F.col("quality") == 1, "supports").otherwise("contradicts").alias("relation"))
+    passages = docs.select(F.col("doc_id").alias("passage_id"), F.when(F.col("lang") == "en", "causal").otherwise("descriptive").alias("causal_strength"))
+    return governance.drafts(claims, references, labels.where("toxic = 0").select("claim_id", "passage_id"), passages).select("claim_id", "verdict", F.size("problems").alias("n_problems"))
+
+
+@query("SELECT conv_id AS document, sha256('# Letter' || chr(10) || chr(10) || string_agg('## ' || turn || chr(10) || coalesce(text, ''), chr(10) || chr(10) ORDER BY turn) || chr(10)) AS digest FROM conversations GROUP BY 1")
+def rendered_letters(spark: SparkSession, sf: str) -> DataFrame:
+    part = F.concat(F.lit("## "), F.col("turn").cast("string"), F.lit("\n"), F.coalesce("text", F.lit("")))
+    return governance.rendered(load(spark, sf, "conversations"), F.col("conv_id"), ["turn"], part, "# Letter\n\n").select("document", F.sha2("text", 256).alias("digest"))
+
+
+@query(f"""WITH b AS (SELECT query_id, max(score) AS statistic FROM {_BM25} WHERE rank <= 5 GROUP BY 1), e AS ({ORACLES["evidence_quotes"]}), a AS (SELECT query_id, string_agg('«' || quote || '» [' || marker || ']', chr(10) || chr(10) ORDER BY marker) AS body, count(*) AS n FROM e GROUP BY 1),
+  s AS (SELECT item_id AS query_id, coalesce(statistic, 0) AS statistic, body, coalesce(n, 0) AS n, coalesce(statistic, 0) >= 40 AND coalesce(n, 0) > 0 AS answered FROM benchmark LEFT JOIN b ON b.query_id = item_id LEFT JOIN a ON a.query_id = item_id)
+  SELECT query_id, statistic, round(statistic - 40, 6) AS margin, answered, CASE WHEN answered THEN n ELSE 0 END AS sources, sha256(CASE WHEN answered THEN body ELSE '{answers.ABSTAIN}' END) AS answer_sha256, 0 AS n_problems FROM s""")
+def cited_answers(spark: SparkSession, sf: str) -> DataFrame:
+    """An answer to each item from its five best documents; the lexical score stands for the likeness, as the tables have no vectors for items."""
+    items, results = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text"), _lexical(spark, sf, 5)
+    told = answers.build(items, results, documents.evidence(results, load(spark, sf, "documents"), items), 40.0)
+    return told.select("query_id", "statistic", "margin", "answered", "sources", F.sha2("answer", 256).alias("answer_sha256"), F.size("problems").alias("n_problems"))
+
+
+@query()
+def discovery_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """Records with two keys from the documents, as results of one query per source and thousand ids; the first 25 candidates of each."""
+    docs = load(spark, sf, "documents").select(
+        F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string")).alias("block"), F.col("doc_id").alias("position"), F.lit("").alias("doi"),
+        F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("W"), F.col("n_chars"))).alias("id"), F.substring("text", 1, 30).alias("title"),
+    )
+    return linkage.discovery(docs, "block", 25)
