@@ -47,9 +47,9 @@ def ranked(scored: DataFrame, limit: int) -> DataFrame:
 
 
 def dense(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """RET-03: cosine of a stated query set (query_id, v) against all (doc_id, v). The query set goes to all tasks, the vectors stay in place."""
+    """RET-03: cosine of a stated query set (query_id, v) against all (doc_id, v). Spark sends the query set to all tasks while its size is under the broadcast threshold, and else deals both sides out in blocks."""
     q = queries.select("query_id", numbers.unit(F.col("v")).alias("qv"))
-    scored = vectors.select("doc_id", numbers.unit(F.col("v")).alias("v")).join(F.broadcast(q)).select("query_id", "doc_id", F.round(numbers.dot(F.col("v"), F.col("qv")), 6).alias("score"))
+    scored = vectors.select("doc_id", numbers.unit(F.col("v")).alias("v")).crossJoin(q).select("query_id", "doc_id", F.round(numbers.dot(F.col("v"), F.col("qv")), 6).alias("score"))
     return ranked(scored, limit)
 
 

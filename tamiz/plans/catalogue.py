@@ -127,10 +127,10 @@ def diversified_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Items that occur verbatim in a document; the stated query set goes to all tasks."""
+    """Items that occur verbatim in a document, as a stated query set: broadcast while small, else in blocks."""
     items = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
     docs = load(spark, sf, "documents").select("doc_id", "text")
-    met = docs.join(F.broadcast(items), F.contains("text", F.col("item"))).select("query_id", F.col("doc_id").alias("document_id"))
+    met = docs.join(items, F.contains("text", F.col("item"))).select("query_id", F.col("doc_id").alias("document_id"))
     return met.withColumns({"page_start": F.lit(1), "page_end": F.lit(1), "relevance": F.lit(1)})
 
 
@@ -170,7 +170,7 @@ def calibration_summary(spark: SparkSession, sf: str) -> DataFrame:
     """Queries' best score among vectors of their label (answerable) and of others (controls)."""
     v = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"), "label")
     q = v.where("doc_id % 100 = 0").select(F.col("doc_id").alias("query_id"), numbers.unit(F.col("v")).alias("qv"), F.col("label").alias("q_label"))
-    met = v.join(F.broadcast(q), F.col("doc_id") != F.col("query_id")).select("query_id", (F.col("label") == F.col("q_label")).alias("answerable"), F.round(numbers.dot(numbers.unit(F.col("v")), F.col("qv")), 6).alias("score"))
+    met = v.join(q, F.col("doc_id") != F.col("query_id")).select("query_id", (F.col("label") == F.col("q_label")).alias("answerable"), F.round(numbers.dot(numbers.unit(F.col("v")), F.col("qv")), 6).alias("score"))
     top = met.groupBy("query_id", "answerable").agg(F.max("score").alias("top"))
     own = lambda x, name: top.where("answerable" if x else "not answerable").agg(F.count("*").alias(name), F.min("top").alias("lo"), audit.upper_median("top").alias("med"), F.max("top").alias("hi"))
     a = own(True, "questions").select("questions", F.col("lo").alias("answerable_min"), F.col("med").alias("answerable_median"), F.col("hi").alias("answerable_max"))
