@@ -10,13 +10,14 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import bound_batches
+from tamiz.llm.common import bound_batches, cut
 
 #: Bytes of words: digits, a-z and all above ASCII; A-Z is lowered, everything else separates.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -146,40 +147,51 @@ def _spans(hit: np.ndarray) -> np.ndarray:
 
 
 def _scanner(shared):
+    """(key..., text) -> (key..., n_words, spans, items) by one block's automaton."""
+
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         automaton, names = shared.value
         for batch in batches:
             out = []
-            for text in batch.column(1).cast(pa.binary()):
+            for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
                 words = words_of(text.as_py() or b"")
                 hit, found = automaton.scan(words)
                 out.append((len(words), _spans(hit).tolist() if found else [], sorted(names[k] for k in found)))
             counts, spans, items = zip(*out, strict=True) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
-                ["doc_id", "n_words", "spans", "items"],
+                [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
+                [*batch.schema.names[:-1], "n_words", "spans", "items"],
             )
 
     return scan
 
 
+_FOUND = "n_words long, spans array<array<long>>, items array<string>"
+
+
+def _passes(numbered: DataFrame, blocks: Iterator[tuple[list[str], list[list[bytes]]]], window: int, key: str) -> DataFrame:
+    """The finds of a pass per block over the same texts, one after the other; ``key`` declares the columns before the text."""
+    spark, every = numbered.sparkSession, None
+    for names, items in blocks:
+        shared = spark.sparkContext.broadcast((Automaton.build(items, window), names))
+        part = numbered.mapInArrow(_scanner(shared), f"{key}, {_FOUND}")
+        every = part if every is None else every.unionAll(part)
+    return every
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
     """(doc_id, n_words, spans, items): spans are [start, end) word positions that are hit, items those with a window in the document.
 
     The automaton is broadcast, and its size is bounded: items come in blocks of at most ``block_words`` words, each with an
-    automaton of its own and a pass over the documents; several blocks' finds are then merged per document.
+    automaton of its own and a pass over the documents. If there are several, the blocks' finds are merged per document.
     Null texts have no words. Items without words match nothing. No items: no hits. A doc_id must be unique if there are several blocks.
     """
-    spark, parts = docs.sparkSession, []
-    bound_batches(spark)
-    for names, items in _blocks(benchmark, block_words):
-        shared = spark.sparkContext.broadcast((Automaton.build(items, window), names))
-        parts.append(docs.select("doc_id", "text").mapInArrow(_scanner(shared), "doc_id long, n_words long, spans array<array<long>>, items array<string>"))
-    if len(parts) == 1:
-        return parts[0]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionAll(part)
+    bound_batches(docs.sparkSession)
+    blocks = _blocks(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        return _passes(docs.select("doc_id", "text"), iter([first]), window, "doc_id long")
+    every = _passes(docs.select("doc_id", "text"), chain([first, second], blocks), window, "doc_id long")
     return every.groupBy("doc_id").agg(
         F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items")
     ).withColumn("spans", merged(F.col("spans")))
@@ -224,38 +236,58 @@ def _cut(text: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _cleaner(shared, max_coverage: float):
+def _cleaner(spans_of, columns: int, max_coverage: float):
+    """The first ``columns`` columns with their text cut, without rows of too much coverage; ``spans_of`` gives a batch's spans."""
+
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automata = [x.value[0] for x in shared]
         for batch in batches:
             k = batch.schema.get_field_index("text")
+            values = [x.as_py() for x in batch.column(k).cast(pa.binary())]
             texts, keep = [], []
-            for value in batch.column(k).cast(pa.binary()):
-                text = value.as_py()
-                words = words_of(text or b"")
-                hit = np.zeros(len(words), bool)
-                for automaton in automata:
-                    hit |= automaton.scan(words)[0]
-                n = int(hit.sum())
-                keep.append(n <= max_coverage * len(words))
-                texts.append(_cut(text, _spans(hit).tolist()) if n else text)
-            columns = [pa.array(texts, pa.binary()).cast(pa.string()) if i == k else c for i, c in enumerate(batch.columns)]
-            yield pa.RecordBatch.from_arrays(columns, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(batch.schema, columns, strict=True)])).filter(pa.array(keep, pa.bool_()))
+            for text, (n_words, spans) in zip(values, spans_of(batch, values), strict=True):
+                keep.append(sum(b - a for a, b in spans) <= max_coverage * n_words)
+                texts.append(_cut(text, spans) if spans else text)
+            made = [pa.array(texts, pa.binary()).cast(pa.string()) if i == k else c for i, c in enumerate(batch.columns[:columns])]
+            yield pa.RecordBatch.from_arrays(made, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(batch.schema, made)])).filter(pa.array(keep, pa.bool_()))
 
     return clean
 
 
+def _scanned(shared):
+    """Spans of each text by the one automaton there is."""
+
+    def spans_of(batch: pa.RecordBatch, values: list[bytes | None]) -> Iterator[tuple[int, list[list[int]]]]:
+        automaton = shared.value[0]
+        for text in values:
+            words = words_of(text or b"")
+            yield len(words), _spans(automaton.scan(words)[0]).tolist()
+
+    return spans_of
+
+
+def _given(batch: pa.RecordBatch, values: list[bytes | None]) -> Iterator[tuple[int, list[list[int]]]]:
+    """Spans that earlier passes have left in the last column."""
+    for text, spans in zip(values, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
+        yield len(words_of(text or b"")) if spans else 0, spans or []
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
     """``docs`` without hit spans; documents with more than ``max_coverage`` of their words hit are dropped. Other columns stay as they are.
 
-    Each block of items is one more pass over the documents (see ``matches``). Spans are judged on the input of the pass.
+    Spans of all blocks of items (see ``matches``) are found on the texts as given and merged per row; then each text is cut once and
+    its coverage judged once, so the result does not depend on ``block_words``.
     """
-    spark = docs.sparkSession
+    spark, n = docs.sparkSession, len(docs.columns)
     bound_batches(spark)
-    for _, items in _blocks(benchmark, block_words):
-        shared = [spark.sparkContext.broadcast((Automaton.build(items, window), None))]
-        docs = docs.mapInArrow(_cleaner(shared, max_coverage), docs.schema)
-    return docs
+    blocks = _blocks(benchmark, block_words)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        shared = spark.sparkContext.broadcast((Automaton.build(first[1], window), None))
+        return docs.mapInArrow(_cleaner(_scanned(shared), n, max_coverage), docs.schema)
+    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
+    every = _passes(numbered.select("_row", "text"), chain([first, second], blocks), window, "_row long").where(F.size("spans") > 0)
+    spans = cut(every.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("_spans")).withColumn("_spans", merged(F.col("_spans"))), "spans")
+    return numbered.join(spans, "_row", "left").select(*docs.columns, "_spans").mapInArrow(_cleaner(_given, n, max_coverage), docs.schema)
 
 
 def sha256_of_ids(ids: list[str]) -> str:

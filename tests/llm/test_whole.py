@@ -2,8 +2,10 @@
 
 import random
 
+import pytest
+
 import corpus_pipeline
-from tamiz.llm import shingles, simhash
+from tamiz.llm import decontaminate, shingles, simhash
 
 
 def similarity(a, b):
@@ -30,3 +32,15 @@ def test_near_copies_join_a_long_list(spark):
     rows = [(k, changed(words, {k})) for k in range(100)]
     assert len({shingles.shingles_of(t.encode()).tobytes() for _, t in rows}) == 100
     assert [r.doc_id for r in shingles.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
+
+
+@pytest.mark.parametrize("block", [1_000_000, 15])
+def test_decontaminate_does_not_depend_on_blocks(spark, block):
+    words = [f"w{k}" for k in range(200)]
+    part = lambda a, b: " ".join(words[a:b])
+    bench = spark.createDataFrame([(1, part(0, 15)), (2, part(7, 22)), (3, part(100, 112)), (4, part(120, 132))], "item_id long, text string")
+    # 22 words that two items cover; a stranger on each side of a cut; 12 of 40 words hit by each of two items
+    rows = [(1, f"a {part(0, 22)} " + part(30, 60)), (2, part(100, 107) + " " + part(0, 15) + " " + part(107, 112) + " " + part(40, 60)), (None, part(100, 112) + " z " + part(120, 132) + " " + part(40, 55)), (None, "q")]
+    got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_words=block).collect()
+    want = [(None, "q"), (1, f"a  {part(30, 60)}"), (2, part(100, 107) + "  " + part(107, 112) + " " + part(40, 60))]
+    assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
