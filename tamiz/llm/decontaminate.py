@@ -183,18 +183,22 @@ def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words
     """(doc_id, n_words, spans, items): spans are [start, end) word positions that are hit, items those with a window in the document.
 
     The automaton is broadcast, and its size is bounded: items come in blocks of at most ``block_words`` words, each with an
-    automaton of its own and a pass over the documents. If there are several, the blocks' finds are merged per document.
-    Null texts have no words. Items without words match nothing. No items: no hits. A doc_id must be unique if there are several blocks.
+    automaton of its own and a pass over the documents. If there are several, rows are numbered in a table written once, and the
+    blocks' finds are merged per row, so that any doc_id, repeated or null, keeps its rows.
+    Null texts have no words. Items without words match nothing. No items: no hits.
     """
     bound_batches(docs.sparkSession)
     blocks = _blocks(benchmark, block_words)
     first, second = next(blocks), next(blocks, None)
     if second is None:
         return _passes(docs.select("doc_id", "text"), iter([first]), window, "doc_id long")
-    every = _passes(docs.select("doc_id", "text"), chain([first, second], blocks), window, "doc_id long")
-    return every.groupBy("doc_id").agg(
-        F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items")
-    ).withColumn("spans", merged(F.col("spans")))
+    numbered = cut(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "numbered")
+    every = _passes(numbered, chain([first, second], blocks), window, "_row long, doc_id long")
+    return (
+        every.groupBy("_row")
+        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
+        .select("doc_id", "n_words", merged(F.col("spans")).alias("spans"), "items")
+    )
 
 
 def merged(spans):

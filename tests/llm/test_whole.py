@@ -44,3 +44,13 @@ def test_decontaminate_does_not_depend_on_blocks(spark, block):
     got = decontaminate.decontaminate(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_words=block).collect()
     want = [(None, "q"), (1, f"a  {part(30, 60)}"), (2, part(100, 107) + "  " + part(107, 112) + " " + part(40, 60))]
     assert sorted(map(tuple, got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("block", [1_000_000, 12])
+def test_matches_keep_rows_of_repeated_and_null_ids(spark, block):
+    items = [" ".join(f"{c}{k}" for k in range(12)) for c in "ab"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = [(1, items[0]), (1, "x " + items[1]), (1, "y"), (None, items[1]), (None, "z z"), (None, None)]
+    got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_words=block).collect()
+    want = [(1, 12, [[0, 12]], ["0"]), (1, 13, [[1, 13]], ["1"]), (1, 1, [], []), (None, 12, [[0, 12]], ["1"]), (None, 2, [], []), (None, 0, [], [])]
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
