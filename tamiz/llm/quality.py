@@ -163,5 +163,7 @@ def judged(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), least_word
 
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
-    """``docs`` that ``judged`` keeps, all columns unchanged."""
-    return docs.join(judged(docs, **settings).where("kept").select("doc_id").distinct(), "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` that ``judged`` keeps, all columns unchanged. Rows go by a number of their own, so a doc_id may be null or repeated."""
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    good = judged(rows.withColumn("doc_id", F.col("_row")), **settings).where("kept").select(F.col("doc_id").alias("_row"))
+    return rows.join(good, "_row", "left_semi").select(*docs.columns)

@@ -121,6 +121,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """``docs`` without near duplicates: of each class the document with the smallest doc_id stays, all its columns unchanged."""
-    kept = near_duplicates(docs).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """``docs`` without near duplicates: of each class the row with the smallest doc_id stays, nulls last, then the first row; all its columns unchanged.
+
+    Rows go by a number of their own in a table written once, so a doc_id may be null or repeated.
+    """
+    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")
+    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(best).select("best._row")
+    return rows.join(cut(kept, "kept"), "_row", "left_semi").select(*docs.columns)

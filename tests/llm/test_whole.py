@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tamiz.llm import decontaminate, shingles, simhash
+from tamiz.llm import decontaminate, quality, shingles, simhash
 
 
 def similarity(a, b):
@@ -54,3 +54,18 @@ def test_matches_keep_rows_of_repeated_and_null_ids(spark, block):
     got = decontaminate.matches(spark.createDataFrame(rows, "doc_id long, text string"), bench, block_words=block).collect()
     want = [(1, 12, [[0, 12]], ["0"]), (1, 13, [[1, 13]], ["1"]), (1, 1, [], []), (None, 12, [[0, 12]], ["1"]), (None, 2, [], []), (None, 0, [], [])]
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("keep", [simhash.keep_one, shingles.drop_near_copies])
+def test_one_row_stays_with_repeated_and_null_ids(spark, keep):
+    one, two, three = (" ".join(f"{c}{k}" for k in range(30)) for c in "abc")
+    rows = [(None, one), (None, one), (1, two), (1, two), (1, three), (2, three), (None, two)]
+    got = keep(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, [(None, one), (1, two), (1, three)]))
+
+
+def test_keep_good_with_repeated_and_null_ids(spark):
+    one, two = (" ".join(f"{c}{k}" for k in range(30)) for c in "ab")
+    rows = [(None, one, "en", "s"), (None, "short", "en", "s"), (1, two, "en", "s"), (1, "short", "en", "s")]
+    got = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
+    assert sorted(r.text for r in got) == sorted([one, two])
