@@ -1,7 +1,7 @@
 """Quality rules with thresholds that adapt to each language and source.
 
 Fixed base rules reject what is too short or repeats itself. Beyond them, each ratio of a document is held against fences from the
-distribution of its (language, source): quartiles come from quantile sketches, which are counts over logarithmic buckets. Sketches of
+distribution of its (language, source): quartiles, or a high quantile of ratios that are mostly zero, come from quantile sketches, which are counts over logarithmic buckets. Sketches of
 parts of the data merge by adding counts, in any order, to the same result, and a quantile is exact to ``accuracy``, relative to its value.
 The thresholds are then joined to the documents.
 """
@@ -73,30 +73,34 @@ def measures_of(text: bytes) -> tuple[int, int, int, int, int]:
 
 
 _NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+_COUNTS = (*_NAMES, "n_lines")
+#: Ratios that are mostly zero are held against this quantile of their group's documents that pass the base rules, within these bounds.
+TAIL, TAILS = 0.95, {"symbols": (0.05, 0.2), "repeats": (0.05, 0.2), "dup_lines": (0.1, 0.3)}
 
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        rows = [measures_of(x.as_py() or b"") for x in batch.column(3).cast(pa.binary())]
-        columns = np.array(rows, np.int64).reshape(-1, 5).T
-        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, columns)], ["doc_id", "lang", "source", *_NAMES])
+        texts = [x.as_py() or b"" for x in batch.column(3).cast(pa.binary())]
+        rows = [(*measures_of(x), sum(1 for line in x.split(b"\n") if line.strip())) for x in texts]
+        columns = np.array(rows, np.int64).reshape(-1, len(_COUNTS)).T
+        yield pa.RecordBatch.from_arrays([*batch.columns[:3], *map(pa.array, columns)], ["doc_id", "lang", "source", *_COUNTS])
 
 
 def measures(docs: DataFrame) -> DataFrame:
-    """doc_id, lang, source and the five counts of each whole text; a null text has none of anything."""
-    schema = "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in _NAMES)
+    """doc_id, lang, source and the five counts and the non-blank lines of each whole text; a null text has none of anything."""
+    schema = "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in _COUNTS)
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_measure, schema)
 
 
-def ratios() -> dict[str, Column]:
-    """What the fences are on; each is 0 for ordinary prose or moves little about its median."""
+def ratios(lines: bool = True) -> dict[str, Column]:
+    """What the fences are on; each is 0 for ordinary prose or moves little about its median. dup_lines needs the count of ``lines``."""
     words = F.greatest(F.col("n_words"), F.lit(1))
-    return {
+    found = {
         "symbols": F.col("n_symbols") / F.greatest(F.col("word_chars"), F.lit(1)),
         "repeats": F.col("n_repeat_words") / words,
-        "dup_lines": F.col("n_dup_lines") / words,
         "word_length": F.col("word_chars") / words,
     }
+    return found | {"dup_lines": F.col("n_dup_lines") / F.greatest(F.col("n_lines"), F.lit(1))} if lines else found
 
 
 def sketches(found: DataFrame, by: tuple[str, ...], accuracy: float = 0.01, shards: int = 16) -> DataFrame:
@@ -106,7 +110,7 @@ def sketches(found: DataFrame, by: tuple[str, ...], accuracy: float = 0.01, shar
     """
     growth = math.log((1 + accuracy) / (1 - accuracy))
     bucket = lambda x: F.when(x > 0, F.ceil(F.log(x) / growth).cast("int")).otherwise(F.lit(-(1 << 30)))
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), bucket(x).alias("bucket")) for k, x in ratios().items()]))
+    values = F.explode(F.array(*[F.struct(F.lit(k).alias("name"), bucket(x).alias("bucket")) for k, x in ratios("n_lines" in found.columns).items()]))
     return found.select(*by, values.alias("v")).groupBy(*by, "v.name", "v.bucket").agg(F.count("*").alias("n"))
 
 
@@ -127,20 +131,32 @@ def quantiles(sketch: DataFrame, by: tuple[str, ...], points: tuple[float, ...]
     return up.groupBy(*by, "name").agg(F.first("total").alias("total"), *[F.min(F.when(F.col("upto") >= p * F.col("total"), value)).alias(f"q{k}") for k, p in enumerate(points)])
 
 
-def fences(docs_measures: DataFrame, by: tuple[str, ...] = ("lang", "source"), reach: float = 4.0, least: int = 30) -> DataFrame:
-    """A row per group with a lower and an upper fence of each ratio: quartiles moved out by ``reach`` times their distance.
+def _failed(least_words: int, most_repeated: float) -> Column:
+    """The base rules."""
+    return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
 
-    The distance counts as a tenth of the median at least, or 0.05, so that a group of near-equal documents isn't thinned. Groups of under
+
+def fences(docs_measures: DataFrame, by: tuple[str, ...] = ("lang", "source"), reach: float = 4.0, least: int = 30, least_words: int = 10, most_repeated: float = 20.0) -> DataFrame:
+    """A row per group with a lower and an upper fence of each ratio, from its documents that pass the base rules.
+
+    word_length: quartiles moved out by ``reach`` times their distance, which counts as a tenth of the median at least, or 0.05, so that a
+    group of near-equal documents isn't thinned. The others are mostly zero, and so are their quartiles: at most their ``TAIL`` quantile,
+    kept within the bounds of ``TAILS``, so that a group of clean texts allows for some and one of much junk doesn't admit it. Groups of under
     ``least`` documents take the fences of all documents together. Null lang or source is a group of its own.
     """
-    filled = docs_measures.where("n_words > 0").select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in by], *_NAMES)
+    filled = docs_measures.where(~_failed(max(least_words, 1), most_repeated)).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in by], *_COUNTS)
     sketch = cut(sketches(filled, by), "sketches")
-    every = quantiles(sketch.groupBy("name", "bucket").agg(F.sum("n").alias("n")), ())
-    own = quantiles(sketch, by)
-    joined = own.join(F.broadcast(every.select("name", *[F.col(f"q{k}").alias(f"all{k}") for k in range(3)])), "name")
-    low, mid, high = (F.when(F.col("total") >= least, F.col(f"q{k}")).otherwise(F.col(f"all{k}")) for k in range(3))
+    points, accuracy = (0.25, 0.5, 0.75, TAIL), 0.01  # the upper end of a bucket is its value / (1 - accuracy)
+    every = quantiles(sketch.groupBy("name", "bucket").agg(F.sum("n").alias("n")), (), points)
+    own = quantiles(sketch, by, points)
+    joined = own.join(F.broadcast(every.select("name", *[F.col(f"q{k}").alias(f"all{k}") for k in range(4)])), "name")
+    low, mid, high, tail = (F.when(F.col("total") >= least, F.col(f"q{k}")).otherwise(F.col(f"all{k}")) for k in range(4))
     wide = F.greatest(high - low, 0.1 * mid, F.lit(0.05))
-    joined = joined.select(*by, "name", (low - reach * wide).alias("lower"), (high + reach * wide).alias("upper"))
+    lower, upper = low - reach * wide, high + reach * wide
+    for name, (floor, most) in TAILS.items():
+        lower = F.when(F.col("name") == name, 0.0).otherwise(lower)
+        upper = F.when(F.col("name") == name, F.least(F.greatest(tail / (1 - accuracy), F.lit(floor)), F.lit(most))).otherwise(upper)
+    joined = joined.select(*by, "name", lower.alias("lower"), upper.alias("upper"))
     return joined.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col(side))).alias(f"{k}_{side}") for k in ratios() for side in ("lower", "upper")])
 
 
@@ -151,14 +167,14 @@ def judged(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), least_word
     texts fail. Repeated rows are judged each. An empty table gives an empty result. Further columns are not read.
     """
     found = cut(measures(docs), "measures")
-    limits = cut(fences(found, by, reach), "fences")
+    limits = cut(fences(found, by, reach, least_words=least_words, most_repeated=most_repeated), "fences")
     keys = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in by]
     # a few figures per group; the documents' side is only counts, and a hot group's rows are dealt by skew handling
     joined = found.select("*", *keys).join(limits.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in limits.columns if c not in by]), [f"_{c}" for c in by], "left")
     inside = F.lit(True)
     for name, value in ratios().items():
         inside = inside & F.coalesce(value.between(F.col(f"{name}_lower"), F.col(f"{name}_upper")), F.lit(True))
-    failed = (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
+    failed = _failed(least_words, most_repeated)
     return joined.select("doc_id", "lang", "source", *_NAMES, failed.alias("base_failed"), (~failed & inside).alias("kept"))
 
 

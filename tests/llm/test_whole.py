@@ -69,3 +69,17 @@ def test_keep_good_with_repeated_and_null_ids(spark):
     rows = [(None, one, "en", "s"), (None, "short", "en", "s"), (1, two, "en", "s"), (1, "short", "en", "s")]
     got = quality.keep_good(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()
     assert sorted(r.text for r in got) == sorted([one, two])
+
+
+def test_fences_differ_between_groups(spark):
+    def text(k, dup, symbols):
+        lines = [" ".join(f"{c}{k}w{n}" for c in "abcde") for n in range(20)]
+        return "\n".join(lines[: 20 - dup] + ["same end"] * dup) + "".join(f" #{n}" for n in range(symbols))
+
+    rows = [(k, text(k, 4 if k % 5 == 0 else 0, 0), "en", "a") for k in range(100)] + [(100 + k, text(k, 0, 90 if k % 5 == 0 else 0), "en", "b") for k in range(100)]
+    rows += [(200, text(200, 4, 0), "en", "b"), (201, text(201, 0, 90), "en", "a")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    a, b = quality.fences(quality.measures(df)).orderBy("source").collect()
+    assert a.dup_lines_upper > b.dup_lines_upper and b.symbols_upper > a.symbols_upper
+    kept = {r.doc_id for r in quality.judged(df).where("kept").collect()}
+    assert 50 in kept and 150 in kept and not kept & {200, 201}
