@@ -415,7 +415,7 @@ def review_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as candidates, labels as decisions and verifications, Spanish documents as official evidence and French ones as proposals; broken rules, counted."""
     docs, labels = load(spark, sf, "documents"), load(spark, sf, "labels")
     shared = [F.col("doc_id").alias("evidence_id"), F.col("doc_id").alias("source_id"), F.col("source").alias("study_design"), F.col("lang").alias("population"), F.lit("o").alias("outcome"), F.substring("text", 1, 30).alias("verbatim_excerpt")]
-    said = F.substring("text", 1, 200)
+    said = F.col("text")
     decisions = labels.where("toxic = 0 or quality = 1").select(F.col("doc_id").alias("record_id"), F.when(F.col("quality") == 1, "include").otherwise("maybe").alias("human_decision"), F.when(F.col("doc_id") % 5 == 0, " ").otherwise("r").alias("human_reason"))
     packet = docs.select(F.col("doc_id").alias("source_id"), F.col("source").alias("design"), F.when(F.col("n_chars") % 7 == 0, "x").otherwise(F.col("lang")).alias("population"), F.lit("o").alias("outcome"), F.substring("text", 1, 30).alias("excerpt"), F.lit("l").alias("locator"))
     broken = governance.review(
