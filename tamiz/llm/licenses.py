@@ -12,6 +12,7 @@ shingles that are the least of some template, which leaves out no pair that the
 
 from __future__ import annotations
 
+import json
 import re
 import struct
 
@@ -20,10 +21,11 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import let
+from tamiz.llm.license_texts import TEXTS
 
 WORDS = 5
-# Short public license notices, by SPDX-like name.
-TEMPLATES = {
+# Short public license notices, by SPDX-like name. Whole texts are beside this file.
+NOTICES = {
     "all-rights-reserved": "All rights reserved.",
     "Apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "BSD-notice": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
@@ -36,6 +38,7 @@ TEMPLATES = {
     "MIT-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+TEMPLATES = NOTICES | TEXTS
 
 
 def word_hashes(text: Column) -> Column:
@@ -50,9 +53,14 @@ def shingles(hashes: Column, size: int) -> Column:
     return let(hashes, lambda h: F.when(F.size(h) >= size, runs(h)).otherwise(F.array().cast("array<bigint>")))
 
 
+def band(j: int):
+    """The hash of band ``j``. A function of one parameter: Spark would fill a second one with the element's index."""
+    return lambda x: F.xxhash64(x, F.lit(j))
+
+
 def minima(of: Column, bands: int) -> Column:
     """The least value of each band's hash over the shingles."""
-    return F.array(*[F.array_min(F.transform(of, lambda x, j=j: F.xxhash64(x, F.lit(j)))) for j in range(bands)])
+    return F.array(*[F.array_min(F.transform(of, band(j))) for j in range(bands)])
 
 
 def _long(x: int) -> int:
@@ -87,10 +95,10 @@ def prepared(templates: dict[str, str], bands: int) -> list[dict]:
 
 
 def _table(spark: SparkSession, known: list[dict]) -> DataFrame:
-    """(shingle, template...): a row for each shingle that is the least of a template in some band."""
-    longs = lambda x: F.array(*[F.lit(v).cast("bigint") for v in x])
-    rows = [F.struct(F.lit(x).cast("bigint").alias("shingle"), F.lit(r["license"]).alias("license"), longs(r["of"]).alias("of"), longs(r["bands"]).alias("bands"), F.lit(r["stride"]).alias("stride"), F.lit(r["length"]).alias("length")) for r in known for x in r["least"]]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("t")).select("t.*")
+    """(shingle, template...): a row for each shingle that is the least of a template in some band. One text literal, so plans stay short."""
+    rows = [{"shingle": x} | {k: r[k] for k in ("license", "of", "bands", "stride", "length")} for r in known for x in r["least"]]
+    kind = "array<struct<shingle:bigint,license:string,of:array<bigint>,bands:array<bigint>,stride:int,length:int>>"
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(rows)), kind)).alias("t")).select("t.*")
 
 
 def scan(docs: DataFrame, templates: dict[str, str] | None = None, bands: int = 8, share: float = 0.8) -> DataFrame:
