@@ -3,7 +3,7 @@
 Candidates for entropy are runs of at least ``WINDOW`` characters of a base-64 alphabet. A window slides along a candidate; the counts of
 its characters are updated by the one that enters and the one that leaves, and with them the sum of c log2 c, from which the window's
 Shannon entropy follows. Each character class has its own threshold: windows of hexadecimal digits only, and windows of the whole
-alphabet. Candidates on the allow list are not reported.
+alphabet. Candidates on the allow list are not reported; the list judges a whole candidate. Work grows with the text's length.
 
 Positions are code points, ends exclusive.
 """
@@ -31,50 +31,78 @@ HEX_BITS, TEXT_BITS = 3.0, 3.8
 #: Candidates that are no secrets: words without digits, rows of one sign, examples, runs through the alphabet.
 ALLOWED = r"^[A-Za-z+/_=-]*$|^[0-9/_=-]*$|(?i)example|0123456789|abcdefghijklm"
 
+#: A long candidate is looked at in pieces of so many characters, each with the end of the piece before it.
+PIECE = 4096
+
 _SPANS = "array<struct<start:int,end:int,found:string>>"
+_INTS = "array<int>"
+
+
+def groups(values: Column) -> Column:
+    """The array cut into about as many parts as each has elements, so that a fold with a growing result copies little."""
+    size = lambda v: F.greatest(F.lit(16), F.ceil(F.sqrt(F.size(v))).cast("int"))
+    cut = lambda v, n: F.transform(F.sequence(F.lit(0), F.floor((F.size(v) - 1) / n).cast("int")), lambda k: F.slice(v, k * n + 1, n))
+    return let(values, lambda v: F.when(F.size(v) > 0, let(size(v), lambda n: cut(v, n))).otherwise(F.slice(F.array(v), 1, 0)))
+
+
+def running(values: Column, add, start: Column) -> Column:
+    """(at, out): the fold of an int array by ``add``, and for each element the value before it."""
+    step = lambda s, x: F.struct(add(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    return F.aggregate(values, F.struct(start.alias("at"), F.array().cast(_INTS).alias("out")), step)
+
+
+def sums_before(values: Column) -> Column:
+    """For each element of an int array the sum of those before it."""
+    plus = lambda a, x: a + x
+    zero = F.lit(0)
+    joined = lambda parts: F.flatten(F.zip_with(parts, running(F.transform(parts, lambda p: p["at"]), plus, zero)["out"], lambda p, h: F.transform(p["out"], lambda x: x + h)))
+    return let(F.transform(groups(values), lambda v: running(v, plus, zero)), joined)
 
 
 def found(text: Column, pattern: str) -> Column:
     """All leftmost non-overlapping matches with their positions, from the pieces between them."""
-    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(gap.alias("gap"), m.alias("m")))
-
-    def add(done, x):
-        start = done["at"] + F.length(x["gap"])
-        end = start + F.length(x["m"])
-        more = F.struct(end.alias("at"), F.concat(done["spans"], F.array(F.struct(start.alias("start"), end.alias("end"), x["m"].alias("found")))).alias("spans"))
-        return F.when(x["m"].isNull(), done).otherwise(more)
-
-    none = F.array().cast(_SPANS)
-    spans = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("spans")), add, lambda done: done["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(none)
-
-
-def window_bits(candidate: Column) -> Column:
-    """(hex, text): the most bits of any window of hexadecimal digits, and of any window; 0 where there is none."""
-    weight = F.array(*[F.lit(c * math.log2(c) if c else 0.0) for c in range(WINDOW + 1)])
-    codes = F.transform(F.sequence(F.lit(1), F.length(candidate)), lambda i: F.instr(F.lit(ALPHABET), F.substr(candidate, i, F.lit(1))))
-    # (entering, leaving) codes; 0 for nothing
-    leaving = lambda all_codes, i: F.when(i >= WINDOW, F.get(all_codes, i - WINDOW)).otherwise(0)
-    steps = let(codes, lambda v: F.transform(v, lambda c, i: F.struct(c.alias("come"), leaving(v, i).alias("go"), i.alias("i"))))
-    none = F.lit(0.0)
-    start = F.struct(
-        F.array_repeat(F.lit(0), len(ALPHABET) + 1).alias("counts"), none.alias("sum"), F.lit(0).alias("digits"), none.alias("hex"), none.alias("text")
-    )
+    pairs = F.zip_with(F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m"), F.length(m).alias("n")))
+    span = lambda x, before: F.struct((before + x["gap"]).alias("start"), (before + x["gap"] + x["n"]).alias("end"), x["m"].alias("found"))
+    spans = let(F.filter(pairs, lambda x: x["m"].isNotNull()), lambda v: F.zip_with(v, sums_before(F.transform(v, lambda x: x["gap"] + x["n"])), span))
+    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(_SPANS))
+
+
+def _is_high(piece: Column) -> Column:
+    """Whether some window of a piece reaches its class's bits.
+
+    The counts of a window's characters are one letter each in a short text ("A" for none), so a step changes two letters. The sum of
+    c log2 c is kept in whole numbers, which do not drift.
+    """
+    scale = 1 << 40
+    weight = [round(c * math.log2(c) * scale) if c else 0 for c in range(WINDOW + 1)]
+    more = F.array(*[F.lit(b - a).cast("bigint") for a, b in zip(weight, weight[1:])])
+    codes = F.transform(F.filter(F.split(piece, ""), lambda c: c != ""), lambda c: F.instr(F.lit(ALPHABET), c))
+    event = lambda code, come, full: F.struct(code.alias("code"), F.lit(come).alias("come"), full.alias("full"))
+    gone = lambda v, i: F.when(i >= WINDOW, F.array(event(F.get(v, i - WINDOW), False, F.lit(False)))).otherwise(F.array().cast("array<struct<code:int,come:boolean,full:boolean>>"))
+    events = let(codes, lambda v: F.flatten(F.transform(v, lambda c, i: F.concat(gone(v, i), F.array(event(c, True, i >= WINDOW - 1))))))
+    most = F.lit(1 << 62).cast("bigint")
+    start = F.struct(F.lit("A" * len(ALPHABET)).alias("counts"), F.lit(0).cast("bigint").alias("sum"), F.lit(0).alias("digits"), F.lit(False).alias("full"), most.alias("hex"), most.alias("text"))
+    # sums of windows that end with the last event
+    hexes = lambda s: F.when(s["full"] & (s["digits"] == WINDOW), F.least(s["hex"], s["sum"])).otherwise(s["hex"])
+    texts = lambda s: F.when(s["full"], F.least(s["text"], s["sum"])).otherwise(s["text"])
 
     def slide(s, x):
-        come, go = x["come"], x["go"]
-        counts = F.transform(s["counts"], lambda n, k: n + F.when(k == come, 1).otherwise(0) - F.when((k == go) & (go > 0), 1).otherwise(0))
-        gained = F.get(weight, F.get(s["counts"], come) + 1) - F.get(weight, F.get(s["counts"], come))
-        lost = F.when(go > 0, F.get(weight, F.get(s["counts"], go)) - F.get(weight, F.get(s["counts"], go) - 1)).otherwise(0.0)
-        total = F.when(come == go, s["sum"]).otherwise(s["sum"] + gained - lost)
-        digits = s["digits"] + F.when(come <= HEX_DIGITS, 1).otherwise(0) - F.when(go.between(1, HEX_DIGITS), 1).otherwise(0)
-        bits = F.when(x["i"] >= WINDOW - 1, math.log2(WINDOW) - total / WINDOW).otherwise(0.0)
+        n = F.ascii(F.substr(s["counts"], x["code"], F.lit(1))) - 65
+        step = F.when(x["come"], 1).otherwise(-1)
+        gain = F.when(x["come"], F.get(more, n)).otherwise(-F.get(more, n - 1))
         return F.struct(
-            counts.alias("counts"), total.alias("sum"), digits.alias("digits"),
-            F.greatest(s["hex"], F.when(digits == WINDOW, bits).otherwise(0.0)).alias("hex"), F.greatest(s["text"], bits).alias("text"),
+            F.overlay(s["counts"], F.char((n + step + 65).cast("bigint")), x["code"], F.lit(1)).alias("counts"), (s["sum"] + gain).alias("sum"),
+            (s["digits"] + F.when(x["code"] <= HEX_DIGITS, step).otherwise(0)).alias("digits"), x["full"].alias("full"), hexes(s).alias("hex"), texts(s).alias("text"),
         )
 
-    return F.aggregate(steps, start, slide, lambda s: F.struct(s["hex"].alias("hex"), s["text"].alias("text")))
+    within = lambda sums, bits: sums <= int((math.log2(WINDOW) - bits) * WINDOW * scale)
+    return F.aggregate(events, start, slide, lambda s: within(hexes(s), HEX_BITS) | within(texts(s), TEXT_BITS))
+
+
+def is_high(candidate: Column) -> Column:
+    """Whether some window of the candidate reaches its class's bits; looks no further than the first piece that has one."""
+    pieces = F.regexp_extract_all(candidate, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    return let(pieces, lambda v: F.exists(F.transform(v, lambda p, i: F.concat(F.when(i > 0, F.right(F.get(v, i - 1), F.lit(WINDOW - 1))).otherwise(""), p)), _is_high))
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
@@ -89,11 +117,8 @@ def with_spans(docs: DataFrame) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     assign = F.filter(found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 12)
-    high = F.filter(
-        F.transform(F.filter(found(text, CANDIDATE), lambda x: ~x["found"].rlike(ALLOWED)), lambda x: F.struct(x.alias("x"), window_bits(x["found"]).alias("bits"))),
-        lambda x: (x["bits"]["hex"] >= HEX_BITS) | (x["bits"]["text"] >= TEXT_BITS),
-    )
-    every = F.concat(_of_kind(assign, "assign"), _of_kind(found(text, ACCESS), "access"), _of_kind(found(text, HEX), "hex"), _of_kind(F.transform(high, lambda x: x["x"]), "entropy"))
+    high = F.filter(found(text, CANDIDATE), lambda x: ~x["found"].rlike(ALLOWED) & is_high(x["found"]))
+    every = F.concat(_of_kind(assign, "assign"), _of_kind(found(text, ACCESS), "access"), _of_kind(found(text, HEX), "hex"), _of_kind(high, "entropy"))
     return docs.withColumn("_secrets", F.array_sort(every))
 
 
@@ -111,14 +136,29 @@ def scan(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """``docs`` with every reported span of the text replaced by ``mark``; overlapping spans are replaced once, all else stays."""
+    """``docs`` with every reported span of the text replaced by ``mark``; overlapping spans are replaced once, all else stays.
+
+    Spans are taken in groups, each with the part of the text that it covers, so work grows with the text's length and hardly with the
+    number of spans.
+    """
     columns = docs.columns
 
-    def replace(done, x):
-        start = F.greatest(x["start"], done["at"])
-        more = F.struct(x["end"].alias("at"), F.concat(done["text"], F.substr("text", done["at"] + 1, start - done["at"]), F.when(x["start"] < done["at"], "").otherwise(mark)).alias("text"))
-        return F.when(x["end"] <= done["at"], done).otherwise(more)
+    def replace(text, base):
+        def one(done, x):
+            start, end = F.greatest(x["start"] - base, done["at"]), x["end"] - base
+            said = F.when(x["start"] - base < done["at"], "").otherwise(mark)
+            return F.when(end <= done["at"], done).otherwise(F.struct(end.alias("at"), F.concat(done["text"], F.substr(text, done["at"] + 1, start - done["at"]), said).alias("text")))
+
+        return one
+
+    def group(spans, base, end):  # text from base, where all groups before have ended, to this group's end
+        none = F.struct(F.lit(0).alias("at"), F.lit("").alias("text"))
+        return let(F.substr("text", base + 1, end - base), lambda part: F.aggregate(spans, none, replace(part, base), lambda done: done["text"]))
+
+    def joined(parts):
+        ends = running(F.transform(parts, lambda v: F.array_max(F.transform(v, lambda x: x["end"]))), lambda a, x: F.greatest(a, x), F.lit(0))
+        whole = lambda r: F.concat(F.array_join(F.transform(parts, lambda v, k: group(v, F.get(r["out"], k), F.coalesce(F.get(r["out"], k + 1), r["at"]))), ""), F.substr("text", r["at"] + 1))
+        return let(ends, whole)
 
-    end = lambda done: F.concat(done["text"], F.substr(F.col("text"), done["at"] + 1))
-    marked = F.aggregate("_secrets", F.struct(F.lit(0).alias("at"), F.lit("").alias("text")), replace, end)
+    marked = let(groups(F.col("_secrets")), joined)
     return with_spans(docs).withColumn("text", F.when(F.size("_secrets") > 0, marked).otherwise(F.col("text"))).select(*columns)
