@@ -3,6 +3,10 @@
 A document's words are streamed through the automaton, which gives the longest match that ends at each word. Matches of ``window``
 words or more (or of a whole item that is shorter than that) mark their words; marked spans are removed, and documents of which
 too much is marked are dropped.
+
+The automaton is built from items a block of bounded size at a time and kept as sorted arrays: some 50 MB for 200,000 words. All blocks are
+scanned in one pass over the documents, one after another over each Arrow batch, so a worker holds one block. Many runs of words go through
+the automaton side by side; a run is cut into pieces that overlap by ``window`` - 1 words, which loses no window.
 """
 
 from __future__ import annotations
@@ -14,13 +18,16 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import bound_batches, cut
+from tamiz.llm.common import bound_batches
 
 #: Bytes of words: digits, a-z and all above ASCII; A-Z is lowered, everything else separates.
 _TABLE = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+#: Words of a run that go through the automaton as one.
+PIECE = 256
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -28,192 +35,247 @@ def words_of(text: bytes) -> list[bytes]:
 
 
 @dataclass
-class Automaton:
-    """States are numbers; state 0 is the root. ``items`` of a state are the items that contain its words."""
+class _Builder:
+    """States are numbers; state 0 is the root."""
 
-    window: int
     step: list[dict[int, int]] = field(default_factory=lambda: [{}])
-    link: list[int] = field(default_factory=lambda: [-1])
+    link: list[int] = field(default_factory=lambda: [0])
     length: list[int] = field(default_factory=lambda: [0])
-    items: list[set[int]] = field(default_factory=lambda: [set()])
-    whole: dict[int, set[int]] = field(default_factory=dict)
-    ids: dict[bytes, int] = field(default_factory=dict)
-    least: int = 1 << 30
 
     def _state(self, length: int, step: dict[int, int], link: int) -> int:
         self.step.append(step)
         self.link.append(link)
         self.length.append(length)
-        self.items.append(set())
         return len(self.link) - 1
 
     def _split(self, p: int, c: int, q: int) -> int:
         """A clone of ``q`` for the words that reach it from ``p`` and from its suffixes."""
         clone = self._state(self.length[p] + 1, dict(self.step[q]), self.link[q])
         self.link[q] = clone
-        while p != -1 and self.step[p].get(c) == q:
+        while self.step[p].get(c) == q:
             self.step[p][c] = clone
+            if not p:
+                break
             p = self.link[p]
         return clone
 
-    def _extend(self, last: int, c: int) -> int:
+    def extend(self, last: int, c: int) -> int:
         q = self.step[last].get(c)
         if q is not None:
             return q if self.length[q] == self.length[last] + 1 else self._split(last, c, q)
         new, p = self._state(self.length[last] + 1, {}, 0), last
-        while p != -1 and c not in self.step[p]:
+        while c not in self.step[p]:
             self.step[p][c] = new
+            if not p:
+                return new
             p = self.link[p]
-        if p != -1:
-            q = self.step[p][c]
-            self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
+        q = self.step[p][c]
+        self.link[new] = q if self.length[q] == self.length[p] + 1 else self._split(p, c, q)
         return new
 
+
+@dataclass
+class Automaton:
+    """The automaton of one block of items.
+
+    A step from a state by a word's code is found in ``keys`` (state * codes + code, sorted). ``anchor`` of a state is the state of its last
+    ``window`` words, 0 if it has fewer; ``output`` is the first state, on the way over suffix links, that is a whole short item. States that
+    are an anchor or a whole item have items: (state, item) pairs, sorted.
+    """
+
+    window: int
+    least: int
+    ids: dict[bytes, int]
+    keys: np.ndarray
+    to: np.ndarray
+    link: np.ndarray
+    length: np.ndarray
+    anchor: np.ndarray
+    output: np.ndarray
+    pair_state: np.ndarray
+    pair_item: np.ndarray
+
     @classmethod
     def build(cls, items: list[list[bytes]], window: int) -> Automaton:
-        made = cls(window)
-        coded = [[made.ids.setdefault(w, len(made.ids)) for w in words] for words in items]
+        ids: dict[bytes, int] = {}
+        coded = [[ids.setdefault(w, len(ids)) for w in words] for words in items]
+        made, whole, pairs = _Builder(), set(), []
         for words in coded:
             last = 0
             for c in words:
-                last = made._extend(last, c)
+                last = made.extend(last, c)
+        link, length = made.link, made.length
         for k, words in enumerate(coded):
             at = 0
-            for c in words:  # every prefix of the item, and by suffix links every word sequence in it
-                at = up = made.step[at][c]
-                while up > 0 and k not in made.items[up]:
-                    made.items[up].add(k)
-                    up = made.link[up]
+            for n, c in enumerate(words, 1):
+                at = made.step[at][c]
+                if n >= window:
+                    up = at
+                    while length[link[up]] >= window:
+                        up = link[up]
+                    pairs.append((up, k))
             if 0 < len(words) < window:
-                made.whole.setdefault(at, set()).add(k)
-            if words:
-                made.least = min(made.least, window, len(words))
-        return made
-
-    def scan(self, words: list[bytes]) -> tuple[np.ndarray, set[int]]:
-        """Whether each word is hit, and the items with a window that occurs."""
-        n = len(words)
-        hit, found = np.zeros(n, bool), set()
-        if n < self.least:
-            return hit, found
-        get = self.ids.get
-        codes = np.fromiter((get(w, -1) for w in words), np.int64, n)
-        edges = np.flatnonzero(np.diff(np.concatenate(([False], codes >= 0, [False])).astype(np.int8)))
-        for a, b in edges.reshape(-1, 2).tolist():  # no match crosses a word that no item has
-            if b - a >= self.least:
-                self._follow(codes[a:b].tolist(), a, hit, found)
-        return hit, found
-
-    def _follow(self, codes: list[int], at: int, hit: np.ndarray, found: set[int]) -> None:
-        step, link, length, window = self.step, self.link, self.length, self.window
-        state = matched = 0
-        for i, c in enumerate(codes, at + 1):
-            while state and c not in step[state]:
-                state = link[state]
-                matched = length[state]
-            state = step[state].get(c, 0)
-            matched = matched + 1 if state else 0
-            if matched >= window:
-                hit[i - matched : i] = True
-                up = state
-                while length[link[up]] >= window:
-                    up = link[up]
-                found |= self.items[up]
-            if self.whole:
-                up = state
-                while up > 0:
-                    if up in self.whole and length[up] <= matched:
-                        hit[i - length[up] : i] = True
-                        found |= self.whole[up]
-                    up = link[up]
-
-
-def _blocks(benchmark: DataFrame, block_words: int) -> Iterator[tuple[list[str], list[list[bytes]]]]:
-    """Items, a block of at most ``block_words`` words (or one item) at a time: the driver holds one block, not the table."""
+                whole.add(at)
+                pairs.append((at, k))
+        anchor, output = [0] * len(link), [0] * len(link)
+        for s in sorted(range(1, len(link)), key=length.__getitem__):  # links lead to shorter states
+            anchor[s] = 0 if length[s] < window else s if length[link[s]] < window else anchor[link[s]]
+            output[s] = s if s in whole else output[link[s]]
+        codes = max(len(ids), 1)
+        keys = np.fromiter((s * codes + c for s, step in enumerate(made.step) for c in step), np.int64)
+        to = np.fromiter(chain.from_iterable(step.values() for step in made.step), np.int32)
+        order = np.argsort(keys)
+        own = np.unique(np.array(pairs, np.int64).reshape(-1, 2), axis=0)
+        least = min((min(window, len(x)) for x in coded if x), default=1 << 30)
+        small = lambda x: np.array(x, np.int32)
+        return cls(window, least, ids, keys[order], to[order], small(link), small(length), small(anchor), small(output), small(own[:, 0]), small(own[:, 1]))
+
+    def _step(self, states: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The next states, and whether there is one."""
+        wanted = states.astype(np.int64) * len(self.ids) + codes
+        at = np.minimum(np.searchsorted(self.keys, wanted), len(self.keys) - 1)
+        return self.to[at], self.keys[at] == wanted
+
+    def _pieces(self, codes: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and lengths, longest first, of what goes through side by side; no match crosses a word that no item has or a document's end."""
+        known = codes >= 0
+        begins = np.zeros(len(codes) + 1, bool)
+        begins[first] = True
+        starts = np.flatnonzero(known & (begins[:-1] | ~np.concatenate(([False], known[:-1]))))
+        begins[-1] = True
+        ends = np.flatnonzero(known & (begins[1:] | ~np.concatenate((known[1:], [False])))) + 1
+        keep = ends - starts >= self.least
+        starts, ends = starts[keep], ends[keep]
+        over = self.window - 1
+        each = np.maximum(1, -(-(ends - starts - over) // PIECE))
+        k = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        begin = np.repeat(starts, each) + k * PIECE
+        length = np.minimum(PIECE + over, np.repeat(ends, each) - begin)
+        order = np.argsort(-length, kind="stable")
+        return begin[order], length[order]
+
+    def scan(self, docs: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Whether each word of all documents, one after another, is hit; and (document, item) for items with a window that occurs."""
+        counts = np.fromiter(map(len, docs), np.int64, len(docs))
+        ends = np.cumsum(counts)
+        total, get = int(counts.sum()), self.ids.get
+        none = np.zeros(total, bool), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        if not self.ids or not total:
+            return none
+        codes = np.fromiter((get(w, -1) for w in chain.from_iterable(docs)), np.int64, total)
+        begin, length = self._pieces(codes, np.unique((ends - counts)[counts > 0]))
+        if not len(begin):
+            return none
+        state, matched = np.zeros(len(begin), np.int32), np.zeros(len(begin), np.int32)
+        seen: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []  # the position after a hit, its length, the state that has the items
+        some_whole = bool(self.output.any())
+        for t in range(int(length[0])):
+            k = int(np.searchsorted(-length, -t))  # pieces longer than t
+            at, code, s, m = begin[:k] + t, codes[begin[:k] + t], state[:k], matched[:k]
+            to, ok = self._step(s, code)
+            lost = np.flatnonzero(~ok)
+            while len(lost):  # the root has a step for every known word
+                s[lost] = up = self.link[s[lost]]
+                m[lost] = self.length[up]
+                more, ok = self._step(up, code[lost])
+                to[lost[ok]] = more[ok]
+                lost = lost[~ok]
+            s[:] = to
+            m += 1
+            hit = np.flatnonzero(m >= self.window)
+            if len(hit):
+                seen.append((at[hit] + 1, m[hit].copy(), self.anchor[to[hit]]))
+            if some_whole:
+                out = np.where(self.length[to] == m, self.output[to], self.output[self.link[to]])
+                while len(hit := np.flatnonzero(out)):
+                    at, out = at[hit], out[hit]
+                    seen.append((at + 1, self.length[out], out))
+                    out = self.output[self.link[out]]
+        if not seen:
+            return none
+        after, size, of = (np.concatenate(x) for x in zip(*seen, strict=True))
+        open_ = np.bincount(after - size, minlength=total + 1) - np.bincount(after, minlength=total + 1)
+        own = np.unique(np.stack((np.searchsorted(ends, after - 1, "right"), of), axis=1), axis=0)
+        lo, hi = np.searchsorted(self.pair_state, own[:, 1]), np.searchsorted(self.pair_state, own[:, 1], "right")
+        each = hi - lo
+        places = np.repeat(lo, each) + np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+        return np.cumsum(open_)[:total] > 0, np.repeat(own[:, 0], each), self.pair_item[places].astype(np.int64)
+
+
+def _blocks(benchmark: DataFrame, block_words: int, window: int) -> Iterator[tuple[list[str], list[list[bytes]]]]:
+    """Items, a block of at most ``block_words`` words at a time: the driver holds one block, not the table.
+
+    An item that is longer goes into several blocks, in parts that overlap by ``window`` - 1 words, which have all its windows.
+    """
     names, items, size = [], [], 0
+    part = max(block_words, 2 * window)
     for row in benchmark.select("item_id", "text").where("text is not null").toLocalIterator():
         words = words_of(row.text.encode())
-        if items and size + len(words) > block_words:
-            yield names, items
-            names, items, size = [], [], 0
-        names.append(str(row.item_id))
-        items.append(words)
-        size += len(words)
+        for a in range(0, max(len(words) - window + 1, 1), part - window + 1):
+            piece = words[a : a + part]
+            if items and size + len(piece) > block_words:
+                yield names, items
+                names, items, size = [], [], 0
+            names.append(str(row.item_id))
+            items.append(piece)
+            size += len(piece)
     yield names, items
 
 
+def _shared(docs: DataFrame, benchmark: DataFrame, window: int, block_words: int) -> list[Broadcast]:
+    """The automaton and the item names of each block, broadcast; each is of bounded size."""
+    context = docs.sparkSession.sparkContext
+    return [context.broadcast((Automaton.build(items, window), names)) for names, items in _blocks(benchmark, block_words, window)]
+
+
+def _found(shared: list[Broadcast], texts: list[bytes | None]) -> tuple[list[int], list[list[list[int]]], list[list[str]]]:
+    """For each text its number of words, spans of hit words and ids of items, over all blocks. Of several blocks one is held at a time."""
+    docs = [words_of(x or b"") for x in texts]
+    counts = [len(x) for x in docs]
+    hit, names = np.zeros(sum(counts), bool), [set() for _ in docs]
+    for block in shared:
+        automaton, own = block.value
+        more, doc, item = automaton.scan(docs)
+        hit |= more
+        for d, k in zip(doc.tolist(), item.tolist(), strict=True):
+            names[d].add(own[k])
+        if len(shared) > 1 and getattr(block, "_path", None):
+            automaton = own = None
+            vars(block).pop("_value", None)  # read from the executor's disk again for the next batch
+    spans, at = [], 0
+    for n, found in zip(counts, names, strict=True):
+        spans.append(_spans(hit[at : at + n]).tolist() if found else [])
+        at += n
+    return counts, spans, [sorted(x) for x in names]
+
+
 def _spans(hit: np.ndarray) -> np.ndarray:
     return np.flatnonzero(np.diff(np.concatenate(([False], hit, [False])).astype(np.int8))).reshape(-1, 2)
 
 
-def _scanner(shared):
-    """(key..., text) -> (key..., n_words, spans, items) by one block's automaton."""
+def _scanner(shared: list[Broadcast]):
+    """(doc_id, text) -> (doc_id, n_words, spans, items)."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton, names = shared.value
         for batch in batches:
-            out = []
-            for text in batch.column(batch.num_columns - 1).cast(pa.binary()):
-                words = words_of(text.as_py() or b"")
-                hit, found = automaton.scan(words)
-                out.append((len(words), _spans(hit).tolist() if found else [], sorted(names[k] for k in found)))
-            counts, spans, items = zip(*out, strict=True) if out else ((), (), ())
+            counts, spans, items = _found(shared, [x.as_py() for x in batch.column(1).cast(pa.binary())])
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns[:-1], pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
-                [*batch.schema.names[:-1], "n_words", "spans", "items"],
+                [batch.column(0), pa.array(counts, pa.int64()), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(items, pa.list_(pa.string()))],
+                ["doc_id", "n_words", "spans", "items"],
             )
 
     return scan
 
 
-_FOUND = "n_words long, spans array<array<long>>, items array<string>"
-
-
-def _passes(numbered: DataFrame, blocks: Iterator[tuple[list[str], list[list[bytes]]]], window: int, key: str) -> DataFrame:
-    """The finds of a pass per block over the same texts, one after the other; ``key`` declares the columns before the text."""
-    spark, every = numbered.sparkSession, None
-    for names, items in blocks:
-        shared = spark.sparkContext.broadcast((Automaton.build(items, window), names))
-        part = numbered.mapInArrow(_scanner(shared), f"{key}, {_FOUND}")
-        every = part if every is None else every.unionAll(part)
-    return every
-
-
-def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 1_000_000) -> DataFrame:
+def matches(docs: DataFrame, benchmark: DataFrame, window: int = 10, block_words: int = 200_000) -> DataFrame:
     """(doc_id, n_words, spans, items): spans are [start, end) word positions that are hit, items those with a window in the document.
 
-    The automaton is broadcast, and its size is bounded: items come in blocks of at most ``block_words`` words, each with an
-    automaton of its own and a pass over the documents. If there are several, rows are numbered in a table written once, and the
-    blocks' finds are merged per row, so that any doc_id, repeated or null, keeps its rows.
-    Null texts have no words. Items without words match nothing. No items: no hits.
+    One pass over the documents without a shuffle: each row is judged in its place, so any doc_id, repeated or null, keeps its rows, and
+    ``block_words`` (see ``_blocks``) bounds memory and does not change results. Null texts have no words. Items without words match
+    nothing. No items: no hits. Items that repeat an id are that id once.
     """
     bound_batches(docs.sparkSession)
-    blocks = _blocks(benchmark, block_words)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        return _passes(docs.select("doc_id", "text"), iter([first]), window, "doc_id long")
-    numbered = cut(docs.select(F.monotonically_increasing_id().alias("_row"), "doc_id", "text"), "numbered")
-    every = _passes(numbered, chain([first, second], blocks), window, "_row long, doc_id long")
-    return (
-        every.groupBy("_row")
-        .agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.flatten(F.collect_list("spans")).alias("spans"), F.array_sort(F.flatten(F.collect_list("items"))).alias("items"))
-        .select("doc_id", "n_words", merged(F.col("spans")).alias("spans"), "items")
-    )
-
-
-def merged(spans):
-    """Overlapping and touching [start, end) spans as one each."""
-    return F.aggregate(
-        F.array_sort(spans),
-        F.array().cast("array<array<long>>"),
-        lambda done, x: F.when(
-            (F.size(done) > 0) & (F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(2)) >= x[0]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(F.array(F.try_element_at(done, F.lit(-1))[0], F.greatest(F.try_element_at(F.try_element_at(done, F.lit(-1)), F.lit(2)), x[1]))),
-            ),
-        ).otherwise(F.concat(done, F.array(x))),
-    )
+    return docs.select("doc_id", "text").mapInArrow(_scanner(_shared(docs, benchmark, window, block_words)), "doc_id long, n_words long, spans array<array<long>>, items array<string>")
 
 
 def digest(found: DataFrame) -> DataFrame:
@@ -240,58 +302,30 @@ def _cut(text: bytes, spans: list[list[int]]) -> bytes:
     return b"".join([*out, text[at:]])
 
 
-def _cleaner(spans_of, columns: int, max_coverage: float):
-    """The first ``columns`` columns with their text cut, without rows of too much coverage; ``spans_of`` gives a batch's spans."""
+def _cleaner(shared: list[Broadcast], max_coverage: float):
+    """Texts cut, without rows of too much coverage."""
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k = batch.schema.get_field_index("text")
             values = [x.as_py() for x in batch.column(k).cast(pa.binary())]
-            texts, keep = [], []
-            for text, (n_words, spans) in zip(values, spans_of(batch, values), strict=True):
-                keep.append(sum(b - a for a, b in spans) <= max_coverage * n_words)
-                texts.append(_cut(text, spans) if spans else text)
-            made = [pa.array(texts, pa.binary()).cast(pa.string()) if i == k else c for i, c in enumerate(batch.columns[:columns])]
+            counts, found, _ = _found(shared, values)
+            keep = [sum(b - a for a, b in spans) <= max_coverage * n for n, spans in zip(counts, found, strict=True)]
+            texts = [_cut(text, spans) if spans else text for text, spans in zip(values, found, strict=True)]
+            made = [pa.array(texts, pa.binary()).cast(pa.string()) if i == k else c for i, c in enumerate(batch.columns)]
             yield pa.RecordBatch.from_arrays(made, schema=pa.schema([pa.field(f.name, c.type) for f, c in zip(batch.schema, made)])).filter(pa.array(keep, pa.bool_()))
 
     return clean
 
 
-def _scanned(shared):
-    """Spans of each text by the one automaton there is."""
-
-    def spans_of(batch: pa.RecordBatch, values: list[bytes | None]) -> Iterator[tuple[int, list[list[int]]]]:
-        automaton = shared.value[0]
-        for text in values:
-            words = words_of(text or b"")
-            yield len(words), _spans(automaton.scan(words)[0]).tolist()
-
-    return spans_of
-
-
-def _given(batch: pa.RecordBatch, values: list[bytes | None]) -> Iterator[tuple[int, list[list[int]]]]:
-    """Spans that earlier passes have left in the last column."""
-    for text, spans in zip(values, batch.column(batch.num_columns - 1).to_pylist(), strict=True):
-        yield len(words_of(text or b"")) if spans else 0, spans or []
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 1_000_000) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, max_coverage: float = 0.5, block_words: int = 200_000) -> DataFrame:
     """``docs`` without hit spans; documents with more than ``max_coverage`` of their words hit are dropped. Other columns stay as they are.
 
-    Spans of all blocks of items (see ``matches``) are found on the texts as given and merged per row; then each text is cut once and
-    its coverage judged once, so the result does not depend on ``block_words``.
+    Spans of all blocks of items (see ``matches``) are found on the text as given; then it is cut once and its coverage judged once, so
+    the result does not depend on ``block_words``.
     """
-    spark, n = docs.sparkSession, len(docs.columns)
-    bound_batches(spark)
-    blocks = _blocks(benchmark, block_words)
-    first, second = next(blocks), next(blocks, None)
-    if second is None:
-        shared = spark.sparkContext.broadcast((Automaton.build(first[1], window), None))
-        return docs.mapInArrow(_cleaner(_scanned(shared), n, max_coverage), docs.schema)
-    numbered = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    every = _passes(numbered.select("_row", "text"), chain([first, second], blocks), window, "_row long").where(F.size("spans") > 0)
-    spans = cut(every.groupBy("_row").agg(F.flatten(F.collect_list("spans")).alias("_spans")).withColumn("_spans", merged(F.col("_spans"))), "spans")
-    return numbered.join(spans, "_row", "left").select(*docs.columns, "_spans").mapInArrow(_cleaner(_given, n, max_coverage), docs.schema)
+    bound_batches(docs.sparkSession)
+    return docs.mapInArrow(_cleaner(_shared(docs, benchmark, window, block_words), max_coverage), docs.schema)
 
 
 def sha256_of_ids(ids: list[str]) -> str:
