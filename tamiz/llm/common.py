@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -23,8 +24,15 @@ def shared_folder(spark: SparkSession) -> str:
     return found
 
 
+#: Folders made inside calls of ``settled``, one list per call.
+_MADE: list[list[str]] = []
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_folder(spark)}/tamiz/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/tamiz/{name}-{uuid.uuid4().hex}"
+    if _MADE:
+        _MADE[-1].append(path)
+    return path
 
 
 def cut(df: DataFrame, name: str) -> DataFrame:
@@ -34,6 +42,23 @@ def cut(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def settled(name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """``cut`` of what ``build`` returns; folders that ``build`` has made are deleted then, since only its result is read on."""
+    _MADE.append([])
+    try:
+        df = build()
+        spark = df.sparkSession
+        path = f"{shared_folder(spark)}/tamiz/{name}-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+    finally:
+        spent = _MADE.pop()
+    if _MADE:
+        _MADE[-1].append(path)
+    for folder in spent:
+        discard(spark, folder)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import cut
+from tamiz.llm.common import settled
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,12 +32,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Nodes without an edge are not returned; loops and repeated edges are harmless. Each round is written to the
     shared folder, so that a lost executor repeats one round at most. Raises if ``max_rounds`` do not suffice.
     """
-    now = cut(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct(), "edges"
-    )
+    now = settled("edges", lambda: edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
     for _ in range(max_rounds):
-        now = cut(_star(_star(now, True), False), "edges")
+        now = settled("edges", lambda last=now: _star(_star(last, True), False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()

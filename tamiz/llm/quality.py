@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import cut
+from tamiz.llm.common import bound_batches, cut, settled
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -88,6 +88,7 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def measures(docs: DataFrame) -> DataFrame:
     """doc_id, lang, source and the five counts and the non-blank lines of each whole text; a null text has none of anything."""
+    bound_batches(docs.sparkSession)
     schema = "doc_id long, lang string, source string, " + ", ".join(f"{x} long" for x in _COUNTS)
     return docs.select(F.col("doc_id").cast("long"), F.col("lang").cast("string"), F.col("source").cast("string"), F.col("text").cast("string")).mapInArrow(_measure, schema)
 
@@ -142,7 +143,7 @@ def fences(docs_measures: DataFrame, by: tuple[str, ...] = ("lang", "source"), r
     word_length: quartiles moved out by ``reach`` times their distance, which counts as a tenth of the median at least, or 0.05, so that a
     group of near-equal documents isn't thinned. The others are mostly zero, and so are their quartiles: at most their ``TAIL`` quantile,
     kept within the bounds of ``TAILS``, so that a group of clean texts allows for some and one of much junk doesn't admit it. Groups of under
-    ``least`` documents take the fences of all documents together. Null lang or source is a group of its own.
+    ``least`` documents take the fences of all documents together; ``own_fences`` tells which. Null lang or source is a group of its own.
     """
     filled = docs_measures.where(~_failed(max(least_words, 1), most_repeated)).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in by], *_COUNTS)
     sketch = cut(sketches(filled, by), "sketches")
@@ -156,18 +157,19 @@ def fences(docs_measures: DataFrame, by: tuple[str, ...] = ("lang", "source"), r
     for name, (floor, most) in TAILS.items():
         lower = F.when(F.col("name") == name, 0.0).otherwise(lower)
         upper = F.when(F.col("name") == name, F.least(F.greatest(tail / (1 - accuracy), F.lit(floor)), F.lit(most))).otherwise(upper)
-    joined = joined.select(*by, "name", lower.alias("lower"), upper.alias("upper"))
-    return joined.groupBy(*by).agg(*[F.max(F.when(F.col("name") == k, F.col(side))).alias(f"{k}_{side}") for k in ratios() for side in ("lower", "upper")])
+    joined = joined.select(*by, "name", (F.col("total") >= least).alias("own"), lower.alias("lower"), upper.alias("upper"))
+    return joined.groupBy(*by).agg(F.min("own").alias("own_fences"), *[F.max(F.when(F.col("name") == k, F.col(side))).alias(f"{k}_{side}") for k in ratios() for side in ("lower", "upper")])
 
 
 def judged(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), least_words: int = 10, most_repeated: float = 20.0, reach: float = 4.0) -> DataFrame:
-    """doc_id, lang, source, the five counts, base_failed, and kept: passes the base rules and lies within its group's fences.
+    """doc_id, lang, source, the five counts, base_failed, kept: passes the base rules and lies within its group's fences, and own_fences:
+    whether those are the group's own, not those of all documents (null if all of the group fail the base rules).
 
     base_failed: under ``least_words`` words, or more than ``most_repeated`` percent of words in repeated windows. Null, empty and blank
     texts fail. Repeated rows are judged each. An empty table gives an empty result. Further columns are not read.
     """
     found = cut(measures(docs), "measures")
-    limits = cut(fences(found, by, reach, least_words=least_words, most_repeated=most_repeated), "fences")
+    limits = settled("fences", lambda: fences(found, by, reach, least_words=least_words, most_repeated=most_repeated))
     keys = [F.coalesce(F.col(c), F.lit("")).alias(f"_{c}") for c in by]
     # a few figures per group; the documents' side is only counts, and a hot group's rows are dealt by skew handling
     joined = found.select("*", *keys).join(limits.select(*[F.col(c).alias(f"_{c}") for c in by], *[c for c in limits.columns if c not in by]), [f"_{c}" for c in by], "left")
@@ -175,11 +177,11 @@ def judged(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), least_word
     for name, value in ratios().items():
         inside = inside & F.coalesce(value.between(F.col(f"{name}_lower"), F.col(f"{name}_upper")), F.lit(True))
     failed = _failed(least_words, most_repeated)
-    return joined.select("doc_id", "lang", "source", *_NAMES, failed.alias("base_failed"), (~failed & inside).alias("kept"))
+    return joined.select("doc_id", "lang", "source", *_NAMES, failed.alias("base_failed"), (~failed & inside).alias("kept"), "own_fences")
 
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` that ``judged`` keeps, all columns unchanged. Rows go by a number of their own, so a doc_id may be null or repeated."""
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    good = judged(rows.withColumn("doc_id", F.col("_row")), **settings).where("kept").select(F.col("doc_id").alias("_row"))
+    good = settled("good", lambda: judged(rows.withColumn("doc_id", F.col("_row")), **settings).where("kept").select(F.col("doc_id").alias("_row")))
     return rows.join(good, "_row", "left_semi").select(*docs.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm import decontaminate, langid, licenses, packing, quality, secrets, sharding, simhash, suffixes, warc
-from tamiz.llm.common import cut, new_folder, table
+from tamiz.llm.common import new_folder, settled, table
 
 
 def tokenizer_path() -> str:
@@ -21,9 +21,12 @@ def op1_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_archives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    path = new_folder(spark, "archives")
-    warc.write(table(spark, sf_dir, "pages"), path)
-    found = warc.resolve(cut(warc.read(spark, path), "records"))
+    def records() -> DataFrame:
+        path = new_folder(spark, "archives")
+        warc.write(table(spark, sf_dir, "pages"), path)
+        return warc.read(spark, path)
+
+    found = warc.resolve(settled("records", records))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "intact")
 
 

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import bound_batches, cut
+from tamiz.llm.common import bound_batches, cut, settled
 from tamiz.llm.components import components
 
 BITS, MAX_BITS, POSITIONS, SHARED = 64, 3, 8, 5
@@ -100,7 +100,8 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def links(prints: DataFrame) -> DataFrame:
     """Distinct fingerprints (fp) -> links (a, b) that span every class of fingerprints at most three bits apart."""
-    lists = _postings(prints).groupBy("k", "shared").agg(F.collect_list("fp").alias("list")).where(F.size("list") > 1)
+    spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a posting list is many times its row
+    lists = _postings(spread).groupBy("k", "shared").agg(F.collect_list("fp").alias("list")).where(F.size("list") > 1)
     return lists.select("list").mapInArrow(_links, "a long, b long").distinct()
 
 
@@ -111,13 +112,16 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     an empty table gives an empty result; further columns of ``docs`` are not read. A repeated doc_id keeps all its rows.
     """
     prints = cut(fingerprints(docs), "fingerprints")
-    classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
-    roots = components(links(classes.select("fp")))
-    rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted, "rooted")
-    best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    members = cut(rooted.join(best, "root").select("fp", "component_id"), "members")
-    return prints.join(members, "fp").select("doc_id", "fp", "component_id")
+
+    def members() -> DataFrame:
+        classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "classes")
+        roots = components(links(classes.select("fp")))
+        rooted = classes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+        rooted = cut(rooted, "rooted")
+        best = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+        return rooted.join(best, "root").select("fp", "component_id")
+
+    return prints.join(settled("members", members), "fp").select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -126,7 +130,10 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows go by a number of their own in a table written once, so a doc_id may be null or repeated.
     """
     rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")
-    kept = found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(best).select("best._row")
-    return rows.join(cut(kept, "kept"), "_row", "left_semi").select(*docs.columns)
+
+    def kept() -> DataFrame:
+        found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+        return found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(best).select("best._row")
+
+    return rows.join(settled("kept", kept), "_row", "left_semi").select(*docs.columns)
