@@ -63,6 +63,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one that no column of ``df`` has."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs``, written once, with a number for each row, and that column's name."""
+    name = unused(docs, "_row")
+    return cut(docs.withColumn(name, F.monotonically_increasing_id()), "rows"), name
+
+
 def text_of(df: DataFrame, column: str = "text"):
     """The column with null as the empty text."""
     return F.coalesce(df[column].cast("string"), F.lit(""))

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import bound_batches, cut, settled
+from tamiz.llm.common import bound_batches, cut, numbered, settled
 
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
@@ -182,6 +182,8 @@ def judged(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), least_word
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
     """``docs`` that ``judged`` keeps, all columns unchanged. Rows go by a number of their own, so a doc_id may be null or repeated."""
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
-    good = settled("good", lambda: judged(rows.withColumn("doc_id", F.col("_row")), **settings).where("kept").select(F.col("doc_id").alias("_row")))
-    return rows.join(good, "_row", "left_semi").select(*docs.columns)
+    rows, row = numbered(docs)
+    by = settings.get("by", ("lang", "source"))
+    own = rows.select(F.col(row).alias("doc_id"), "text", *{"lang": 0, "source": 0} | dict.fromkeys(by))
+    good = settled("good", lambda: judged(own, **settings).where("kept").select(F.col("doc_id").alias(row)))
+    return rows.join(good, row, "left_semi").select(*docs.columns)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tamiz.llm import decontaminate, langid, licenses, packing, quality, secrets, sharding, simhash, suffixes, warc
 from tamiz.llm.common import new_folder, settled, table
+from tamiz.llm.oracles import ORACLES
 
 
 def tokenizer_path() -> str:
@@ -67,4 +68,4 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f for f in (op1_licenses, op2_archives, op3_decontaminate, op4_packing, op5_language, op6_repeats, op7_secrets, op8_shards, op9_quality, op10_simhash)
 }
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]

@@ -15,7 +15,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import let
+from tamiz.llm.common import let, unused
 
 # The patterns of the base kinds, in the order in which spans with one start are listed.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+))"""
@@ -110,8 +110,8 @@ def _of_kind(spans: Column, kind: str) -> Column:
     return F.transform(spans, lambda x: F.struct(x["start"].alias("start"), F.lit(rank).alias("rank"), x["end"].alias("end")))
 
 
-def with_spans(docs: DataFrame) -> DataFrame:
-    """``docs`` and a column ``_secrets``: base and entropy spans as array<struct<start, rank of kind, end>>, by start and kind.
+def with_spans(docs: DataFrame, name: str = "_secrets") -> DataFrame:
+    """``docs`` and a column ``name``: base and entropy spans as array<struct<start, rank of kind, end>>, by start and kind.
 
     Null and empty texts have none. Works row by row: other columns, repeated rows and ties are left as they are.
     """
@@ -119,7 +119,7 @@ def with_spans(docs: DataFrame) -> DataFrame:
     assign = F.filter(found(text, ASSIGN), lambda x: F.length(F.regexp_extract(x["found"], ASSIGN, 2)) >= 12)
     high = F.filter(found(text, CANDIDATE), lambda x: ~x["found"].rlike(ALLOWED) & is_high(x["found"]))
     every = F.concat(_of_kind(assign, "assign"), _of_kind(found(text, ACCESS), "access"), _of_kind(found(text, HEX), "hex"), _of_kind(high, "entropy"))
-    return docs.withColumn("_secrets", F.array_sort(every))
+    return docs.withColumn(name, F.array_sort(every))
 
 
 def listed(spans: Column) -> Column:
@@ -141,7 +141,7 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     Spans are taken in groups, each with the part of the text that it covers, so work grows with the text's length and hardly with the
     number of spans.
     """
-    columns = docs.columns
+    columns, own = docs.columns, unused(docs, "_secrets")
 
     def replace(text, base):
         def one(done, x):
@@ -160,5 +160,5 @@ def redact(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
         whole = lambda r: F.concat(F.array_join(F.transform(parts, lambda v, k: group(v, F.get(r["out"], k), F.coalesce(F.get(r["out"], k + 1), r["at"]))), ""), F.substr("text", r["at"] + 1))
         return let(ends, whole)
 
-    marked = let(groups(F.col("_secrets")), joined)
-    return with_spans(docs).withColumn("text", F.when(F.size("_secrets") > 0, marked).otherwise(F.col("text"))).select(*columns)
+    marked = let(groups(F.col(own)), joined)
+    return with_spans(docs, own).withColumn("text", F.when(F.size(own) > 0, marked).otherwise(F.col("text"))).select(*columns)

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import bound_batches, cut, settled
+from tamiz.llm.common import bound_batches, cut, numbered, settled
 from tamiz.llm.components import components
 
 BITS, MAX_BITS, POSITIONS, SHARED = 64, 3, 8, 5
@@ -129,11 +129,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows go by a number of their own in a table written once, so a doc_id may be null or repeated.
     """
-    rows = cut(docs.withColumn("_row", F.monotonically_increasing_id()), "rows")
+    rows, row = numbered(docs)
     best = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")).alias("best")
 
     def kept() -> DataFrame:
-        found = near_duplicates(rows.select(F.col("_row").alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
-        return found.join(rows.select("_row", "doc_id"), "_row").groupBy("component_id").agg(best).select("best._row")
+        found = near_duplicates(rows.select(F.col(row).alias("doc_id"), "text")).select(F.col("doc_id").alias("_row"), "component_id")
+        return found.join(rows.select(F.col(row).alias("_row"), "doc_id"), "_row").groupBy("component_id").agg(best).select(F.col("best._row").alias(row))
 
-    return rows.join(settled("kept", kept), "_row", "left_semi").select(*docs.columns)
+    return rows.join(settled("kept", kept), row, "left_semi").select(*docs.columns)
