@@ -12,11 +12,17 @@ def norm(v: Column) -> Column:
 
 def unit(v: Column) -> Column:
     """MTH-01: scaled to length 1; the length counts as 1e-12 at least."""
-    return F.transform(v, lambda x: x.cast("double") / F.greatest(norm(v), F.lit(1e-12)))
+    scaled = lambda n: F.transform(v, lambda x: x.cast("double") / n)
+    return F.get(F.transform(F.array(F.greatest(norm(v), F.lit(1e-12))), scaled), F.lit(0))
 
 
-def dot(a: Column, b: Column) -> Column:
-    """MTH-02."""
+def dot(a: Column, b: Column, size: int = 0) -> Column:
+    """MTH-02. With the vectors' ``size`` given, as one sum that Spark compiles."""
+    if size:
+        total = F.lit(0.0)
+        for i in range(size):
+            total = total + F.get(a, F.lit(i)).cast("double") * F.get(b, F.lit(i)).cast("double")
+        return total
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
 
 
@@ -98,8 +104,24 @@ def sorted_filter(m: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(F.map_keys(m)), lambda k: F.concat(k, F.lit(":"), F.element_at(m, k))), ",")
 
 
-def hash_vector(words: Column, size: int = 64) -> Column:
-    """HSH-02: counts of crc32(word) mod ``size``, scaled to length 1; a stand-in for a text model."""
-    codes = F.transform(words, lambda w: (F.crc32(F.encode(w, "UTF-8")) % size).cast("int"))
-    counts = F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: F.size(F.filter(codes, lambda c: c == k)).cast("double"))
-    return F.get(F.transform(F.array(counts), unit), F.lit(0))
+def word_code(word: Column) -> Column:
+    """HSH-02: crc32 of a word."""
+    return F.crc32(F.encode(word, "UTF-8"))
+
+
+def hash_vector(words: Column, size: int = 64, code=word_code) -> Column:
+    """HSH-02, RET-17: counts of the words' codes mod ``size`` (94 at most), scaled to length 1; a stand-in for a text model. No words: all 0.
+
+    Codes become letters of one text, in which each letter is counted by its absence.
+    """
+    if not 0 < size <= 94:
+        raise ValueError("size must be 1 to 94")
+    letter = lambda k: F.char(k.cast("bigint") + 33)
+    said = F.array_join(F.transform(words, lambda w: letter(code(w) % size)), "")
+    counts = lambda t: F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda k: (F.length(t) - F.length(F.replace(t, letter(k), F.lit("")))).cast("double"))
+    return F.get(F.transform(F.transform(F.array(said), counts), unit), F.lit(0))
+
+
+def limit_or(t: Column, default: int) -> Column:
+    """MTH-18: a limit as given, or the default where it is blank or no number."""
+    return F.coalesce(t.try_cast("int"), F.lit(default))

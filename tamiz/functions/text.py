@@ -103,8 +103,8 @@ def is_grounded(quote: Column, chunk: Column) -> Column:
 
 
 def citations(t: Column) -> Column:
-    """STR-16: all [n], in order."""
-    return F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: x.cast("int"))
+    """STR-16: all [n], in order; a number beyond 18 digits counts as -1, which no source has."""
+    return F.transform(F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"\[(\d+)\]"), F.lit(1)), lambda x: F.coalesce(x.try_cast("bigint"), F.lit(-1)))
 
 
 def first_phrase(t: Column, phrases: list[str]) -> Column:

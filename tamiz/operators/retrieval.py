@@ -24,33 +24,63 @@ def chunks(docs: DataFrame, **settings) -> DataFrame:
     return spans.join(docs.select("doc_id", text.words(F.col("text")).alias("w")), "doc_id").select("doc_id", "ordinal", "start", "end", F.array_join(F.expr("slice(w, start + 1, end - start)"), " ").alias("text"))
 
 
+#: Scores are ranked to this many digits, which takes away the noise of sums in any order, and told to SHOWN.
+RANKED, SHOWN = 9, 6
+
+
+def terms_of(queries: DataFrame) -> DataFrame:
+    """(query_id, term) of (query_id, text)."""
+    return queries.select("query_id", F.explode(text.query_terms(F.col("text"))).alias("term"))
+
+
+def postings(docs: DataFrame) -> DataFrame:
+    """(term, doc_id, dl, tf) of (doc_id, text); a document's length counts all its tokens."""
+    tokens = docs.select("doc_id", F.transform(text.tokens(F.col("text")), F.lower).alias("w")).withColumn("dl", F.size("w"))
+    return tokens.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+
+
+def bm25_scores(posted: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) from ``postings`` and (n, avgdl). Query terms are joined by term, and Spark broadcasts them as long as they are small."""
+    terms = terms_of(queries)
+    asked = posted.join(terms.select("term").distinct(), "term", "left_semi")
+    df = asked.groupBy("term").agg(F.count("*").alias("df"))
+    share = numbers.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))
+    return asked.join(terms.join(df, "term"), "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(share), RANKED).alias("score"))
+
+
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """RET-02 over (doc_id, text) and (query_id, text): query_id, doc_id, score, rank. Ties by doc_id.
 
-    Only words of some query are exploded and counted; a document's length comes from its array. Query terms are joined by term, and
-    Spark broadcasts them as long as they are small.
+    Texts are cut into tokens once for the matches and once for the lengths; an index (see ``search``) keeps both.
     """
-    terms = queries.select("query_id", F.explode(F.array_distinct(F.transform(text.tokens(F.col("text")), F.lower))).alias("term")).where("length(term) > 2")
+    terms = terms_of(queries)
     tokens = docs.select("doc_id", F.transform(text.tokens(F.col("text")), F.lower).alias("w"))
     stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
-    tf = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(terms.select("term").distinct(), "term", "left_semi").groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    share = numbers.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))
-    scored = tf.join(terms.join(df, "term"), "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(share), 6).alias("score"))
-    return ranked(scored, limit)
+    own = terms.select("term").distinct()
+    tf = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(own, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return shown(ranked(bm25_scores(tf, stats, queries), limit))
 
 
-def ranked(scored: DataFrame, limit: int) -> DataFrame:
+def ranked(scored: DataFrame, limit: int | None = None) -> DataFrame:
     """WIN-01 and SRT-02: the first ``limit`` of each query by score, then doc_id."""
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    every = scored.withColumn("rank", F.row_number().over(order))
+    return every if limit is None else every.where(F.col("rank") <= limit)
 
 
-def dense(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """RET-03: cosine of a stated query set (query_id, v) against all (doc_id, v). Spark sends the query set to all tasks while its size is under the broadcast threshold, and else deals both sides out in blocks."""
+def shown(results: DataFrame) -> DataFrame:
+    return results.withColumn("score", F.round("score", SHOWN))
+
+
+def dense_scores(vectors: DataFrame, queries: DataFrame, size: int = 64) -> DataFrame:
+    """(query_id, doc_id, score): cosine of a stated query set (query_id, v) against all (doc_id, v). Spark sends the query set to all tasks while its size is under the broadcast threshold, and else deals both sides out in blocks."""
     q = queries.select("query_id", numbers.unit(F.col("v")).alias("qv"))
-    scored = vectors.select("doc_id", numbers.unit(F.col("v")).alias("v")).crossJoin(q).select("query_id", "doc_id", F.round(numbers.dot(F.col("v"), F.col("qv")), 6).alias("score"))
-    return ranked(scored, limit)
+    return vectors.select("doc_id", numbers.unit(F.col("v")).alias("v")).crossJoin(q).select("query_id", "doc_id", F.round(numbers.dot(F.col("v"), F.col("qv"), size), RANKED).alias("score"))
+
+
+def dense(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
+    """RET-03: the nearest by ``dense_scores``."""
+    return shown(ranked(dense_scores(vectors, queries), limit))
 
 
 def fuse(dense_list: DataFrame, lexical_list: DataFrame, depth: int = 100, k: int = 60) -> DataFrame:
@@ -105,3 +135,28 @@ def pool(results: DataFrame, qrels: DataFrame, order: tuple[str, ...] = ("lexica
     seen = F.array_join(F.filter(F.array(*map(F.lit, order)), lambda m: F.array_contains(F.col("modes"), m)), "|")
     merged = results.groupBy(*keys).agg(F.collect_set("mode").alias("modes"), F.min("rank").alias("best_rank"))
     return judge(merged.select(*keys, seen.alias("seen_in_modes"), "best_rank"), qrels)
+
+
+def occurrences(docs: DataFrame, items: DataFrame, size: int = 5) -> DataFrame:
+    """(query_id, document_id): items (query_id, item) whose text occurs in a document (doc_id, text), word for word.
+
+    An item's first ``size`` tokens are looked for by equality among the documents' runs of tokens, and only pairs that share them are held
+    against each other; items of fewer tokens match nothing.
+    """
+    first = lambda t: F.slice(F.transform(text.tokens(t), F.lower), 1, size)
+    own = items.select("query_id", "item", first(F.col("item")).alias("w")).where(F.size("w") == size).select("query_id", "item", F.xxhash64("w").alias("run"))
+    runs = lambda w: F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - size), lambda i: F.xxhash64(F.slice(w, i + 1, size))))
+    tokens = docs.select("doc_id", F.transform(text.tokens(F.col("text")), F.lower).alias("w")).where(F.size("w") >= size)
+    met = tokens.select("doc_id", F.explode(runs(F.col("w"))).alias("run")).join(own, "run")
+    return met.join(docs.select("doc_id", "text"), "doc_id").where(F.contains("text", F.col("item"))).select("query_id", F.col("doc_id").alias("document_id")).distinct()
+
+
+def macro(metrics_: DataFrame, by: list[str]) -> DataFrame:
+    """AGG-13: means over queries, 0 where there is none."""
+    mean = lambda c: F.round(F.coalesce(F.avg(c), F.lit(0.0)), 6).alias(c)
+    return metrics_.groupBy(*by).agg(F.count("*").alias("n_queries"), mean("hit_at_3"), mean("mrr"), mean("ndcg_at_5"))
+
+
+def judgment_counts(pooled: DataFrame) -> DataFrame:
+    """AGG-16: pooled ranges by judgment."""
+    return pooled.groupBy("judgment").agg(F.count("*").alias("n"))

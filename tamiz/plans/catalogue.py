@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions import numbers, text
-from tamiz.operators import answers, audit, documents, governance, linkage, preflight, retrieval
+from tamiz.operators import answers, audit, documents, governance, linkage, preflight, retrieval, search
 from tamiz.session import load
 
 QUERIES: dict = {}
@@ -77,8 +77,8 @@ _BM25 = f"""(WITH q AS (SELECT DISTINCT item_id AS query_id, term FROM (SELECT i
   d AS (SELECT doc_id, {_TOKENS} AS w FROM documents), s AS (SELECT count(*) AS n, avg(len(w)) AS avgdl FROM d),
   tf AS (SELECT doc_id, dl, term, count(*) AS tf FROM (SELECT doc_id, len(w) AS dl, unnest(w) AS term FROM d) WHERE term IN (SELECT term FROM q) GROUP BY 1, 2, 3),
   df AS (SELECT term, count(*) AS df FROM tf GROUP BY 1)
-  SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-    SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) AS score
+  SELECT query_id, doc_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM (
+    SELECT query_id, doc_id, round(sum(greatest(ln((n - df + 0.5) / (df + 0.5)), 1e-6) * tf * 2.2 / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 9) AS raw
     FROM tf JOIN df USING (term) JOIN q USING (term) CROSS JOIN s GROUP BY 1, 2))"""
 
 
@@ -96,8 +96,8 @@ def _dense(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     return retrieval.dense(vectors, vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"), limit)
 
 
-_DENSE = """(SELECT query_id, doc_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM (
-  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 6) AS score FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0))"""
+_DENSE = """(SELECT query_id, doc_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM (
+  SELECT q.vec_id AS query_id, d.vec_id AS doc_id, round(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]), CAST(d.embedding AS DOUBLE[])), 9) AS raw FROM embeddings d CROSS JOIN embeddings q WHERE q.vec_id % 100 = 0))"""
 
 
 @query(f"SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM {_DENSE} WHERE rank <= 10")
@@ -105,13 +105,45 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _dense(spark, sf, 10)
 
 
+def _md5_code(word):
+    """A word's code in the queries' vectors: both engines have MD5."""
+    return F.conv(F.substring(F.md5(F.encode(word, "UTF-8")), 1, 6), 16, 10).cast("int")
+
+
+def _embed(t):
+    return search.embedded(t, _md5_code)
+
+
+def _items(spark: SparkSession, sf: str) -> DataFrame:
+    """A stated query set: every fifth item, its text as the question."""
+    return load(spark, sf, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), "text")
+
+
+def _semantic(spark: SparkSession, sf: str, limit: int) -> DataFrame:
+    """The nearest documents of each item by vectors of their words."""
+    vectors = lambda df, key: df.select(key, _embed(F.col("text")).alias("v"))
+    return retrieval.dense(vectors(load(spark, sf, "documents"), "doc_id"), vectors(_items(spark, sf), "query_id"), limit)
+
+
+def _vector(table: str, key: str, where: str = "") -> str:
+    """SQL of (key, v): counts of the words' codes mod 64."""
+    terms = f"SELECT {key}, unnest(list_distinct(list_filter({_TOKENS}, lambda w: length(w) > 2))) AS w FROM {table} {where}"
+    counts = f"SELECT {key}, ('0x' || substr(md5(w), 1, 6))::INT % 64 AS k, count(*)::DOUBLE AS n FROM ({terms}) GROUP BY ALL"
+    return f"(SELECT {key}, list_transform(range(64), lambda j: coalesce(list_sum(list_transform(list_filter(c, lambda x: x.k = j), lambda x: x.n)), 0)) AS v FROM (SELECT {key}, list({{'k': k, 'n': n}}) AS c FROM ({counts}) GROUP BY 1))"
+
+
+_SEMANTIC = f"""(SELECT query_id, doc_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM (
+  SELECT item_id AS query_id, doc_id, round(coalesce(list_cosine_similarity(q.v, d.v), 0), 9) AS raw
+  FROM (SELECT doc_id, coalesce(v, list_transform(range(64), lambda j: 0.0::DOUBLE)) AS v FROM documents LEFT JOIN {_vector("documents", "doc_id")} USING (doc_id)) d CROSS JOIN {_vector("benchmark", "item_id", "WHERE item_id % 5 = 0")} q))"""
+
+
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.fuse(_dense(spark, sf, 100), _lexical(spark, sf, 100))
+    return retrieval.fuse(_semantic(spark, sf, 100), _lexical(spark, sf, 100).where("query_id % 5 = 0"))
 
 
 _FUSED = f"""(SELECT query_id, doc_id, dense_rank, lexical_rank, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST) AS rank FROM (
   SELECT query_id, doc_id, a.rank AS dense_rank, b.rank AS lexical_rank, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score
-  FROM (SELECT * FROM {_DENSE} WHERE rank <= 100) a FULL JOIN (SELECT * FROM {_BM25} WHERE rank <= 100) b USING (query_id, doc_id)))"""
+  FROM (SELECT * FROM {_SEMANTIC} WHERE rank <= 100) a FULL JOIN (SELECT * FROM {_BM25} WHERE rank <= 100 AND query_id % 5 = 0) b USING (query_id, doc_id)))"""
 
 
 @query(f"SELECT query_id, doc_id, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank, score, CAST(rank AS INT) AS rank FROM {_FUSED} WHERE rank <= 20")
@@ -127,14 +159,12 @@ def diversified_topk(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _gold(spark: SparkSession, sf: str) -> DataFrame:
-    """Items that occur verbatim in a document, as a stated query set: broadcast while small, else in blocks."""
-    items = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item"))
-    docs = load(spark, sf, "documents").select("doc_id", "text")
-    met = docs.join(items, F.contains("text", F.col("item"))).select("query_id", F.col("doc_id").alias("document_id"))
+    """Items that occur verbatim in a document."""
+    met = retrieval.occurrences(load(spark, sf, "documents"), load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("item")))
     return met.withColumns({"page_start": F.lit(1), "page_end": F.lit(1), "relevance": F.lit(1)})
 
 
-_GOLD = "(SELECT item_id AS query_id, doc_id FROM documents d JOIN benchmark b ON contains(d.text, b.text))"
+_GOLD = f"(SELECT item_id AS query_id, doc_id FROM documents d JOIN (SELECT item_id, text, len({_TOKENS}) AS n FROM benchmark) b ON contains(d.text, b.text) WHERE n >= 5)"
 
 
 @query(f"SELECT query_id, doc_id AS document_id, CASE WHEN g.doc_id IS NULL THEN 'unjudged' ELSE 'positive' END AS judgment FROM (SELECT * FROM {_BM25} WHERE rank <= 5) LEFT JOIN {_GOLD} g USING (query_id, doc_id)")
@@ -151,13 +181,63 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.metrics(results, _gold(spark, sf))
 
 
-@query(f"""WITH a AS (SELECT query_id, document_id, min(rank) AS best_rank, string_agg(mode, '|' ORDER BY mode DESC) AS seen_in_modes FROM (
-  SELECT query_id, doc_id AS document_id, rank, 'lexical' AS mode FROM {_BM25} WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank, 'dense' FROM {_DENSE} WHERE rank <= 5) GROUP BY 1, 2)
-  SELECT a.query_id, document_id, seen_in_modes, CAST(best_rank AS INT) AS best_rank, CASE WHEN g.doc_id IS NULL THEN 'unjudged' ELSE 'positive' END AS judgment FROM a LEFT JOIN {_GOLD} g ON a.query_id = g.query_id AND a.document_id = g.doc_id""")
+_POOL = f"""(WITH a AS (SELECT query_id, document_id, min(rank) AS best_rank, string_agg(mode, '|' ORDER BY list_position(['lexical', 'dense', 'hybrid'], mode)) AS seen_in_modes FROM (
+  SELECT query_id, doc_id AS document_id, rank, 'lexical' AS mode FROM {_BM25} WHERE rank <= 5 AND query_id % 5 = 0 UNION ALL SELECT query_id, doc_id, rank, 'dense' FROM {_SEMANTIC} WHERE rank <= 5
+  UNION ALL SELECT query_id, doc_id, rank, 'hybrid' FROM {_FUSED} WHERE rank <= 5) GROUP BY 1, 2)
+  SELECT a.query_id, document_id, seen_in_modes, CAST(best_rank AS INT) AS best_rank, CASE WHEN g.doc_id IS NULL THEN 'unjudged' ELSE 'positive' END AS judgment FROM a LEFT JOIN {_GOLD} g ON a.query_id = g.query_id AND a.document_id = g.doc_id)"""
+
+
+def _ranges(df: DataFrame, mode: str) -> DataFrame:
+    return df.select("query_id", F.col("doc_id").alias("document_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "rank", F.lit(mode).alias("mode"))
+
+
+def _modes(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five of each mode for each item of the query set."""
+    lexical = _ranges(_lexical(spark, sf, 5).where("query_id % 5 = 0"), "lexical")
+    return lexical.unionByName(_ranges(_semantic(spark, sf, 5), "dense")).unionByName(_ranges(_fused(spark, sf).where("rank <= 5"), "hybrid"))
+
+
+@query(f"SELECT * FROM {_POOL}")
 def retrieval_pool(spark: SparkSession, sf: str) -> DataFrame:
-    of = lambda df, mode: df.select("query_id", F.col("doc_id").alias("document_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "rank", F.lit(mode).alias("mode"))
-    both = of(_lexical(spark, sf, 5), "lexical").unionByName(of(_dense(spark, sf, 5), "dense"))
-    return retrieval.pool(both, _gold(spark, sf)).select("query_id", "document_id", "seen_in_modes", "best_rank", "judgment")
+    return retrieval.pool(_modes(spark, sf), _gold(spark, sf)).select("query_id", "document_id", "seen_in_modes", "best_rank", "judgment")
+
+
+@query(f"SELECT judgment, count(*) AS n FROM {_POOL} GROUP BY 1")
+def judgment_counts(spark: SparkSession, sf: str) -> DataFrame:
+    return retrieval.judgment_counts(retrieval_pool(spark, sf))
+
+
+@query(f"""WITH g AS (SELECT * FROM {_GOLD} WHERE query_id % 5 = 0), n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
+  r AS (SELECT query_id, rank, mode FROM (SELECT query_id, doc_id, rank, 'lexical' AS mode FROM {_BM25} UNION ALL SELECT query_id, doc_id, rank, 'dense' FROM {_SEMANTIC} UNION ALL SELECT query_id, doc_id, rank, 'hybrid' FROM {_FUSED}) JOIN g USING (query_id, doc_id) WHERE rank <= 5),
+  q AS (SELECT m.mode, n.query_id, CAST(coalesce(min(rank) <= 3, false) AS INT) AS hit, coalesce(round(1.0::DOUBLE / min(rank), 6), 0) AS mrr,
+    round(coalesce(sum(1.0::DOUBLE / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(any_value(n), 5) + 1), lambda k: 1.0::DOUBLE / log2(k + 1))), 6) AS ndcg
+    FROM n CROSS JOIN (SELECT unnest(['lexical', 'dense', 'hybrid']) AS mode) m LEFT JOIN r ON r.query_id = n.query_id AND r.mode = m.mode GROUP BY 1, 2)
+  SELECT mode, count(*) AS n_queries, round(avg(hit), 6) AS hit_at_3, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_at_5 FROM q GROUP BY 1""")
+def evaluation_summary(spark: SparkSession, sf: str) -> DataFrame:
+    """Macro means of each mode over the items of the query set that occur in some document."""
+    found, gold = _modes(spark, sf), _gold(spark, sf).where("query_id % 5 = 0")
+    each = [retrieval.metrics(found.where(F.col("mode") == m), gold).withColumn("mode", F.lit(m)) for m in search.MODES]
+    return retrieval.macro(each[0].unionByName(each[1]).unionByName(each[2]), ["mode"])
+
+
+_HITS = f"""(SELECT query_id, doc_id, dense_rank, lexical_rank, score, ds, ls, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST) AS rank FROM (
+  SELECT query_id, doc_id, a.rank AS dense_rank, b.rank AS lexical_rank, coalesce(a.score, 0) AS ds, coalesce(b.score, 0) AS ls,
+    coalesce(CASE WHEN a.rank <= 100 THEN 1.0::DOUBLE / (60 + a.rank) END, 0) + coalesce(CASE WHEN b.rank <= 100 THEN 1.0::DOUBLE / (60 + b.rank) END, 0) AS score
+  FROM {_SEMANTIC} a FULL JOIN (SELECT * FROM {_BM25} WHERE query_id % 5 = 0) b USING (query_id, doc_id)) WHERE score > 0)"""
+
+
+@query(rf"""SELECT query_id, CAST(position AS INT) AS rank, 'hybrid' AS mode, doc_id AS chunk_id, round(score, 6) AS score, round(ds, 6) AS dense_score, round(ls, 6) AS lexical_score, source AS document_id, 'Doc ' || doc_id AS title, lang AS author,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(1900 + doc_id % 100 AS VARCHAR) ELSE '' END AS year, lang AS category, CAST(doc_id AS INT) AS page, CAST(doc_id AS INT) AS page_start, CAST(doc_id + n_chars % 2 AS INT) AS page_end,
+  CASE WHEN lang IS NOT NULL AND lang <> '' AND doc_id % 2 = 0 THEN lang || ' (' || (1900 + doc_id % 100) || ')' WHEN lang IS NOT NULL AND lang <> '' THEN lang ELSE 'Doc ' || doc_id END AS citation,
+  CASE WHEN n_chars % 2 = 0 THEN 'p. ' || doc_id ELSE 'pp. ' || doc_id || '–' || (doc_id + 1) END AS pages, source || '.pdf' AS relative_path, array_to_string(list_slice({_WORDS}, 1, 24), ' ') || ' …' AS preview
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM (SELECT h.*, source, lang, text, n_chars, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM {_HITS} h JOIN documents USING (doc_id)) WHERE k <= 2) WHERE position <= 5""")
+def search_results(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as chunks of their source; hybrid search of every fifth item over an index that is built for it."""
+    chunks = load(spark, sf, "documents").select(
+        F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("lang").alias("author"), F.when(F.col("doc_id") % 2 == 0, (1900 + F.col("doc_id") % 100).cast("string")).otherwise("").alias("year"),
+        F.col("lang").alias("category"), F.col("doc_id").cast("int").alias("page"), F.col("doc_id").cast("int").alias("page_start"), (F.col("doc_id") + F.col("n_chars") % 2).cast("int").alias("page_end"), F.concat("source", F.lit(".pdf")).alias("relative_path"), F.lit(0).alias("ordinal"), "text",
+    )
+    return search.search(search.build(chunks, _embed), _items(spark, sf), "hybrid", 5, 2, _embed)
 
 
 _TOP = f"""(SELECT query_id, label AS answerable, max(score) AS top FROM (SELECT query_id, score, (q.label = d.label)::INT AS label FROM {_DENSE} x JOIN embeddings q ON q.vec_id = query_id JOIN embeddings d ON d.vec_id = doc_id WHERE query_id <> doc_id) GROUP BY 1, 2)"""
@@ -188,7 +268,7 @@ def evidence_sentences(spark: SparkSession, sf: str) -> DataFrame:
     return docs.groupBy("doc_id").agg(F.count("*").alias("n_sentences"), F.sum(text.is_evidence(F.col("s")).cast("int")).alias("n_evidence"))
 
 
-@query(r"SELECT conv_id, turn, len(regexp_extract_all(text, '\[(\d+)\]', 1)) AS n_markers, len(list_filter(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: CAST(x AS INT) NOT BETWEEN 1 AND 5)) AS n_invalid FROM conversations WHERE role = 'assistant'")
+@query(r"SELECT conv_id, turn, len(regexp_extract_all(text, '\[(\d+)\]', 1)) AS n_markers, len(list_filter(regexp_extract_all(text, '\[(\d+)\]', 1), lambda x: TRY_CAST(x AS BIGINT) IS NULL OR CAST(x AS BIGINT) NOT BETWEEN 1 AND 5)) AS n_invalid FROM conversations WHERE role = 'assistant'")
 def citation_problems(spark: SparkSession, sf: str) -> DataFrame:
     marks = text.citations(F.col("text"))
     turns = load(spark, sf, "conversations").where("role = 'assistant'")
@@ -232,8 +312,7 @@ def key_violations(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("SELECT min(doc_id) AS doc_id FROM documents GROUP BY text")
 def dedup_first_wins(spark: SparkSession, sf: str) -> DataFrame:
-    docs = load(spark, sf, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
-    return docs.groupBy("digest").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
+    return audit.first_wins(load(spark, sf, "documents").select("doc_id", "text"), F.sha2("text", 256), ["doc_id"]).select("doc_id")
 
 
 @query()
@@ -402,7 +481,7 @@ _PHRASES = ", ".join(f"'{p}'" for p in governance.CAUSAL_PHRASES)
 
 @query(rf"""WITH dec AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'include' ELSE 'maybe' END AS decision FROM labels WHERE toxic = 0 OR quality = 1), pend AS (SELECT doc_id FROM labels WHERE toxic = 1),
   ver AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'verified' ELSE 'rejected' END AS verdict FROM labels), ev AS (SELECT *, lang = 'es' AS official FROM documents WHERE lang IN ('es', 'fr')),
-  k AS (SELECT doc_id, list_filter([{_PHRASES}], lambda p: regexp_matches(lower(substr(text, 1, 200)), '(^|[^\p{{L}}\p{{N}}_])' || p || '([^\p{{L}}\p{{N}}_]|$)'))[1] AS phrase FROM ev),
+  k AS (SELECT doc_id, list_filter([{_PHRASES}], lambda p: regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || p || '([^\p{{L}}\p{{N}}_]|$)'))[1] AS phrase FROM ev),
   v AS (SELECT 'screening' AS rule, 'still pending after a decision' AS message FROM pend JOIN dec USING (doc_id) UNION ALL SELECT 'gate', 'screening decision pending' FROM pend
     UNION ALL SELECT 'screening', 'missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'screening', 'state outside the protocol' FROM dec WHERE decision = 'maybe'
     UNION ALL SELECT 'screening', 'decision without a reason' FROM dec WHERE doc_id % 5 = 0 UNION ALL SELECT 'anchor', 'locator differs' FROM ev WHERE NOT official UNION ALL SELECT 'population', 'population differs' FROM ev WHERE n_chars % 7 = 0
