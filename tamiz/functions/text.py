@@ -29,6 +29,11 @@ def tokens(t: Column) -> Column:
     return F.regexp_extract_all(F.coalesce(t, F.lit("")), F.lit(r"(?U)\w+"), F.lit(0))
 
 
+def token_count(t: Column) -> Column:
+    """The number of ``tokens``, without making them."""
+    return F.regexp_count(F.coalesce(t, F.lit("")), F.lit(r"(?U)\w+"))
+
+
 def query_terms(t: Column) -> Column:
     """STR-05 as an array: tokens over two characters, lower-cased, first occurrences in order."""
     return F.array_distinct(F.transform(F.filter(tokens(t), lambda w: F.length(w) > 2), F.lower))

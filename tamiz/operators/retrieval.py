@@ -36,7 +36,12 @@ def terms_of(queries: DataFrame) -> DataFrame:
 def postings(docs: DataFrame) -> DataFrame:
     """(term, doc_id, dl, tf) of (doc_id, text); a document's length counts all its tokens."""
     tokens = docs.select("doc_id", F.transform(text.tokens(F.col("text")), F.lower).alias("w")).withColumn("dl", F.size("w"))
-    return tokens.select("doc_id", "dl", F.explode("w").alias("term")).groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    return _counted(tokens.select("doc_id", "dl", F.explode("w").alias("term")))
+
+
+def _counted(tokens: DataFrame) -> DataFrame:
+    """``tf`` of (doc_id, dl, term). Dealt by document, so that sums over a document's terms need no further exchange."""
+    return tokens.repartition("doc_id").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
 
 
 def bm25_scores(posted: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
@@ -45,7 +50,8 @@ def bm25_scores(posted: DataFrame, stats: DataFrame, queries: DataFrame) -> Data
     asked = posted.join(terms.select("term").distinct(), "term", "left_semi")
     df = asked.groupBy("term").agg(F.count("*").alias("df"))
     share = numbers.bm25(F.col("tf"), F.col("df"), F.col("n"), F.col("dl"), F.col("avgdl"))
-    return asked.join(terms.join(df, "term"), "term").join(F.broadcast(stats)).groupBy("query_id", "doc_id").agg(F.round(F.sum(share), RANKED).alias("score"))
+    shares = asked.join(df, "term").join(F.broadcast(stats)).select("doc_id", "term", share.alias("share"))  # once for all queries with the term
+    return shares.join(terms, "term").groupBy("query_id", "doc_id").agg(F.round(F.sum("share"), RANKED).alias("score"))
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
@@ -55,9 +61,9 @@ def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     """
     terms = terms_of(queries)
     tokens = docs.select("doc_id", F.transform(text.tokens(F.col("text")), F.lower).alias("w"))
-    stats = tokens.agg(F.count("*").alias("n"), F.avg(F.size("w")).alias("avgdl"))
+    stats = docs.agg(F.count("*").alias("n"), F.avg(text.token_count(F.col("text"))).alias("avgdl"))
     own = terms.select("term").distinct()
-    tf = tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(own, "term", "left_semi").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+    tf = _counted(tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(own, "term", "left_semi"))
     return shown(ranked(bm25_scores(tf, stats, queries), limit))
 
 
