@@ -83,3 +83,36 @@ def timeline(turns: DataFrame, by: str, order: str, duration: Column, pause: flo
 def forward_fill(lines: DataFrame, by: str, order: str, heading: Column, name: str) -> DataFrame:
     """WIN-08: the last heading at or before each line."""
     return lines.withColumn(name, F.last(heading, ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+
+
+def merge_report(left: DataFrame, merged: DataFrame, on: list[str], group: Column, more: str, less: str, coverage: float = 0.70, most: float = 0.85, gap: float = 0.15) -> DataFrame:
+    """CHK-07: (rule, holds): rows kept, left key unique, coverage at least ``coverage`` and at most ``most``, and the rate of group ``more`` above that of ``less`` by ``gap``."""
+    hit = F.col("_merge") == "both"
+    rate = lambda x: F.avg(F.when(group == x, hit.cast("int")))
+    found = merged.agg(F.count("*").alias("n"), F.avg(hit.cast("int")).alias("rate"), (rate(more) - rate(less)).alias("gap"))
+    rows, twice = left.agg(F.count("*").alias("rows")), duplicates(left, on).agg(F.count("*").alias("twice"))
+    x = found.join(F.broadcast(rows)).join(F.broadcast(twice))
+    rules = {"rows-kept": F.col("n") == F.col("rows"), "key-unique": F.col("twice") == 0, "coverage": F.col("rate") >= coverage, "rate-band": F.col("rate").between(coverage, most), "gap": F.col("gap") >= gap}
+    return x.select(F.explode(F.array(*[F.struct(F.lit(k).alias("rule"), v.alias("holds")) for k, v in rules.items()])).alias("r")).select("r.*")
+
+
+def by_rate(rated: DataFrame, rate: str, then: str) -> DataFrame:
+    """SRT-08: groups from the lowest rate up, ties by ``then``, with their place; there is a row per group only."""
+    return rated.withColumn("place", F.row_number().over(Window.orderBy(rate, then))).orderBy("place")
+
+
+def segments(parts: DataFrame, by: str, final: Column, pause: float = 0.4) -> DataFrame:
+    """AGG-14, MTH-16: start and end of each group of (start_s, end_s), and the scale that takes its parts and pauses to ``final`` seconds."""
+    said = F.sum(F.col("end_s") - F.col("start_s")) + pause * (F.count("*") - 1)
+    return parts.groupBy(by).agg(F.min("start_s").alias("start_s"), F.max("end_s").alias("end_s"), F.count("*").alias("n"), F.round(final / said, 6).alias("scale"))
+
+
+def same_sets(a: DataFrame, b: DataFrame, by: str, value: str) -> DataFrame:
+    """SET-04: (by, same): whether both have the same values for each ``by`` of ``a``; counted once each, however often they come."""
+    both = a.select(by, value).distinct().withColumn("_a", F.lit(1)).join(b.select(by, value).distinct().withColumn("_b", F.lit(1)), [by, value], "full")
+    return both.groupBy(by).agg((F.count(F.when(F.col("_a").isNull() | F.col("_b").isNull(), 1)) == 0).alias("same"))
+
+
+def entry(listed: DataFrame, key: str, wanted: str) -> DataFrame:
+    """RET-18: the entry of an id in any case."""
+    return listed.where(F.upper(F.col(key)) == wanted.upper())

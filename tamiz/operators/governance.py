@@ -221,3 +221,31 @@ def brief(ledger: DataFrame, head: str = "") -> DataFrame:
         F.concat(F.lit("- Pasaje · «"), c("verbatim_excerpt"), F.lit("»")), F.concat(F.lit("- Localizador · "), c("locator")), F.concat(F.lit("- Verificado por · "), c("reviewer")),
     ]
     return rendered(ledger, F.lit("brief"), ["claim_id", "evidence_id"], F.concat_ws("\n", *lines), head)
+
+
+def clip_problems(clips: DataFrame, key: str, vocabularies: dict[str, tuple[str, ...]], known: DataFrame, reference: str) -> DataFrame:
+    """CHK-12: (key, rule): values outside their vocabulary, and references to what isn't known."""
+    bad = [F.coalesce(~F.col(c).isin(*allowed), F.lit(True)) for c, allowed in vocabularies.items()]
+    outside = clips.where(bad[0] if len(bad) == 1 else F.greatest(*bad)).select(key, F.lit("vocabulary").alias("rule"))
+    return outside.unionByName(clips.join(known.select(reference).distinct(), reference, "left_anti").select(key, F.lit("reference").alias("rule")))
+
+
+def verify(proposals: DataFrame, verdicts: DataFrame, screened: DataFrame, key: str, said: str) -> DataFrame:
+    """STM-02: proposals that become official: of records screened as include, those verified, with a correction in place of what was said. A rejected one leaves."""
+    met = proposals.join(verdicts.where("verdict = 'verified'").select(key, "human_correction"), key).join(screened.where("decision = 'include'").select(key), key, "left_semi")
+    return met.withColumn(said, F.coalesce(F.nullif(F.trim("human_correction"), F.lit("")), F.col(said))).drop("human_correction")
+
+
+def assembly_problems(exists: bool, text_: str, rendered_: str, open_gates: int) -> list[str]:
+    """CHK-03, assembly: a brief may exist only once all gates are closed, and is what the ledger renders."""
+    found = []
+    if exists and open_gates:
+        found.append("written while a decision is open")
+    if exists and text_ != rendered_:
+        found.append("differs from the ledger")
+    return found
+
+
+def ledger_sources(pages: DataFrame, allowed: tuple[str, ...] = ("embedded", "ocr")) -> DataFrame:
+    """CHK-11: pages (document_id, page, source) whose source is missing or unknown."""
+    return pages.where(~F.coalesce(F.col("source").isin(*allowed), F.lit(False)))

@@ -2,39 +2,46 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import text
+from tamiz.session import new_folder
+
+
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def dedup(records: DataFrame, block: str) -> DataFrame:
+def dedup(records: DataFrame, block: str, most_rounds: int = 1000) -> DataFrame:
     """(block, position, kept_position, matched): records by position within a block; one that shares a key (``matched``) with a kept one is dropped and points to it.
 
-    A dropped record's other keys are not remembered, so this is not the same as connected components. Blocks are independent queries'
-    results; one block is folded in one task and holds keys only.
+    A dropped record's other keys are not remembered, so this is not the same as connected components. (block, position) is unique; records
+    without a key are kept. Instead of a fold in order, rounds over the whole table: of the undecided, those that come first for all their
+    keys are kept, and those that share a key with a kept one are dropped. So no task holds a block, and there are as many rounds as the
+    longest chain of such decisions; raises if ``most_rounds`` do not suffice.
     """
-    keyed = records.select(F.col(block).alias("block"), "position", F.transform(text.record_keys(F.col("doi"), F.col("id"), F.col("title")), lambda x: F.concat_ws(":", x["kind"], x["v"])).alias("keys"))
-
-    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, seen = None, {}
-        for batch in batches:
-            out = []
-            for b, p, keys in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                if b != now or not out and now is None:
-                    now, seen = b, {}
-                hit = next((k for k in keys if k in seen), None)
-                if hit is None:
-                    seen |= dict.fromkeys(keys, p)
-                out.append((b, p, p if hit is None else seen[hit], hit))
-            columns = zip(*out, strict=True) if out else ((),) * 4
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (batch.schema.types[0], pa.int64(), pa.int64(), pa.string()), strict=True)], ["block", "position", "kept_position", "matched"])
-
-    kind = keyed.schema["block"].dataType.simpleString()
-    return keyed.repartition("block").sortWithinPartitions("block", "position").mapInArrow(fold, f"block {kind}, position long, kept_position long, matched string")
+    made = F.transform(text.record_keys(F.col("doi"), F.col("id"), F.col("title")), lambda x: F.concat_ws(":", x["kind"], x["v"]))
+    keyed = _written(records.select(F.col(block).alias("block"), F.col("position").cast("long").alias("position"), made.alias("keys")), "keyed")
+    each = keyed.select("block", "position", F.posexplode("keys").alias("trust", "key"))
+    left, owners = each.select("block", "position", "key"), None
+    for _ in range(most_rounds):
+        firsts = left.groupBy("block", "key").agg(F.min("position").alias("first"))
+        ahead = left.join(firsts, ["block", "key"]).groupBy("block", "position").agg(F.min((F.col("position") == F.col("first")).cast("int")).alias("ok")).where("ok = 1")
+        new = _written(left.join(ahead.select("block", "position"), ["block", "position"]), "kept")
+        owners = new if owners is None else owners.unionByName(new)
+        gone = left.join(new.select("block", "key"), ["block", "key"], "left_semi").select("block", "position").distinct()
+        left = _written(left.join(gone, ["block", "position"], "left_anti"), "left")
+        if left.isEmpty():
+            break
+    else:
+        raise RuntimeError(f"records did not settle in {most_rounds} rounds")
+    seen = each.join(owners.withColumnRenamed("position", "owner"), ["block", "key"]).where("owner <= position")
+    hit = seen.groupBy("block", "position").agg(F.min(F.struct("trust", "key", "owner")).alias("hit"))
+    kept = F.coalesce(F.col("hit.owner"), F.col("position"))
+    return keyed.join(hit, ["block", "position"], "left").select("block", "position", kept.alias("kept_position"), F.when(kept != F.col("position"), F.col("hit.key")).alias("matched"))
 
 
 def discovery(records: DataFrame, block: str, cap: int) -> DataFrame:

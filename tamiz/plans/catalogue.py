@@ -317,10 +317,9 @@ def dedup_first_wins(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def dedup_multikey(spark: SparkSession, sf: str) -> DataFrame:
-    """Records with two keys from the documents: the first words as title, and a hash of length as id, in blocks per source and hundred documents."""
+    """All documents as records with made-up identifiers: a DOI from the text's beginning, an id from its length, and the beginning as title."""
     docs = load(spark, sf, "documents").select(
-        F.concat_ws("/", "source", F.floor(F.col("doc_id") / 2000).cast("string")).alias("block"), F.col("doc_id").alias("position"),
-        F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("10.1000/"), F.substring("text", 1, 12))).alias("doi"), F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("W"), F.col("n_chars"))).alias("id"), F.substring("text", 1, 30).alias("title"),
+        F.lit("all").alias("block"), F.col("doc_id").alias("position"), F.when(F.col("n_chars") % 3 == 0, F.concat(F.lit("10.1000/"), F.substring("text", 1, 12))).alias("doi"), F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("W"), F.col("n_chars"))).alias("id"), F.substring("text", 1, 30).alias("title"),
     )
     return linkage.dedup(docs, "block")
 
@@ -538,9 +537,9 @@ def cited_answers(spark: SparkSession, sf: str) -> DataFrame:
 
 @query()
 def discovery_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    """Records with two keys from the documents, as results of one query per source and thousand ids; the first 25 candidates of each."""
+    """Records with made-up identifiers, an id from the text's length or its beginning as title, as results of one query per source; the first 25 candidates of each."""
     docs = load(spark, sf, "documents").select(
-        F.concat_ws("/", "source", F.floor(F.col("doc_id") / 1000).cast("string")).alias("block"), F.col("doc_id").alias("position"), F.lit("").alias("doi"),
+        F.coalesce("source", F.lit("")).alias("block"), F.col("doc_id").alias("position"), F.lit("").alias("doi"),
         F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("W"), F.col("n_chars"))).alias("id"), F.substring("text", 1, 30).alias("title"),
     )
     return linkage.discovery(docs, "block", 25)

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -12,3 +15,14 @@ def session(app: str = "tamiz", **conf: str) -> SparkSession:
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own under ``spark.checkpoint.dir``, which the driver and all executors see. Only a local session may lack the setting."""
+    shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.mkdtemp(prefix="spark-")
+        spark.conf.set("spark.checkpoint.dir", shared)
+    return f"{shared}/tamiz/{name}-{uuid.uuid4().hex}"

@@ -56,7 +56,7 @@ def id_lines(of: DataFrame, prefix: str = r"[A-Z]\w*(?:-\d+)?") -> DataFrame:
 
 def cells(of: DataFrame, n: int = 5) -> DataFrame:
     """SRC-16: rows of a pipe table with exactly ``n`` cells, rules left out."""
-    made = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), F.trim)
+    made = F.transform(F.split(F.regexp_replace("value", r"^\s*\||\|\s*$", ""), r"\|"), lambda c: F.trim(c))
     return of.where(F.col("value").rlike(r"^\s*\|") & ~F.col("value").rlike(r"^[\s|:-]+$")).select("path", "line", made.alias("cells")).where(F.size("cells") == n)
 
 
@@ -87,3 +87,38 @@ def write_csv(df: DataFrame, path: str, fields: list[str]) -> None:
     """SNK-01: fixed fields in order, null and missing as ""."""
     made = [F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) if c in df.columns else F.lit("").alias(c) for c in fields]
     df.select(*made).write.csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def rewrite_csv(df: DataFrame, path: str, declared: list[str], optional: tuple[str, ...] = ()) -> None:
+    """SNK-02, SNK-03: the declared columns in their order, then those optional ones that are there; other columns are left out."""
+    write_csv(df, path, [*declared, *[c for c in optional if c in df.columns and c not in declared]])
+
+
+def append_trace(row: DataFrame, path: str, fields: list[str]) -> None:
+    """SNK-04: rows added to a trace; what is there stays."""
+    row.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in fields]).write.mode("append").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+def write_jsonl(df: DataFrame, path: str) -> None:
+    """SNK-05: a record per line; nulls are left out."""
+    df.write.mode("overwrite").json(path)
+
+
+def read_json(spark: SparkSession, path: str, schema: str, required: tuple[str, ...] = ()) -> DataFrame:
+    """SRC-09: a JSON document over several lines; a required field that is missing or null is an error."""
+    df = spark.read.schema(schema).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    lacks = F.concat_ws(", ", *[F.when(F.col(c).isNull(), F.lit(c)) for c in required]) if required else F.lit("")
+    checked = df.withColumn("_lacks", lacks)
+    if bad := checked.where("_lacks <> ''").limit(1).collect():
+        raise ValueError(f"missing fields: {bad[0]['_lacks']}")
+    return df
+
+
+def write_lock(of: DataFrame, path: str) -> None:
+    """SNK-14: ``name digest`` lines."""
+    of.select(F.concat_ws(" ", "name", "digest").alias("value")).write.mode("overwrite").text(path)
+
+
+def without_text(report: DataFrame, texts: tuple[str, ...] = ("text", "quote", "verbatim_excerpt")) -> DataFrame:
+    """SNK-12: a report without the columns that carry passages."""
+    return report.drop(*texts)

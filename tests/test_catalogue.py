@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tamiz.functions import numbers, text
 from tamiz.operators import audit, linkage, retrieval
-from tamiz.plans import catalogue
+from tamiz.plans import catalogue, forms  # noqa: F401
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -74,3 +74,51 @@ def test_indicator_refuses_a_repeated_key(spark):
     left, right = spark.range(3), spark.createDataFrame([(1,), (1,)], "id long")
     with pytest.raises(ValueError):
         audit.with_indicator(left, right, ["id"])
+
+
+def test_dedup_equals_a_fold_in_order(spark):
+    import random
+
+    r = random.Random(6)
+    rows = [(b, i, r.choice(["", f"10.1/{r.randint(0, 40)}"]), r.choice(["", f"W{r.randint(0, 40)}"]), r.choice(["", f"t{r.randint(0, 9)}"])) for b in "ab" for i in range(200)]
+    got = {(x.block, x.position): (x.kept_position, x.matched) for x in linkage.dedup(spark.createDataFrame(rows, "block string, position long, doi string, id string, title string"), "block").collect()}
+    seen = {}
+    for b, i, d, w, t in rows:
+        keys = [f"doi:{d}"] * bool(d) + [f"id:{w.lower()}"] * bool(w) or [f"title:{t}"] * bool(t)
+        hit = next((k for k in keys if (b, k) in seen), None)
+        if hit is None:
+            seen |= {(b, k): i for k in keys}
+        assert got[b, i] == (i if hit is None else seen[b, hit], hit)
+
+
+def test_writers_and_checks(spark, tmp_path):
+    from tamiz.operators import governance
+    from tamiz.sources import files
+
+    df = spark.createDataFrame([("a", 'x "y"\nz', None)], "id string, note string, more string")
+    files.rewrite_csv(df, str(tmp_path / "c"), ["note", "id"], ("more", "absent"))
+    back = files.read_csv(spark, str(tmp_path / "c"), ("id",))
+    assert back.columns == ["note", "id", "more"] and tuple(back.first()) == ('x "y"\nz', "a", "")
+    for k in "ab":
+        files.append_trace(spark.createDataFrame([(k, 1)], "step string, n int"), str(tmp_path / "t"), ["step", "n"])
+    assert sorted(tuple(r) for r in files.read_csv(spark, str(tmp_path / "t")).collect()) == [("a", "1"), ("b", "1")]
+    (tmp_path / "s.json").write_text('{\n "strategy_id": "S",\n "limits": {"per_page": 5}\n}')
+    schema = "strategy_id string, limits struct<per_page:int>, consultas array<string>"
+    assert files.read_json(spark, str(tmp_path / "s.json"), schema, ("strategy_id", "limits")).first().limits.per_page == 5
+    with pytest.raises(ValueError, match="consultas"):
+        files.read_json(spark, str(tmp_path / "s.json"), schema, ("consultas",))
+    assert files.without_text(df.withColumnRenamed("note", "text")).columns == ["id", "more"]
+    assert governance.assembly_problems(True, "a", "b", 1) == ["written while a decision is open", "differs from the ledger"] and not governance.assembly_problems(False, "", "b", 1)
+    pages = spark.createDataFrame([("d", 1, "ocr"), ("d", 2, None), ("d", 3, "x")], "document_id string, page int, source string")
+    assert sorted(r.page for r in governance.ledger_sources(pages).collect()) == [2, 3]
+
+
+def test_chunk_ids_follow_the_manifest(spark):
+    from tamiz.operators import search
+
+    chunks = spark.createDataFrame([(d, k) for d, n in (("x", 3), ("y", 1), ("z", 2)) for k in range(n)], "document_id string, ordinal int")
+    manifest = spark.createDataFrame([("z", 0), ("x", 1001), ("y", 7)], "document_id string, position int")
+    got = {(r.document_id, r.ordinal): r.chunk_id for r in search.chunk_ids(chunks, manifest).collect()}
+    assert got == {("z", 0): 0, ("z", 1): 1, ("y", 0): 2, ("x", 0): 3, ("x", 1): 4, ("x", 2): 5}
+    with pytest.raises(ValueError):
+        search.search({}, manifest, "other")
