@@ -1,13 +1,15 @@
 """Language identification by a bidirectional gated recurrent network over bytes, in numpy.
 
 Each direction has one update gate: h = h + z * (c - h), with z a hard sigmoid and c = x / (1 + |x|) of the byte's and the last state's
-contributions. Both states at a position give it a probability for each language; a document's probabilities are the mean over its
-positions. Texts are read in windows of ``WINDOW`` bytes, which lets many run side by side; every byte of every text is in one.
+contributions: there is no reset gate. Both states at a position give it a probability for each language; a document's probabilities are
+the mean over its positions. Texts are read in windows of ``WINDOW`` bytes, which lets many run side by side; every byte of every text is in
+one. A window is read with ``CONTEXT`` bytes before and after it, in which the states form; beyond these no state is carried.
 Training is backpropagation through time with Adam, on windows from a bounded sample of the labelled rows.
 """
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 
 import numpy as np
@@ -17,7 +19,8 @@ from pyspark.sql import functions as F
 
 from tamiz.llm.common import bound_batches
 
-WINDOW, HIDDEN = 64, 8
+WINDOW, CONTEXT, HIDDEN = 64, 8, 8
+READ = WINDOW + 2 * CONTEXT
 #: Windows that run side by side: bounds a worker's arrays to a few MB.
 SIDE = 4096
 UNKNOWN = "und"
@@ -59,10 +62,10 @@ def _states(w: dict, codes: np.ndarray, direction: int) -> np.ndarray:
 
 
 def position_probabilities(w: dict, codes: np.ndarray) -> np.ndarray:
-    """(time, languages, windows): the probability of each language at each byte."""
-    hidden = w["u"].shape[2]
-    p = np.matmul(w["o"][:, :hidden], _states(w, codes, 0))
-    p += np.matmul(w["o"][:, hidden:], _states(w, codes, 1))
+    """(WINDOW, languages, windows): the probability of each language at each byte of the windows in codes (READ, windows)."""
+    hidden, core = w["u"].shape[2], slice(CONTEXT, CONTEXT + WINDOW)
+    p = np.matmul(w["o"][:, :hidden], _states(w, codes, 0)[core])
+    p += np.matmul(w["o"][:, hidden:], _states(w, codes, 1)[core])
     p += w["b"]
     p -= p.max(axis=1, keepdims=True)
     np.exp(p, out=p)
@@ -71,21 +74,25 @@ def position_probabilities(w: dict, codes: np.ndarray) -> np.ndarray:
 
 
 def windows_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes (windows, WINDOW) filled up with zeros, the bytes in each window, and each text's number of windows."""
+    """Codes (windows, READ) with zeros beyond the text, the bytes in each window, and each text's number of windows."""
     counts = np.array([-(-len(x) // WINDOW) for x in texts], np.int64)
-    raw = b"".join(x.ljust(k * WINDOW, b"\0") for x, k in zip(texts, counts.tolist(), strict=True))
+    edge = bytes(CONTEXT)
+    raw = np.frombuffer(b"".join(edge + x.ljust(k * WINDOW, b"\0") + edge for x, k in zip(texts, counts.tolist(), strict=True) if k), np.uint8)
     lengths = np.full(int(counts.sum()), WINDOW, np.int64)
     some = counts > 0
     last = np.cumsum(counts)[some] - 1
     lengths[last] = np.array([len(x) for x in texts], np.int64)[some] - (counts[some] - 1) * WINDOW
-    return np.frombuffer(raw, np.uint8).reshape(-1, WINDOW), lengths, counts
+    starts = np.arange(len(lengths)) * WINDOW + 2 * CONTEXT * np.repeat(np.arange(int(some.sum())), counts[some])
+    whole = np.lib.stride_tricks.sliding_window_view(raw, READ)[starts] if len(starts) else np.zeros((0, READ), np.uint8)
+    return whole, lengths, counts
 
 
-def loss_and_gradient(w: dict, codes: np.ndarray, lengths: np.ndarray, wanted: np.ndarray) -> tuple[float, dict]:
-    """Mean cross-entropy over positions, and its gradient by backpropagation through time; codes is (time, windows)."""
+def loss_and_gradient(w: dict, codes: np.ndarray, lengths: np.ndarray, wanted: np.ndarray, first: int = 0) -> tuple[float, dict]:
+    """Mean cross-entropy over ``lengths`` positions from ``first`` on, and its gradient by backpropagation through time; codes is (time, windows)."""
     steps, n = codes.shape
     hidden = w["u"].shape[2]
-    mask = (np.arange(steps)[:, None] < lengths).astype(np.float32)
+    at = np.arange(steps)[:, None] - first
+    mask = ((at >= 0) & (at < lengths)).astype(np.float32)
     total = mask.sum()
     kept, states = [], []
     for d in (0, 1):
@@ -138,7 +145,7 @@ def train(snippets: list[bytes], wanted: list[int], languages: int, steps: int =
     first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
     for t in range(1, steps + 1):
         picked = np.concatenate([r.choice(x, max(1, batch // len(of))) for x in of])
-        _, grad = loss_and_gradient(w, codes[picked].T.astype(np.intp), lengths[picked], labels[picked])
+        _, grad = loss_and_gradient(w, codes[picked].T.astype(np.intp), lengths[picked], labels[picked], CONTEXT)
         norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
         now = rate * min(1.0, 2 * (1 - t / (steps + 1)))
         for k, g in grad.items():
@@ -153,25 +160,25 @@ def held_out(doc_id):
     return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0
 
 
-def sample(docs: DataFrame, per_language: int = 500, snippets: int = 4, most_languages: int = 64) -> tuple[list[bytes], list[int], list[str]]:
-    """Training windows: about ``per_language`` labelled documents of each of the ``most_languages`` commonest languages, ``snippets`` from each.
+def sample(docs: DataFrame, per_language: int = 500, snippets: int = 2, most_rows: int = 32_000) -> tuple[list[bytes], list[int], list[str]]:
+    """Training texts of two windows: about ``per_language`` labelled documents of each language, fewer if there are so many languages that it
+    would be more than ``most_rows`` in all; ``snippets`` from each document.
 
     Documents are picked by a hash of doc_id, held-out ones never; a document's snippets start at hashed places of the whole text.
     """
     labelled = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(most_languages).collect()
+    counts = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
     if not counts:
         return [], [], []
-    share = F.lit(0.0)
-    for r in counts:
-        share = F.when(F.col("lang") == r.lang, min(1.0, per_language / r.n)).otherwise(share)
+    each = min(per_language, most_rows / len(counts))
+    share = F.element_at(F.from_json(F.lit(json.dumps({r.lang: min(1.0, each / r.n) for r in counts})), "map<string,double>"), F.col("lang"))
     dice = F.pmod(F.xxhash64(F.col("doc_id"), F.lit("pick")), F.lit(1_000_000)) / 1e6
-    room = F.greatest(F.length("text") - WINDOW, F.lit(0)) + 1
+    room = F.greatest(F.length("text") - 2 * WINDOW, F.lit(0)) + 1
     places = F.explode(F.array_distinct(F.array(*[F.pmod(F.xxhash64(F.col("doc_id"), F.lit(k)), room).cast("int") for k in range(snippets)])))
-    rows = labelled.where(dice < share).select("doc_id", "lang", "text", places.alias("at")).select("doc_id", "lang", "at", F.substr("text", F.col("at") + 1, F.lit(WINDOW)).alias("snippet"))
+    rows = labelled.where(dice < share).select("doc_id", "lang", "text", places.alias("at")).select("doc_id", "lang", "at", F.substr("text", F.col("at") + 1, F.lit(2 * WINDOW)).alias("snippet"))
     found = sorted((r.doc_id, r.at, r.lang, r.snippet) for r in rows.collect() if r.snippet)
     names = sorted({x[2] for x in found})
-    return [x[3].encode()[:WINDOW] for x in found], [names.index(x[2]) for x in found], names
+    return [x[3].encode()[: 2 * WINDOW] for x in found], [names.index(x[2]) for x in found], names
 
 
 def pooled(w: dict, texts: list[bytes]) -> np.ndarray:
