@@ -52,7 +52,7 @@ class Encoder:
     files that are no plain byte-level BPE, go to the tokenizers library itself.
     """
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 100_000):
         import tiktoken
 
         with open(path, encoding="utf-8") as f:
