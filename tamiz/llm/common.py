@@ -87,7 +87,7 @@ def let(value, body):
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def bound_batches(spark: SparkSession, most: str = "4m") -> None:
+def bound_batches(spark: SparkSession, most: str = "1m") -> None:
     """Arrow batches hold at most ``most`` bytes (or one longer row), so that workers' memory does not grow with the texts' length.
 
     The session's own setting, if there is one, stays.

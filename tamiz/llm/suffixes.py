@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.llm.common import bound_batches, discard, new_folder, text_of
+from tamiz.llm.filters import filter_of, some_rows
 
 LENGTH, HEAD, BLOCK = 200, 48, 16
 #: Bytes of a text whose windows are looked at together; positions in it fit in 24 bits.
@@ -39,8 +40,6 @@ SEGMENT = 1 << 23
 _LOW = np.uint64((1 << 24) - 1)
 _TOP = np.uint64(1 << 63)
 _ODD = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB], np.uint64)
-#: Bits of the filter of documents that is broadcast: a fixed size; when data outgrow it, more rows pass, and results stay the same.
-DOC_BITS = 26
 SUFFIX = ("hi", "lo", "head")
 #: What tells documents apart: a hash of doc_id and text, and the doc_id (null as 0).
 DOC = ("doc", "own")
@@ -185,35 +184,6 @@ class Family:
         self.levels = []
 
 
-def _filter_of(keys: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of two bits a key (a mixed 64-bit number) as 64-bit words, 2^bits bits in all."""
-    mask = (1 << bits) - 1
-    each = keys.select(F.explode(F.array(F.col("key").bitwiseAND(F.lit(mask)), F.shiftrightunsigned("key", 64 - bits))).alias("bit"))
-    words = each.groupBy(F.shiftright("bit", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(bit & 63 as int)))").alias("set")).toArrow()
-    out = np.zeros(1 << (bits - 6), np.int64)
-    out[words.column("word").to_numpy()] = words.column("set").to_numpy()
-    return out
-
-
-def _passes(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    bits = np.uint64(len(words).bit_length() - 1 + 6)
-    keys, words = keys.view(np.uint64), words.view(np.uint64)
-    ok = np.ones(len(keys), bool)
-    for at in (keys & ((np.uint64(1) << bits) - np.uint64(1)), keys >> (np.uint64(64) - bits)):
-        ok &= (words[(at >> np.uint64(6)).astype(np.int64)] >> (at & np.uint64(63)) & np.uint64(1)).astype(bool)
-    return ok
-
-
-def _some_docs(shared, inside: bool):
-    """Rows (doc, ...) of documents that pass the filter, or of those that don't."""
-
-    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield batch.filter(pa.array(_passes(shared.value, batch.column(0).to_numpy()) == inside))
-
-    return choose
-
-
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Blocks of windows by their offset to the anchor: hash of what they share, hash of all, place."""
     for batch in batches:
@@ -344,8 +314,8 @@ def _remove_repeats(docs: DataFrame, batches: int, with_text: bool, scratch: _Sc
 def _of_docs(docs: DataFrame, places: DataFrame) -> DataFrame:
     """(doc, own, text, places) of the documents that have places (doc, own, a, b, c); no others are shuffled."""
     spark = docs.sparkSession
-    marks = spark.sparkContext.broadcast(_filter_of(places.select(F.col("doc").alias("key")).distinct(), DOC_BITS))
-    some = identified(docs).mapInArrow(_some_docs(marks, True), "doc long, own long, text binary")
+    marks = spark.sparkContext.broadcast(filter_of(places.select(F.col("doc").alias("key")).distinct()))
+    some = identified(docs).mapInArrow(some_rows(marks, True), "doc long, own long, text binary")
     per = places.groupBy(*DOC).agg(F.collect_set(F.struct("a", "b", "c")).alias("places"))  # bounded by a document's length
     return some.join(per, list(DOC)).select(*DOC, "text", "places")
 
@@ -373,11 +343,11 @@ def _finish(docs: DataFrame, scratch: _Scratch, spans: list[DataFrame], kinds: D
         every = every.unionAll(part)
     per = scratch.put("spans", every.groupBy(*DOC).agg(F.collect_set(F.struct("a", "b")).alias("places")))
     scratch.drop("met", "equal", "cored", "single")
-    marks = spark.sparkContext.broadcast(_filter_of(per.select(F.col("doc").alias("key")), DOC_BITS))
+    marks = spark.sparkContext.broadcast(filter_of(per.select(F.col("doc").alias("key"))))
     named = identified(docs, F.col("doc_id").cast("long").alias("doc_id"))
     schema = f"{ids}, doc_id long, text binary"
-    some = named.mapInArrow(_some_docs(marks, True), schema).join(per, list(DOC), "left").select("doc_id", "text", "places")
-    rest = named.mapInArrow(_some_docs(marks, False), schema)
+    some = named.mapInArrow(some_rows(marks, True), schema).join(per, list(DOC), "left").select("doc_id", "text", "places")
+    rest = named.mapInArrow(some_rows(marks, False), schema)
     whole = rest.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.lit(0).cast("long").alias("n_removed"), F.lit(0).cast("long").alias("n_spans"), F.sha2("text", 256).alias("kept_sha256"), *[F.col("text").alias("kept")] * with_text)
     out = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * with_text
     return some.mapInArrow(_removed(with_text), out).unionAll(whole)
