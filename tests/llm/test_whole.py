@@ -5,7 +5,7 @@ import random
 import pytest
 
 import corpus_pipeline
-from tamiz.llm import decontaminate, quality, shingles, simhash
+from tamiz.llm import common, decontaminate, quality, shingles, simhash
 
 
 def similarity(a, b):
@@ -34,6 +34,34 @@ def test_near_copies_join_a_long_list(spark):
     assert [r.doc_id for r in shingles.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).collect()] == [0]
 
 
+def test_classes_of_long_lists_are_whole(spark, monkeypatch):
+    """One list of chains whose links reach four nodes only, and strangers: few are similar to the least, and pivots come in several rounds."""
+    monkeypatch.setattr(shingles, "TOGETHER", 100)
+    r = random.Random(6)
+    sets = [list(range(1000 * c + k, 1000 * c + k + 40)) for c in range(3) for k in range(0, 320, 4)]
+    sets += [[10_000 + 50 * k + j for j in range(40)] for k in range(60)]
+    sets = dict(zip(r.sample(range(10**9), len(sets)), sets, strict=True))
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a in sets:
+        for b in sets:
+            if a < b and 5 * len(set(sets[a]) & set(sets[b])) >= 4 * len(set(sets[a]) | set(sets[b])):
+                x, y = sorted((find(a), find(b)))
+                root[y] = x
+    want = {d: find(d) for d in sets}
+    assert len(set(want.values())) == 63
+    nodes = spark.createDataFrame([(d, 40, [7, 8]) for d in sets], "node long, size long, keys array<long>")
+    members = common.cut(shingles._members(nodes), "members")
+    assert members.count() == len(sets)  # of two equal lists one
+    got = {r.node: r.root for r in shingles._classes(members, spark.createDataFrame(list(sets.items()), "node long, set array<long>")).collect()}
+    assert all(got.get(d, d) == x for d, x in want.items())
+
+
 @pytest.mark.parametrize("block", [1_000_000, 15])
 def test_decontaminate_does_not_depend_on_blocks(spark, block):
     words = [f"w{k}" for k in range(200)]
