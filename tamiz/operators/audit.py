@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 
@@ -51,9 +51,8 @@ def override(ledger: DataFrame, pending: DataFrame, on: list[str], allowed: Colu
 
 
 def upper_median(x: str) -> Column:
-    """AGG-10: element n div 2 of the sorted values. Over one group at a time; values of a group must fit in a row."""
-    values = F.array_sort(F.collect_list(x))
-    return F.element_at(values, F.floor(F.size(values) / 2).cast("int") + 1)
+    """AGG-10: element n div 2 of the sorted values, counted from 0. State is a count per distinct value, made before the shuffle."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY `{x}` DESC)")
 
 
 def majority(df: DataFrame, by: list[str], label: str, order: list[str]) -> DataFrame:
@@ -62,27 +61,59 @@ def majority(df: DataFrame, by: list[str], label: str, order: list[str]) -> Data
     return df.groupBy(*by, label).agg(F.count("*").alias("n")).groupBy(*by).agg(F.max_by(label, F.struct("n", prio)).alias(label), F.sum("n").alias("n"))
 
 
-def budget(calls: DataFrame, by: str, order: list[str], kind: Column, limits: dict[str, int], most: int) -> DataFrame:
-    """STM-03: each call with its running numbers, and whether it is within the limits in all and per kind; refused calls count too."""
-    w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    out = calls.withColumns({"n_calls": F.count("*").over(w), **{f"n_{k}": F.sum((kind == k).cast("int")).over(w) for k in limits}})
+def _steps(rows: DataFrame, by: str, step: Column) -> tuple[DataFrame, WindowSpec, WindowSpec]:
+    """``rows`` with ``_key`` (by, step), and the windows of a key's rows (order still to be given) and of the steps before one.
+
+    ``step`` grows with the order of rows, so that what came before a step is known from one row per step, and no task sorts all rows of
+    one large ``by``. Nulls in ``by`` are one group; null steps come first.
+    """
+    keyed = rows.withColumn("_key", F.struct(F.col(by).alias("of"), step.alias("step")))
+    earlier = Window.partitionBy("_key.of").orderBy("_key.step").rowsBetween(Window.unboundedPreceding, -1)
+    return keyed, Window.partitionBy("_key"), earlier
+
+
+def _to_here(w: WindowSpec, order: list[str]) -> WindowSpec:
+    return w.orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+
+
+def running(rows: DataFrame, by: str, step: Column, order: list[str], sums: dict[str, Column]) -> DataFrame:
+    """``rows`` with sums over the rows of ``by`` up to each one in ``order``; null values are skipped, and a sum of none is null."""
+    keyed, own, earlier = _steps(rows, by, step)
+    keyed = keyed.withColumns({f"_of_{k}": v for k, v in sums.items()})
+    per_step = keyed.groupBy("_key").agg(*[F.sum(f"_of_{k}").alias(f"_in_{k}") for k in sums])
+    before = per_step.select("_key", *[F.sum(f"_in_{k}").over(earlier).alias(f"_before_{k}") for k in sums])
+    within = keyed.withColumns({k: F.sum(f"_of_{k}").over(_to_here(own, order)) for k in sums})
+    met = within.join(before, "_key").withColumns({k: F.coalesce(F.col(f"_before_{k}") + F.col(k), f"_before_{k}", k) for k in sums})
+    return met.select(*rows.columns, *[k for k in sums if k not in rows.columns])
+
+
+def budget(calls: DataFrame, by: str, step: Column, order: list[str], kind: Column, limits: dict[str, int], most: int) -> DataFrame:
+    """STM-03: each call with its running numbers, and whether it is within the limits in all and per kind; refused calls count too.
+
+    ``step`` is as for ``running``: a part of the order, such as the hour of its time.
+    """
+    out = running(calls, by, step, order, {"n_calls": F.lit(1), **{f"n_{k}": (kind == k).cast("int") for k in limits}})
     ok = F.col("n_calls") <= most
     for k, limit in limits.items():
         ok = ok & ((kind != k) | (F.col(f"n_{k}") <= limit))
     return out.withColumn("within", ok)
 
 
-def timeline(turns: DataFrame, by: str, order: str, duration: Column, pause: float = 0.4) -> DataFrame:
-    """WIN-07: start and end of each turn, with a pause between turns."""
-    w = Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    i = F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1
-    end = F.sum(duration).over(w) + pause * i
-    return turns.withColumns({"start_s": F.round(end - duration, 6), "end_s": F.round(end, 6)})
+def timeline(turns: DataFrame, by: str, order: str, duration: Column, pause: float = 0.4, width: int = 1000) -> DataFrame:
+    """WIN-07: start and end of each turn, with a pause between turns. ``order`` is a number; sums are made per ``width`` of it first."""
+    summed = running(turns, by, F.floor(F.col(order) / width), [order], {"_said": duration, "_turns": F.lit(1)})
+    end = F.col("_said") + pause * (F.col("_turns") - 1)
+    return summed.withColumns({"start_s": F.round(end - duration, 6), "end_s": F.round(end, 6)}).drop("_said", "_turns")
 
 
-def forward_fill(lines: DataFrame, by: str, order: str, heading: Column, name: str) -> DataFrame:
-    """WIN-08: the last heading at or before each line."""
-    return lines.withColumn(name, F.last(heading, ignorenulls=True).over(Window.partitionBy(by).orderBy(order).rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+def forward_fill(lines: DataFrame, by: str, order: str, heading: Column, name: str, width: int = 1000) -> DataFrame:
+    """WIN-08: the last heading at or before each line. ``order`` is a number; the last heading per ``width`` of it is found first."""
+    keyed, own, earlier = _steps(lines, by, F.floor(F.col(order) / width))
+    keyed = keyed.withColumn("_heading", heading)
+    per_step = keyed.groupBy("_key").agg(F.max_by("_heading", F.when(F.col("_heading").isNotNull(), F.col(order))).alias("_last"))
+    before = per_step.select("_key", F.last("_last", ignorenulls=True).over(earlier).alias("_before"))
+    within = keyed.withColumn("_within", F.last("_heading", ignorenulls=True).over(_to_here(own, [order])))
+    return within.join(before, "_key").select(*lines.columns, F.coalesce("_within", "_before").alias(name))
 
 
 def merge_report(left: DataFrame, merged: DataFrame, on: list[str], group: Column, more: str, less: str, coverage: float = 0.70, most: float = 0.85, gap: float = 0.15) -> DataFrame:

@@ -360,7 +360,7 @@ def section_fill(spark: SparkSession, sf: str) -> DataFrame:
 @query("""SELECT event_id, n_calls, n_click, n_calls <= 6 AND (event_type <> 'click' OR n_click <= 3) AS within FROM (SELECT event_id, event_type, count(*) OVER w AS n_calls, CAST(sum((event_type = 'click')::INT) OVER w AS BIGINT) AS n_click
   FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING))""")
 def session_budget(spark: SparkSession, sf: str) -> DataFrame:
-    return audit.budget(load(spark, sf, "events"), "user_id", ["ts", "event_id"], F.col("event_type"), {"click": 3}, 6).select("event_id", "n_calls", "n_click", "within")
+    return audit.budget(load(spark, sf, "events"), "user_id", F.date_trunc("hour", "ts"), ["ts", "event_id"], F.col("event_type"), {"click": 3}, 6).select("event_id", "n_calls", "n_click", "within")
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")

@@ -1,5 +1,6 @@
 import duckdb
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import numbers, text
@@ -122,3 +123,27 @@ def test_chunk_ids_follow_the_manifest(spark):
     assert got == {("z", 0): 0, ("z", 1): 1, ("y", 0): 2, ("x", 0): 3, ("x", 1): 4, ("x", 2): 5}
     with pytest.raises(ValueError):
         search.search({}, manifest, "other")
+
+
+def test_running_sums_and_headings_equal_plain_windows(spark):
+    """One user has most rows, steps are small; null users are a group, null kinds are skipped, a null time comes first."""
+    rows = [(k, None if k % 17 == 0 else 0 if k % 3 else k % 5, None if k == 40 else (k * 7919) % 500, None if k % 11 == 0 else "ab"[k % 2]) for k in range(400)]
+    df = spark.createDataFrame(rows, "id long, user long, at long, kind string")
+    w = Window.partitionBy("user").orderBy("at", "id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    plain = df.withColumns({"n_calls": F.count("*").over(w), "n_a": F.sum((F.col("kind") == "a").cast("int")).over(w)})
+    got = audit.budget(df, "user", F.floor(F.col("at") / 20), ["at", "id"], F.col("kind"), {"a": 3}, 6)
+    assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, plain.collect()))
+    lines = df.where("at is not null").dropDuplicates(["user", "at"])
+    heading = F.when(F.col("id") % 13 == 0, F.col("kind"))
+    filled = audit.forward_fill(lines, "user", "at", heading, "section", 20).select("id", "section")
+    by = Window.partitionBy("user").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    assert sorted(map(str, filled.collect())) == sorted(map(str, lines.select("id", F.last(heading, ignorenulls=True).over(by).alias("section")).collect()))
+    spoken = audit.timeline(lines, "user", "at", F.col("id") / 10, 0.4, 20).select("id", "start_s", "end_s")
+    end = F.sum(F.col("id") / 10).over(by) + 0.4 * (F.row_number().over(Window.partitionBy("user").orderBy("at")) - 1)
+    assert sorted(map(str, spoken.collect())) == sorted(map(str, lines.select("id", F.round(end - F.col("id") / 10, 6).alias("start_s"), F.round(end, 6).alias("end_s")).collect()))
+
+
+@pytest.mark.parametrize(("values", "median"), [([5.0], 5.0), ([1.0, 2.0], 2.0), ([3.0, 1.0, 2.0], 2.0), ([1.0, 1.0, 2.0, 9.0], 2.0), ([None, 4.0], 4.0), ([None], None)])
+def test_upper_median(spark, values, median):
+    df = spark.createDataFrame([(v,) for v in values], "x double")
+    assert df.agg(audit.upper_median("x").alias("m")).first().m == median
