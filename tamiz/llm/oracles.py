@@ -104,3 +104,21 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang,
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept, own_fences FROM judged JOIN inside USING (r)"""
 
 ORACLES = {"op2_archives": ARCHIVES, "op3_decontaminate": DECONTAMINATE, "op6_repeats": REPEATS, "op7_secrets": SECRETS, "op9_quality": QUALITY}
+
+_FIELD = lambda c: f"coalesce(strlen(CAST({c} AS VARCHAR)) || ':' || CAST({c} AS VARCHAR), '-')"
+_LEAF = lambda n_chars: "sha256(" + " || ".join(map(_FIELD, ("doc_id", "source", "lang", n_chars, "text"))) + ")"
+_CRC = """list_reduce(list_prepend(4294967295::UBIGINT, list_transform(range(1, length(CAST(doc_id AS VARCHAR)) + 1), lambda k: ord(substr(CAST(doc_id AS VARCHAR), k, 1))::UBIGINT)),
+  lambda c, b: xor(c // 256, codes[CAST((xor(c, b) & 255) + 1 AS BIGINT)]))"""
+ORACLES["op13_merkle"] = f"""WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce(list_prepend(i::UBIGINT, list_transform(range(8), lambda z: 0::UBIGINT)), lambda c, z: CASE WHEN c & 1 = 1 THEN xor(c // 2, 3988292384::UBIGINT) ELSE c // 2 END)) AS codes),
+  d AS (SELECT doc_id, lang, {_LEAF("n_chars")} AS leaf, {_LEAF("n_chars + 1")} AS changed, coalesce(xor({_CRC}, 4294967295::UBIGINT) % 7 = 0, false) AS hit FROM documents, crc),
+  r AS (SELECT doc_id, lang, leaf, CASE WHEN hit THEN changed ELSE leaf END AS claimed, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, count(*) OVER (PARTITION BY lang) AS n FROM d),
+  a AS (SELECT lang, 0 AS level, p AS i, n, leaf AS h FROM r UNION ALL SELECT lang, level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM a WHERE n > 1 GROUP BY lang, level, i // 2, n),
+  s AS (SELECT lang, h AS subroot, row_number() OVER (ORDER BY lang NULLS FIRST) - 1 AS p, count(*) OVER () AS n FROM a WHERE n = 1),
+  b AS (SELECT 0 AS level, p AS i, n, subroot AS h FROM s UNION ALL SELECT level + 1, i // 2, (n + 1) // 2, sha256(string_agg(h, '' ORDER BY i)) FROM b WHERE n > 1 GROUP BY level, i // 2, n),
+  x AS (SELECT DISTINCT lang, level FROM a WHERE n > 1), y AS (SELECT DISTINCT level FROM b WHERE n > 1),
+  w AS (SELECT r.lang, r.p, x.level, CASE WHEN a.h IS NULL THEN 'N' WHEN (r.p >> x.level) & 1 = 1 THEN 'L' || a.h ELSE 'R' || a.h END AS step FROM r JOIN x ON x.lang IS NOT DISTINCT FROM r.lang LEFT JOIN a ON a.lang IS NOT DISTINCT FROM r.lang AND a.level = x.level AND a.i = xor(r.p >> x.level, 1)),
+  v AS (SELECT s.lang, y.level, CASE WHEN b.h IS NULL THEN 'N' WHEN (s.p >> y.level) & 1 = 1 THEN 'L' || b.h ELSE 'R' || b.h END AS step FROM s CROSS JOIN y LEFT JOIN b ON b.level = y.level AND b.i = xor(s.p >> y.level, 1)),
+  w2 AS (SELECT lang, p, list(step ORDER BY level) AS way FROM w GROUP BY 1, 2), v2 AS (SELECT lang, list(step ORDER BY level) AS way FROM v GROUP BY 1),
+  f AS (SELECT r.doc_id, r.leaf, claimed, subroot, (SELECT h FROM b WHERE n = 1) AS root, list_concat(coalesce(w2.way, []), coalesce(v2.way, [])) AS way FROM r JOIN s ON s.lang IS NOT DISTINCT FROM r.lang LEFT JOIN w2 ON w2.lang IS NOT DISTINCT FROM r.lang AND w2.p = r.p LEFT JOIN v2 ON v2.lang IS NOT DISTINCT FROM r.lang),
+  g AS (SELECT *, list_reduce(list_prepend(claimed, way), lambda c, z: CASE WHEN z = 'N' THEN sha256(c) WHEN z[1] = 'L' THEN sha256(substr(z, 2) || c) ELSE sha256(c || substr(z, 2)) END) AS folded_root FROM f)
+  SELECT doc_id, leaf, subroot, root, sha256(array_to_string(list_transform(list_filter(way, lambda z: z <> 'N'), lambda z: substr(z, 2)), '')) AS proof_sha256, folded_root, folded_root = root AS verified FROM g"""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import decontaminate, langid, licenses, packing, quality, secrets, sharding, simhash, suffixes, warc
+from tamiz.llm import decontaminate, langid, licenses, merkle, packing, quality, secrets, sharding, simhash, suffixes, warc
 from tamiz.llm.common import new_folder, settled, table
 from tamiz.llm.oracles import ORACLES
 
@@ -65,7 +65,12 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ["doc_id", "source", "lang", "n_chars", "text"]
+    return merkle.manifest(table(spark, sf_dir, "documents"), columns, claimed=merkle.spoilt(columns))
+
+
 QUERIES = {
-    f.__name__: f for f in (op1_licenses, op2_archives, op3_decontaminate, op4_packing, op5_language, op6_repeats, op7_secrets, op8_shards, op9_quality, op10_simhash)
+    f.__name__: f for f in (op1_licenses, op2_archives, op3_decontaminate, op4_packing, op5_language, op6_repeats, op7_secrets, op8_shards, op9_quality, op10_simhash, op13_merkle)
 }
 __all__ = ["ORACLES", "QUERIES"]
