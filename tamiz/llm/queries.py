@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tamiz.llm import decontaminate, langid, licenses, merkle, packing, quality, secrets, sharding, simhash, suffixes, warc
+from tamiz.llm import alignment, decontaminate, langid, licenses, merkle, neighbours, packing, quality, secrets, sharding, simhash, suffixes, warc
 from tamiz.llm.common import new_folder, settled, table
 from tamiz.llm.oracles import ORACLES
 
@@ -65,12 +65,29 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    asked = vectors.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("vec"))
+    return neighbours.search(neighbours.index(vectors), asked)
+
+
+def piece_path() -> str:
+    """The public SentencePiece model of 32,000 pieces."""
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(table(spark, sf_dir, "documents"), tokenizer_path, piece_path)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     columns = ["doc_id", "source", "lang", "n_chars", "text"]
     return merkle.manifest(table(spark, sf_dir, "documents"), columns, claimed=merkle.spoilt(columns))
 
 
 QUERIES = {
-    f.__name__: f for f in (op1_licenses, op2_archives, op3_decontaminate, op4_packing, op5_language, op6_repeats, op7_secrets, op8_shards, op9_quality, op10_simhash, op13_merkle)
+    f.__name__: f for f in (op1_licenses, op2_archives, op3_decontaminate, op4_packing, op5_language, op6_repeats, op7_secrets, op8_shards, op9_quality, op10_simhash, op11_neighbours, op12_alignment, op13_merkle)
 }
 __all__ = ["ORACLES", "QUERIES"]
