@@ -101,3 +101,8 @@ def discard(spark: SparkSession, path: str) -> None:
     """Delete a folder that ``cut`` or ``new_folder`` made and that no later step reads."""
     at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def gathered(df: DataFrame, most: int = 50_000) -> DataFrame:
+    """A written table as one partition if it has at most ``most`` rows, so that small rounds of an iteration need no exchange; else as it is."""
+    return df.coalesce(1) if df.count() <= most else df

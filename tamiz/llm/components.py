@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tamiz.llm.common import settled
+from tamiz.llm.common import gathered, settled
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -26,18 +26,18 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """``edges`` (a, b) of longs -> (node, root), root being the smallest node reachable.
 
     Nodes without an edge are not returned; loops and repeated edges are harmless. Each round is written to the
-    shared folder, so that a lost executor repeats one round at most. Raises if ``max_rounds`` do not suffice.
+    shared folder, so that a lost executor repeats one round at most. A round lowers some node's neighbour or is the last, so rounds
+    end; their number grows with the logarithm of the longest path.
     """
     now = settled("edges", lambda: edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     before = None
-    for _ in range(max_rounds):
-        now = settled("edges", lambda last=now: _star(_star(last, True), False))
+    while True:
+        now = settled("edges", lambda last=gathered(now): _star(_star(last, True), False))
         state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionAll(now.select(F.col("v").alias("node"), F.col("v").alias("root"))).distinct()
         before = state
-    raise RuntimeError(f"components did not settle in {max_rounds} rounds")
