@@ -4,7 +4,8 @@ A fingerprint has 64 bits. Two that differ in at most three bits differ in at mo
 at least five bytes at equal positions. The inverted index therefore lists each distinct fingerprint under every choice of five
 (position, byte) entries it could share: a list holds fingerprints with five bytes in common, never more than the 2^24 values
 that the other three bytes can take. Within a list the shared positional bytes are tallied, pairs below the guaranteed five are
-dropped and the others verified by bit count. Lists report the edges of a spanning forest, not all pairs.
+dropped and the others verified by bit count. Lists report the edges of a spanning forest, not all pairs. Long lists are dealt into
+sublists by a further byte, so that no task holds one.
 """
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from tamiz.llm.components import components
 
 BITS, MAX_BITS, POSITIONS, SHARED = 64, 3, 8, 5
 SEED = 42
+#: Fingerprints of a list from which it is dealt into sublists.
+LONG = 4096
 #: The bits of each byte, lowest first: counts of bytes times this are counts of bits.
 _BITS_OF = np.array([[c >> b & 1 for b in range(8)] for c in range(256)], np.int64)
 
@@ -98,11 +101,30 @@ def _links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(edges[:, 0]), pa.array(edges[:, 1])], ["a", "b"])
 
 
-def links(prints: DataFrame) -> DataFrame:
-    """Distinct fingerprints (fp) -> links (a, b) that span every class of fingerprints at most three bits apart."""
+def _dealt(postings: DataFrame) -> DataFrame:
+    """Postings (k, shared, fp) of long lists -> (key, fp): sublists that together hold every pair of a list at most three bits apart.
+
+    A list's fingerprints differ in three bytes only. Where one of these is equal, the pair is in that byte's sublist. Else each differs by
+    just one bit: then the one, with that bit of the first byte flipped, and the other, with that bit of the second flipped, agree in both.
+    """
+    rest = F.array(*[F.array(*[F.lit(p) for p in range(POSITIONS) if p not in keep]) for keep in combinations(range(POSITIONS), SHARED)])
+    at = F.get(rest, F.col("k").cast("int"))
+    one = lambda p, value: F.call_function("shiftleft", F.lit(value).cast("bigint"), (8 * p).cast("int"))
+    equal = F.transform(at, lambda p: F.struct(p.alias("tag"), F.col("fp").bitwiseAND(one(p, 255)).alias("value")))
+    both = one(F.get(at, F.lit(0)), 255).bitwiseOR(one(F.get(at, F.lit(1)), 255))
+    flipped = F.flatten(F.transform(F.slice(at, 1, 2), lambda p: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda b: F.struct(F.lit(POSITIONS).alias("tag"), F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("bigint"), 8 * p + b)).bitwiseAND(both).alias("value")))))
+    return postings.select("k", "shared", "fp", F.explode(F.concat(equal, flipped)).alias("x")).select("k", "shared", "x.tag", "x.value", "fp")
+
+
+def links(prints: DataFrame, long: int = LONG) -> DataFrame:
+    """Distinct fingerprints (fp) -> links (a, b) that span every class of fingerprints at most three bits apart. Lists of more than ``long`` are dealt into sublists."""
     spread = prints.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions")), "fp")  # a posting list is many times its row
-    lists = _postings(spread).groupBy("k", "shared").agg(F.collect_list("fp").alias("list")).where(F.size("list") > 1)
-    return lists.select("list").mapInArrow(_links, "a long, b long").distinct()
+    postings = _postings(spread)
+    many = cut(postings.groupBy("k", "shared").agg(F.count("*").alias("n")).where(F.col("n") > long).select("k", "shared"), "long")
+    lists = postings.join(many, ["k", "shared"], "left_anti").groupBy("k", "shared").agg(F.collect_list("fp").alias("list"))
+    parts = _dealt(postings.join(many, ["k", "shared"], "left_semi")).groupBy("k", "shared", "tag", "value").agg(F.collect_list("fp").alias("list"))
+    every = lists.select("list").unionByName(parts.select("list")).where(F.size("list") > 1)
+    return every.mapInArrow(_links, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

@@ -2,10 +2,12 @@
 
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
 from tamiz.llm import common, decontaminate, quality, shingles, simhash
+from tamiz.llm.components import components
 
 
 def similarity(a, b):
@@ -111,3 +113,42 @@ def test_fences_differ_between_groups(spark):
     assert a.dup_lines_upper > b.dup_lines_upper and b.symbols_upper > a.symbols_upper
     kept = {r.doc_id for r in quality.judged(df).where("kept").collect()}
     assert 50 in kept and 150 in kept and not kept & {200, 201}
+
+
+def test_long_lists_of_fingerprints_are_dealt_out_whole(spark):
+    """3,000 fingerprints with five bytes in common, as one list and in sublists: the classes of brute force."""
+    r = random.Random(11)
+    base = 0x0123456789ABCDEF
+    low = r.sample(range(1 << 24), 2600)
+    low += [v ^ (1 << r.randrange(8)) ^ (1 << r.randrange(8, 16)) ^ (1 << r.randrange(16, 24)) for v in low[:200]] + [v ^ 7 for v in low[200:400]]
+    prints = np.array(sorted({(base << 24 | v) & (1 << 64) - 1 for v in low}), np.uint64).view(np.int64)
+    root = {int(f): int(f) for f in prints}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, one in enumerate(prints):
+        for other in prints[i + 1 :][np.bitwise_count((prints[i + 1 :] ^ one).view(np.uint64)) <= 3]:
+            x, y = sorted((find(int(one)), find(int(other))))
+            root[y] = x
+    want = {f: find(f) for f in root}
+    assert len(set(want.values())) < len(want) - 400
+    for long in (100, 10**6):
+        got = {r.node: r.root for r in components(simhash.links(spark.createDataFrame([(int(f),) for f in prints], "fp long"), long)).collect()}
+        assert {f: got.get(f, f) for f in root} == want
+
+
+def test_dissimilar_texts_of_one_template_make_few_pairs(spark, monkeypatch):
+    """Texts with 300 words in common and 50 of their own have a similarity of 0.75: all share lists, none is a near copy, and hardly a pair is verified."""
+    counted = []
+    verified = shingles._verified
+    monkeypatch.setattr(shingles, "_verified", lambda pairs, sets: (counted.append(pairs.count()), verified(pairs, sets))[1])
+    common = [f"c{k}" for k in range(300)]
+    made = {}
+    for n in (150, 300):
+        rows = [(k, " ".join(common + [f"own{k}w{j}" for j in range(50)])) for k in range(n)]
+        assert shingles.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == n
+        made[n], counted[:] = sum(counted), []
+    assert made[300] < 40 * 300 and made[300] < 2.5 * made[150]
