@@ -42,7 +42,8 @@ FROM d LEFT JOIN kept USING (r)"""
 
 _ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
 _KINDS = {"assign": _ASSIGN, "access": "AKIA[A-Z0-9]{14,}", "hex": "[0-9a-f]{16,}", "entropy": "[A-Za-z0-9+/_=-]{20,}"}
-_ALLOWED = "^[A-Za-z+/_=-]*$|^[0-9/_=-]*$|(?i:example)|0123456789|abcdefghijklm"
+_ALLOWED = "^[A-Za-z+/_=-]*$|^[0-9/_=-]*$"
+_LISTED = "(?i:example)|0123456789|(?i:abcdefghijklm)"
 _FOUND = " UNION ALL ".join(
     f"SELECT doc_id, {k} AS rank, '{name}' AS kind, unnest(regexp_extract_all(t, '{pattern}')) AS m, unnest(list_slice(string_split_regex(t, '{pattern}'), 1, -2)) AS gap, generate_subscripts(regexp_extract_all(t, '{pattern}'), 1) AS i FROM d"
     for k, (name, pattern) in enumerate(_KINDS.items())
@@ -52,7 +53,8 @@ SECRETS = f"""
 WITH d AS (SELECT doc_id, {_TEXT} AS t FROM documents),
      found AS ({_FOUND}),
      placed AS (SELECT doc_id, rank, kind, m, sum(length(gap) + length(m)) OVER (PARTITION BY doc_id, rank ORDER BY i) AS stop FROM found),
-     windows AS (SELECT doc_id, stop, substr(m, k + 1, 20) AS part FROM placed, unnest(range(0, length(m) - 19)) t(k) WHERE rank = 3 AND NOT regexp_matches(m, '{_ALLOWED}')),
+     parts AS (SELECT doc_id, stop, unnest(string_split_regex(m, '{_LISTED}')) AS m FROM placed WHERE rank = 3 AND NOT regexp_matches(m, '{_ALLOWED}')),
+     windows AS (SELECT doc_id, stop, substr(m, k + 1, 20) AS part FROM parts, unnest(range(0, greatest(length(m) - 19, 0))) t(k)),
      bits AS (SELECT doc_id, stop, part, -list_sum(list_transform(list_distinct(string_split(part, '')), lambda c: (20 - length(replace(part, c, ''))) / 20.0 * log2((20 - length(replace(part, c, ''))) / 20.0))) AS b FROM windows),
      high AS (SELECT DISTINCT doc_id, stop FROM bits WHERE b >= 3.8 - 1e-9 OR (b >= 3.0 - 1e-9 AND regexp_full_match(part, '[0-9a-f]+'))),
      kept AS (SELECT doc_id, rank, kind, stop - length(m) AS start, stop FROM placed

@@ -3,7 +3,8 @@
 Candidates for entropy are runs of at least ``WINDOW`` characters of a base-64 alphabet. A window slides along a candidate; the counts of
 its characters are updated by the one that enters and the one that leaves, and with them the sum of c log2 c, from which the window's
 Shannon entropy follows. Each character class has its own threshold: windows of hexadecimal digits only, and windows of the whole
-alphabet. Candidates on the allow list are not reported; the list judges a whole candidate. Work grows with the text's length.
+alphabet. Two allow lists: candidates that look like words or numbers as a whole are not reported, and windows that touch a listed word do
+not count, so that a key beside such a word is still found. Work grows with the text's length.
 
 Positions are code points, ends exclusive.
 """
@@ -28,8 +29,10 @@ HEX_DIGITS, WINDOW = 16, 20
 CANDIDATE = rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{{{WINDOW},}}"
 #: Bits a window needs, by class.
 HEX_BITS, TEXT_BITS = 3.0, 3.8
-#: Candidates that are no secrets: words without digits, rows of one sign, examples, runs through the alphabet.
-ALLOWED = r"^[A-Za-z+/_=-]*$|^[0-9/_=-]*$|(?i)example|0123456789|abcdefghijklm"
+#: Candidates that are no secrets: words without digits, numbers.
+ALLOWED = r"^[A-Za-z+/_=-]*$|^[0-9/_=-]*$"
+#: What no window of a secret may touch: examples, runs through the alphabet.
+LISTED = r"(?i)example|0123456789|abcdefghijklm"
 
 #: A long candidate is looked at in pieces of so many characters, each with the end of the piece before it.
 PIECE = 4096
@@ -100,9 +103,11 @@ def _is_high(piece: Column) -> Column:
 
 
 def is_high(candidate: Column) -> Column:
-    """Whether some window of the candidate reaches its class's bits; looks no further than the first piece that has one."""
-    pieces = F.regexp_extract_all(candidate, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
-    return let(pieces, lambda v: F.exists(F.transform(v, lambda p, i: F.concat(F.when(i > 0, F.right(F.get(v, i - 1), F.lit(WINDOW - 1))).otherwise(""), p)), _is_high))
+    """Whether some window of the candidate that touches no listed word reaches its class's bits; looks no further than the first piece that has one."""
+    pieces = lambda part: F.regexp_extract_all(part, F.lit(f".{{1,{PIECE}}}"), F.lit(0))
+    joined = lambda v: F.transform(v, lambda p, i: F.concat(F.when(i > 0, F.right(F.get(v, i - 1), F.lit(WINDOW - 1))).otherwise(""), p))
+    parts = F.filter(F.split(candidate, LISTED, -1), lambda part: F.length(part) >= WINDOW)
+    return let(F.flatten(F.transform(parts, lambda part: let(pieces(part), joined))), lambda v: F.exists(v, _is_high))
 
 
 def _of_kind(spans: Column, kind: str) -> Column:
