@@ -157,7 +157,8 @@ def train(snippets: list[bytes], wanted: list[int], languages: int, steps: int =
 
 
 def held_out(doc_id):
-    return F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0
+    """Rows without an id are never learnt from."""
+    return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % 5 == 0, F.lit(True))
 
 
 def sample(docs: DataFrame, per_language: int = 500, snippets: int = 2, most_rows: int = 32_000) -> tuple[list[bytes], list[int], list[str]]:
@@ -240,7 +241,7 @@ def identify(docs: DataFrame, per_language: int = 500, steps: int = 400) -> Data
     """(doc_id, held_out, lang_pred, score): the language with the greatest mean probability over all bytes of the text, and that mean.
 
     ``und`` with score 0 if the text is null, has no letter, or if no row is labelled. Ties go to the first language by name. Repeated
-    rows are predicted each; an empty table gives no rows; further columns are not read.
+    rows are predicted each, and those with a null id count as held out; an empty table gives no rows; further columns are not read.
     """
     shared = _model(docs, per_language, steps)
     plain = docs.select(F.col("doc_id").cast("long"), "text", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters"))
