@@ -284,7 +284,7 @@ def search(found: Index, queries: DataFrame, k: int = 10, beam: int = 192, start
     own = alike.join(nodes, "vec")
     each = alike.select("q", F.col("vec").alias("qv"), F.explode(F.array(*map(F.lit, first)).cast("array<bigint>")).alias("node"))
     begun = each.join(F.broadcast(nodes.where(F.col("node").isin(first))), "node").select("q", _measured())  # ``starts`` rows
-    begun = begun.unionByName(own.select("q", F.struct(F.lit(0.0).alias("d"), F.col("node").alias("id")).alias("x")))
+    begun = begun.unionByName(own.select("q", F.struct(F.lit(0.0).alias("d"), F.col("node").alias("id")).alias("x"))).distinct()
     empty = alike.select("q", F.col("vec").alias("qv"), F.array().cast("array<struct<d:double,id:bigint>>").alias("near"), F.array().cast("array<bigint>").alias("seen"))
     state, path = _written(_met(empty, begun, beam), "search")
     while not state.where(F.size("todo") > 0).isEmpty():
@@ -298,8 +298,8 @@ def search(found: Index, queries: DataFrame, k: int = 10, beam: int = 192, start
 
 
 def _met(state: DataFrame, measured: DataFrame, beam: int) -> DataFrame:
-    """``state`` (q, qv, near, seen) after nodes were ``measured`` (q, x of d and id): the nearest stay, those that are new among them are to be asked."""
-    grouped = measured.groupBy("q").agg(F.array_distinct(F.collect_list("x")).alias("new"))
+    """``state`` (q, qv, near, seen) after nodes were ``measured`` (q, x of d and id), each once: the nearest stay, those that are new among them are to be asked."""
+    grouped = measured.groupBy("q").agg(F.collect_list("x").alias("new"))
     both = state.select("q", "qv", "near", "seen").join(grouped, "q", "left").withColumn("new", F.coalesce("new", F.array().cast("array<struct<d:double,id:bigint>>")))
     near = both.withColumn("near", F.slice(F.array_sort(F.concat("near", "new")), 1, beam))
     return near.select("q", "qv", "near", F.concat("seen", "new.id").alias("seen"), F.array_intersect("near.id", "new.id").alias("todo"))
