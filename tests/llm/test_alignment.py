@@ -66,5 +66,5 @@ def test_odd_texts(spark, odd, tokenizers):
     rows = [(r.doc_id, r.text) for r in df.collect()]
     want = expected(rows, tokenizers)
     assert told(alignment.align(df.repartition(5), queries.tokenizer_path, queries.piece_path)) == want
-    assert sum("''" in x for x in want) >= 4
+    assert sum("''" in x for x in want) == 3
     assert alignment.align(df.limit(0), queries.tokenizer_path, queries.piece_path).count() == 0
