@@ -44,13 +44,18 @@ def page_window(total: Column, start: Column, most: Column, end: Column) -> Colu
     return F.when(F.coalesce(bad, F.lit(False)), F.raise_error(F.lit("bad page window"))).when(last >= start, F.sequence(start, last)).otherwise(F.array().cast("array<int>"))
 
 
+def spread_positions(start: Column, n: Column, k: int) -> Column:
+    """``k`` (two at least) evenly spaced ones of ``n`` numbers from ``start``, both ends included, all if there are no more; halves round to even. No list of all is made."""
+    picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: (start + F.bround(i * (n - 1) / (k - 1))).cast("int"))
+    return F.when(n <= k, F.sequence(start, start + n - 1)).otherwise(F.array_distinct(picked))
+
+
 def sample_positions(pages: Column, k: int) -> Column:
     """MTH-06: ``k`` evenly spaced elements, both ends included; halves round to even."""
-    n = F.size(pages)
     if k == 1:
         return F.slice(pages, 1, 1)
-    picked = F.transform(F.sequence(F.lit(0), F.lit(k - 1)), lambda i: F.get(pages, F.bround(i * (n - 1) / (k - 1)).cast("int")))
-    return F.when(n <= k, pages).otherwise(F.array_distinct(picked))
+    n = F.size(pages)
+    return F.when(n > 0, F.transform(spread_positions(F.lit(0), n, k), lambda i: F.get(pages, i))).otherwise(pages)
 
 
 def is_glued(chars: Column, words: Column) -> Column:

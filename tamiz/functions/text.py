@@ -70,9 +70,10 @@ def work_id(t: Column) -> Column:
 
 
 def cache_name(name: Column, digest: Column) -> Column:
-    """STR-11: a slug and twelve digits of a valid SHA-256; an invalid one is an error."""
-    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
-    return F.when(digest.rlike("^[0-9a-f]{64}$"), F.concat(slug, F.lit("-"), F.substring(digest, 1, 12))).otherwise(F.raise_error(F.lit("not a SHA-256 digest")))
+    """STR-11: ``slug.<twelve digits>.jsonl`` of a valid SHA-256; an invalid one, or a name without letters and digits, is an error."""
+    slug = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9-]+", "-"), "^-+|-+$", "")
+    checked = F.when(slug == "", F.raise_error(F.lit("a name without letters or digits"))).otherwise(slug)
+    return F.when(digest.rlike("^[0-9a-f]{64}$"), F.concat(checked, F.lit("."), F.substring(digest, 1, 12), F.lit(".jsonl"))).otherwise(F.raise_error(F.lit("not a SHA-256 digest")))
 
 
 def strip(t: Column) -> Column:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from difflib import SequenceMatcher
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tamiz.functions import numbers, text
+from tamiz.session import written
 
 #: Page layers in the order in which ties are settled.
 LAYERS = ("scanned", "glued", "sparse")
@@ -41,8 +46,7 @@ def inspect(manifest: DataFrame, pages: DataFrame, cached: DataFrame, sample: in
         .withColumn("last", F.least("total_pages", "end_page", start + F.col("max_pages") - 1)).withColumn("window_pages", F.when(F.col("state").isNull(), F.greatest(F.coalesce(F.col("last") - start + 1, F.lit(0)), F.lit(0))).otherwise(0))
     )
     n = F.col("window_pages")
-    spread = F.array_distinct(F.transform(F.sequence(F.lit(0), F.lit(sample - 1)), lambda j: start + F.bround(j * (n - 1) / (sample - 1)).cast("int")))
-    windows = ranged.withColumn("sampled_pages", F.when(n == 0, F.array().cast("array<int>")).when(n <= sample, F.sequence(start, F.col("last"))).otherwise(spread))
+    windows = ranged.withColumn("sampled_pages", F.when(n == 0, F.array().cast("array<int>")).otherwise(numbers.spread_positions(start, n, sample)))
     asked = windows.select("document_id", F.explode("sampled_pages").alias("page"))
     t = text.normalize(F.coalesce("text", F.lit("")))
     met = pages.join(asked, ["document_id", "page"]).select("document_id", F.length(t).alias("c"), text.word_count(t).alias("w")).withColumn("l", numbers.text_layer(F.col("c"), F.col("w")))
@@ -79,26 +83,65 @@ def outstanding(windows: DataFrame, cached: DataFrame, most: int | None = None)
     return asked.withColumn("_n", F.row_number().over(Window.partitionBy("document_id").orderBy("page"))).where(F.col("_n") <= most).drop("_n")
 
 
-def suggestions(missing: DataFrame, catalogue: DataFrame, least: float = 0.0, top: int = 3) -> DataFrame:
-    """STR-30, JON-10, SRT-05: for each missing (document_id, relative_path) the ``top`` paths of ``catalogue`` (path) by likeness of their keys.
+@F.pandas_udf(T.DoubleType())
+def likeness(a: pd.Series, b: pd.Series) -> pd.Series:
+    """Twice the matched characters over all, as a sequence matcher finds them."""
+    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+def _letters(t: Column) -> Column:
+    """A text's characters, each with how often it came before, so that the sets' common elements are the texts' common characters."""
+    sorted_ = lambda v: F.transform(v, lambda c, k: F.concat(c, (k - F.array_position(v, c)).cast("string")))
+    return F.get(F.transform(F.array(F.array_sort(F.filter(F.split(t, ""), lambda c: c != ""))), sorted_), F.lit(0))
+
+
+def _trigrams(t: Column) -> Column:
+    padded = F.concat(F.lit("  "), t, F.lit(" "))
+    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(padded) - 2), lambda k: F.substr(padded, k, F.lit(3))))
+
 
-    The missing paths are a query set. A positive ``least`` leaves out, before any comparison, pairs whose lengths rule that likeness out.
-    Spark broadcasts the smaller side while it is small, and else deals both out in blocks.
+def _rarest(asked: DataFrame, index: DataFrame, n: Column) -> DataFrame:
+    """(document_id, gram) of the ``n`` grams of each asked text (document_id, gram, n) that the fewest known texts have; one text's grams are put in order."""
+    counts = index.groupBy("gram").agg(F.count("*").alias("df"))
+    order = Window.partitionBy("document_id").orderBy(F.coalesce("df", F.lit(0)), "gram")
+    return asked.join(counts, "gram", "left").withColumn("_k", F.row_number().over(order)).where(F.col("_k") <= n).select("document_id", "gram")
+
+
+def candidates(asked: DataFrame, known: DataFrame, least: float, top: int) -> DataFrame:
+    """(document_id, path, a, b): the pairs of asked (document_id, a) and known (path, b) texts that may be among the ``top`` of an asked one, and reach ``least``.
+
+    Texts that share one of an asked text's three rarest trigrams are compared first: the likeness of the ``top``-th of them is what others
+    must reach. A likeness is at most twice the common characters over all, so a text that reaches it shares one of so many of the asked
+    text's rarest characters as it may lack, and one more. Only such pairs are looked at, and those whose common characters are too few go.
     """
-    @F.pandas_udf("double", F.PandasUDFType.SCALAR)
-    def likeness(a, b):
-        from difflib import SequenceMatcher
+    pairs = ["document_id", "path", "a", "b"]
+    grams = known.select("path", "b", F.explode(_trigrams(F.col("b"))).alias("gram"))
+    near = _rarest(asked.select("document_id", F.explode(_trigrams(F.col("a"))).alias("gram")), grams, F.lit(3)).join(grams, "gram").select("document_id", "path", "b").distinct()
+    first = near.join(asked, "document_id").withColumn("ratio", likeness("a", "b"))
+    order = Window.partitionBy("document_id").orderBy(F.desc("ratio"), "path")
+    bar = first.withColumn("_k", F.row_number().over(order)).where(F.col("_k") == top).select("document_id", F.col("ratio").alias("bar"))
+    barred = written(asked.join(bar, "document_id", "left").withColumn("bar", F.greatest(F.coalesce("bar", F.lit(0.0)), F.lit(least)) - 1e-9).withColumn("letters", _letters(F.col("a"))), "bars")
+    lettered = written(known.withColumn("letters", _letters(F.col("b"))), "known")
+    index = lettered.select("path", F.explode("letters").alias("gram"))
+    size = F.size("letters")
+    needed = F.ceil(F.col("bar") * size / (2 - F.col("bar")) - 1e-9)  # the shortest text in reach has no other characters
+    probes = _rarest(barred.where(needed > 0).select("document_id", F.explode("letters").alias("gram"), (size - needed + 1).alias("n")), index, F.col("n"))
+    met = probes.join(index, "gram").select("document_id", "path").distinct().unionByName(barred.where(needed <= 0).select("document_id").join(lettered.select("path")))  # nothing to reach: all
+    both = met.join(barred, "document_id").join(lettered.select("path", "b", F.col("letters").alias("others")), "path")
+    common = F.size(F.array_intersect("letters", "others"))
+    return both.where(2 * common >= F.col("bar") * (F.size("letters") + F.size("others"))).select(*pairs)
 
-        import pandas as pd
 
-        return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)], dtype="float64")
+def suggestions(missing: DataFrame, catalogue: DataFrame, least: float = 0.0, top: int = 3) -> DataFrame:
+    """STR-30, JON-10, SRT-05: for each missing (document_id, relative_path) the ``top`` paths of ``catalogue`` (path) by likeness of their keys, ties by path.
 
-    asked = missing.select("document_id", text.match_key(F.col("relative_path")).alias("a"))
-    known = catalogue.select("path", text.match_key(F.col("path")).alias("b")).where("path is not null")
-    la, lb = F.length("a"), F.length("b")
-    pairs = asked.join(known, F.lit(2.0) * F.least(la, lb) >= F.lit(least) * (la + lb)).withColumn("ratio", likeness("a", "b")).where(F.col("ratio") >= least)
+    The rows are those of a comparison of all pairs, of which ``candidates`` leaves most out. Paths that the catalogue repeats count once.
+    """
+    asked = missing.select("document_id", text.match_key(F.col("relative_path")).alias("a")).where("a is not null")
+    known = catalogue.select("path", text.match_key(F.col("path")).alias("b")).where("path is not null").distinct()
+    told = candidates(asked, known, least, top).withColumn("ratio", likeness("a", "b")).where(F.col("ratio") >= least)
     order = Window.partitionBy("document_id").orderBy(F.desc("ratio"), "path")
-    return pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("document_id", "path", "ratio", "rank")
+    return told.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= top).select("document_id", "path", "ratio", "rank")
 
 
 def fixes(suggested: DataFrame, least: float = 0.72, margin: float = 0.05) -> DataFrame:

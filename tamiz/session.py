@@ -26,3 +26,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
         shared = tempfile.mkdtemp(prefix="spark-")
         spark.conf.set("spark.checkpoint.dir", shared)
     return f"{shared}/tamiz/{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as a table of its own under ``new_folder``, so that what is read several times is made once and lineage ends there."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import text
+from tamiz.session import written
 
 
 def read_csv(spark: SparkSession, path: str, required: tuple[str, ...] = ()) -> DataFrame:
@@ -23,6 +25,36 @@ def integers(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: cast(c) for c in columns})
 
 
+#: Types in the order of their flags; a column is what the flags of all its values together admit.
+KINDS = ("boolean", "bigint", "double", "string")
+
+
+def _flag(c: str) -> Column:
+    """What a value can be: 0 if it is blank, else one bit."""
+    v = F.trim(F.coalesce(F.col(f"`{c}`"), F.lit("")))
+    number = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+    return F.when(v == "", 0).when(v.rlike("(?i)^(true|false)$"), 1).when(v.rlike("^[+-]?[0-9]{1,18}$"), 2).when(v.rlike(number), 4).otherwise(8)
+
+
+def inferred(df: DataFrame) -> DataFrame:
+    """SRC-06: (name, kind) of text columns, from every row: boolean, bigint, double, string, or missing where all is blank.
+
+    Flags are merged by bit-wise or in each task, so one pass over the table gives one row, whatever its size. Whole numbers among
+    fractions are fractions; any other mixture is text.
+    """
+    flags = df.agg(*[F.bit_or(_flag(c)).alias(str(k)) for k, c in enumerate(df.columns)])
+    kinds = F.create_map(*[F.lit(x) for pair in {0: "missing", 1: "boolean", 2: "bigint", 4: "double", 6: "double"}.items() for x in pair])
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("name"), F.coalesce(F.col(str(k)), F.lit(0)).alias("flags")) for k, c in enumerate(df.columns)])).alias("x")
+    return flags.select(each).select("x.name", F.coalesce(F.try_element_at(kinds, F.col("x.flags")), F.lit("string")).alias("kind"))
+
+
+def typed(df: DataFrame) -> DataFrame:
+    """SRC-06: ``df`` with its columns cast to what ``inferred`` says; blanks are null, columns without values stay text."""
+    kinds = {r.name: r.kind for r in inferred(df).collect()}  # a row for each column
+    value = lambda c: F.nullif(F.trim(F.col(f"`{c}`")), F.lit(""))
+    return df.select(*[(F.col(f"`{c}`") if kinds[c] in ("string", "missing") else value(c).cast(kinds[c])).alias(c) for c in df.columns])
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """SRC-07."""
     return spark.read.schema(schema).json(path)
@@ -34,6 +66,36 @@ def last_per_key(df: DataFrame, key: str, order: str) -> DataFrame:
     return df.groupBy(key).agg(F.max_by(F.struct(*rest), order).alias("_x")).select(key, "_x.*")
 
 
+def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """SRC-08, SET-05: (path, line, position, value) of text files that Spark may read in any number of splits; ``line`` counts from 0 in a file, ``position`` over all files by name.
+
+    Two passes over a table that is written once: rows are counted per split, and what stands in the splits before is added. Only these
+    counts are put in order. An absent path is an empty table.
+    """
+    try:
+        found = spark.read.text(path)
+    except AnalysisException as missing:
+        if missing.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], "path string, line long, position long, value string")
+    rows = written(found.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("_split"), F.monotonically_increasing_id().alias("_at"), "value"), "lines")
+    splits = rows.groupBy("path", "_split").agg(F.count("*").alias("n"), F.min("_at").alias("_first"))
+    files = splits.groupBy("path").agg(F.sum("n").alias("n"))
+    upto = Window.orderBy("path").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    before = files.select("path", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("_files"))
+    own = Window.partitionBy("path").orderBy("_split").rowsBetween(Window.unboundedPreceding, -1)
+    starts = splits.select("path", "_split", (F.coalesce(F.sum("n").over(own), F.lit(0)) - F.col("_first")).alias("_shift")).join(before, "path")
+    placed = rows.join(starts, ["path", "_split"]).withColumn("line", F.col("_at") + F.col("_shift"))
+    return placed.select("path", "line", (F.col("line") + F.col("_files")).alias("position"), "value")
+
+
+def last_line_per_key(spark: SparkSession, path: str, schema: str, key: str) -> DataFrame:
+    """SRC-08: JSON lines, of which the last with a key counts; lines that are blank have no record, lines that are no JSON object are an error."""
+    text_lines = numbered_lines(spark, path).where(F.trim("value") != "")
+    record = F.from_json("value", schema, {"mode": "FAILFAST"})
+    return last_per_key(text_lines.select("position", record.alias("x")).select("position", "x.*"), key, "position").drop("position")
+
+
 def lines(spark: SparkSession, path: str) -> DataFrame:
     """(path, line, value) of text files, each file read whole: for documents, not for data."""
     whole = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), "value")
