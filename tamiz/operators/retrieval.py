@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tamiz.functions import numbers, text
+from tamiz.session import written
 
 
 def chunk_spans(docs: DataFrame, size: int = 320, overlap: int = 45, least: int = 40) -> DataFrame:
@@ -34,14 +35,14 @@ def terms_of(queries: DataFrame) -> DataFrame:
 
 
 def postings(docs: DataFrame) -> DataFrame:
-    """(term, doc_id, dl, tf) of (doc_id, text); a document's length counts all its tokens."""
-    tokens = docs.select("doc_id", F.transform(text.tokens(F.col("text")), F.lower).alias("w")).withColumn("dl", F.size("w"))
-    return _counted(tokens.select("doc_id", "dl", F.explode("w").alias("term")))
+    """(doc_id, dl, term, tf) of (doc_id, text); ``dl`` counts all tokens. A document's tokens lie in one row and are counted where it is read, before any exchange."""
+    tokens = docs.select("doc_id", F.transform(text.tokens(F.col("text")), F.lower).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+    return tokens.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"))
 
 
-def _counted(tokens: DataFrame) -> DataFrame:
-    """``tf`` of (doc_id, dl, term). Dealt by document, so that sums over a document's terms need no further exchange."""
-    return tokens.repartition("doc_id").groupBy("term", "doc_id", "dl").agg(F.count("*").alias("tf"))
+def lengths(docs: DataFrame, posted: DataFrame) -> DataFrame:
+    """(n, avgdl): the number of documents, those without tokens too, and their mean length."""
+    return posted.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).select(F.lit(docs.count()).alias("n"), (F.col("tokens") / docs.count()).alias("avgdl"))
 
 
 def bm25_scores(posted: DataFrame, stats: DataFrame, queries: DataFrame) -> DataFrame:
@@ -55,16 +56,9 @@ def bm25_scores(posted: DataFrame, stats: DataFrame, queries: DataFrame) -> Data
 
 
 def bm25(docs: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
-    """RET-02 over (doc_id, text) and (query_id, text): query_id, doc_id, score, rank. Ties by doc_id.
-
-    Texts are cut into tokens once for the matches and once for the lengths; an index (see ``search``) keeps both.
-    """
-    terms = terms_of(queries)
-    tokens = docs.select("doc_id", F.transform(text.tokens(F.col("text")), F.lower).alias("w"))
-    stats = docs.agg(F.count("*").alias("n"), F.avg(text.token_count(F.col("text"))).alias("avgdl"))
-    own = terms.select("term").distinct()
-    tf = _counted(tokens.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(own, "term", "left_semi"))
-    return shown(ranked(bm25_scores(tf, stats, queries), limit))
+    """RET-02 over (doc_id, text) and (query_id, text): query_id, doc_id, score, rank. Ties by doc_id. Texts are cut into tokens once, into a table."""
+    posted = written(postings(docs), "postings")
+    return shown(ranked(bm25_scores(posted, lengths(docs, posted), queries), limit))
 
 
 def ranked(scored: DataFrame, limit: int | None = None) -> DataFrame:
@@ -89,14 +83,15 @@ def dense(vectors: DataFrame, queries: DataFrame, limit: int = 10) -> DataFrame:
     return shown(ranked(dense_scores(vectors, queries), limit))
 
 
-def fuse(dense_list: DataFrame, lexical_list: DataFrame, depth: int = 100, k: int = 60) -> DataFrame:
-    """MTH-04, SRT-03: reciprocal-rank fusion of both lists' first ``depth``. Ties: dense rank, then lexical rank."""
+def fuse(dense_list: DataFrame, lexical_list: DataFrame, depth: int = 100, k: int = 60, digits: int | None = 6) -> DataFrame:
+    """MTH-04, SRT-03: reciprocal-rank fusion of both lists' first ``depth``, rounded to ``digits`` once ranked. Ties: dense rank, then lexical rank."""
     a = dense_list.where(F.col("rank") <= depth).select("query_id", "doc_id", F.col("rank").alias("dense_rank"), F.lit(None).cast("int").alias("lexical_rank"))
     b = lexical_list.where(F.col("rank") <= depth).select("query_id", "doc_id", F.lit(None).cast("int").alias("dense_rank"), F.col("rank").alias("lexical_rank"))
     both = a.unionByName(b).groupBy("query_id", "doc_id").agg(F.max("dense_rank").alias("dense_rank"), F.max("lexical_rank").alias("lexical_rank"))
     score = F.coalesce(numbers.rrf(F.col("dense_rank"), k), F.lit(0.0)) + F.coalesce(numbers.rrf(F.col("lexical_rank"), k), F.lit(0.0))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc_nulls_last("dense_rank"), F.asc_nulls_last("lexical_rank"))
-    return both.withColumn("score", F.round(score, 6)).withColumn("rank", F.row_number().over(order))
+    placed = both.withColumn("score", score).withColumn("rank", F.row_number().over(order))
+    return placed if digits is None else placed.withColumn("score", F.round("score", digits))
 
 
 def diversify(results: DataFrame, group: str, limit: int, per_group: int) -> DataFrame:
@@ -108,6 +103,22 @@ def diversify(results: DataFrame, group: str, limit: int, per_group: int) -> Dat
     return some.withColumn("position", F.row_number().over(Window.partitionBy("query_id").orderBy("rank"))).where(F.col("position") <= limit)
 
 
+#: Words that ask for a country and no content, those of the country that can be asked for, and its name.
+PLACES, HERE, COUNTRY = ("perú", "peru", "panamá", "panama"), ("perú", "peru"), "Perú"
+
+
+def matching(passages: DataFrame, queries: DataFrame) -> DataFrame:
+    """FLT-01: (query_id, and the columns of ``passages``): passages (country, keywords, ...) of the country if a question (query_id, text) names it, that have one of its other words if there are any.
+
+    A question without such words, or that names no country, is not narrowed by them. The questions are a stated set, sent to all tasks
+    while it is small.
+    """
+    words = text.keywords(F.col("text"))
+    asked = queries.select("query_id", F.arrays_overlap(words, F.array(*map(F.lit, HERE))).alias("_here"), F.filter(words, lambda w: ~w.isin(*PLACES) & (w != "")).alias("_words"))
+    fits = (~F.col("_here") | F.coalesce(F.col("country") == COUNTRY, F.lit(False))) & ((F.size("_words") == 0) | F.coalesce(F.arrays_overlap("_words", "keywords"), F.lit(False)))
+    return passages.join(asked, fits).drop("_here", "_words")
+
+
 def judge(results: DataFrame, qrels: DataFrame) -> DataFrame:
     """JON-06: a result (query_id, document_id, page_start, page_end) is positive if a positive range overlaps it, else explicit-negative or unjudged."""
     q = qrels.select("query_id", "document_id", F.col("page_start").alias("_a"), F.col("page_end").alias("_b"), F.col("relevance").alias("_r"))

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tamiz.functions import numbers, text
-from tamiz.operators import answers, audit, documents, governance, linkage, preflight, retrieval, search
-from tamiz.session import load
+from tamiz.operators import answers, audit, documents, gates, governance, impact, linkage, preflight, pruned, reports, retrieval, search, sessions
+from tamiz.session import load, new_folder, written
+from tamiz.sources import scans
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -105,6 +106,34 @@ def dense_topk(spark: SparkSession, sf: str) -> DataFrame:
     return _dense(spark, sf, 10)
 
 
+@query(f"SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM {_DENSE} WHERE rank <= 10")
+def pruned_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``dense_topk`` from vectors under pivots, without groups that can't hold them."""
+    vectors = load(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
+    found, _ = pruned.search(pruned.build(vectors), vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id"))
+    return retrieval.shown(found).select("query_id", "doc_id", "score", "rank")
+
+
+@query("""WITH g AS (SELECT doc_id AS evidence_id, source, lang, text FROM documents WHERE source IS NOT NULL), d AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'include' ELSE 'exclude' END AS decision, toxic FROM labels)
+  SELECT evidence_id, CASE WHEN evidence_id % 3 = 0 THEN 'corrected ' || evidence_id ELSE substr(text, 1, 40) END AS final_interpretation FROM g JOIN d ON d.doc_id = evidence_id WHERE decision = 'include' AND toxic = 0""")
+def gate_ledger(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents as pending evidence of themselves: labels screen them, then verify those that are not toxic, in a workspace that commits each decision."""
+    docs, labels = load(spark, sf, "documents").where("source is not null"), load(spark, sf, "labels").join(load(spark, sf, "documents").where("source is not null").select("doc_id"), "doc_id", "left_semi")
+    key = F.col("doc_id").cast("string")
+    said = [F.col("source").alias("claim_id"), F.lit("s").alias("study_design"), F.col("lang").alias("population"), F.lit("o").alias("outcome"), F.lit("v").alias("verbatim_excerpt"), F.lit("l").alias("locator")]
+    none = lambda schema: spark.createDataFrame([], schema)
+    evidence = docs.select(key.alias("evidence_id"), key.alias("source_id"), *said, F.substring("text", 1, 40).alias("ai_interpretation"))
+    space = gates.created(spark, new_folder(spark, "workspace"), {
+        "screening_pending": docs.select(key.alias("record_id")), "screening_decisions": none("record_id string, human_decision string, human_reason string, reviewer string"), "evidence_pending": evidence,
+        "evidence_verifications": none("evidence_id string, source_id string, verdict string, human_correction string, reviewer string"), "evidence_ledger": evidence.limit(0).withColumnRenamed("ai_interpretation", "final_interpretation").withColumn("reviewer", F.lit("")),
+    })
+    screened = labels.select(key.alias("record_id"), F.when(F.col("quality") == 1, "include").otherwise("exclude").alias("human_decision"), F.lit("label").alias("human_reason"), F.lit("l").alias("reviewer"))
+    space = gates.screen(space, screened)
+    fixed = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("corrected "), key)).otherwise(" ")
+    verdicts = labels.where("quality = 1").select(key.alias("evidence_id"), F.when(F.col("toxic") == 0, "verified").otherwise("rejected").alias("verdict"), fixed.alias("human_correction"), F.lit("l").alias("reviewer"))
+    return gates.verify(space, verdicts).read("evidence_ledger").select(F.col("evidence_id").cast("long").alias("evidence_id"), "final_interpretation")
+
+
 def _md5_code(word):
     """A word's code in the queries' vectors: both engines have MD5."""
     return F.conv(F.substring(F.md5(F.encode(word, "UTF-8")), 1, 6), 16, 10).cast("int")
@@ -115,8 +144,8 @@ def _embed(t):
 
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
-    """A stated query set: every fifth item, its text as the question."""
-    return load(spark, sf, "benchmark").where("item_id % 5 = 0").select(F.col("item_id").alias("query_id"), "text")
+    """A stated query set: all items, their texts as the questions."""
+    return load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
 
 
 def _semantic(spark: SparkSession, sf: str, limit: int) -> DataFrame:
@@ -125,25 +154,25 @@ def _semantic(spark: SparkSession, sf: str, limit: int) -> DataFrame:
     return retrieval.dense(vectors(load(spark, sf, "documents"), "doc_id"), vectors(_items(spark, sf), "query_id"), limit)
 
 
-def _vector(table: str, key: str, where: str = "") -> str:
+def _vector(table: str, key: str) -> str:
     """SQL of (key, v): counts of the words' codes mod 64."""
-    terms = f"SELECT {key}, unnest(list_distinct(list_filter({_TOKENS}, lambda w: length(w) > 2))) AS w FROM {table} {where}"
+    terms = f"SELECT {key}, unnest(list_distinct(list_filter({_TOKENS}, lambda w: length(w) > 2))) AS w FROM {table}"
     counts = f"SELECT {key}, ('0x' || substr(md5(w), 1, 6))::INT % 64 AS k, count(*)::DOUBLE AS n FROM ({terms}) GROUP BY ALL"
     return f"(SELECT {key}, list_transform(range(64), lambda j: coalesce(list_sum(list_transform(list_filter(c, lambda x: x.k = j), lambda x: x.n)), 0)) AS v FROM (SELECT {key}, list({{'k': k, 'n': n}}) AS c FROM ({counts}) GROUP BY 1))"
 
 
 _SEMANTIC = f"""(SELECT query_id, doc_id, round(raw, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY raw DESC, doc_id) AS rank FROM (
   SELECT item_id AS query_id, doc_id, round(coalesce(list_cosine_similarity(q.v, d.v), 0), 9) AS raw
-  FROM (SELECT doc_id, coalesce(v, list_transform(range(64), lambda j: 0.0::DOUBLE)) AS v FROM documents LEFT JOIN {_vector("documents", "doc_id")} USING (doc_id)) d CROSS JOIN {_vector("benchmark", "item_id", "WHERE item_id % 5 = 0")} q))"""
+  FROM (SELECT doc_id, coalesce(v, list_transform(range(64), lambda j: 0.0::DOUBLE)) AS v FROM documents LEFT JOIN {_vector("documents", "doc_id")} USING (doc_id)) d CROSS JOIN {_vector("benchmark", "item_id")} q))"""
 
 
 def _fused(spark: SparkSession, sf: str) -> DataFrame:
-    return retrieval.fuse(_semantic(spark, sf, 100), _lexical(spark, sf, 100).where("query_id % 5 = 0"))
+    return retrieval.fuse(_semantic(spark, sf, 100), _lexical(spark, sf, 100))
 
 
 _FUSED = f"""(SELECT query_id, doc_id, dense_rank, lexical_rank, round(score, 6) AS score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST) AS rank FROM (
   SELECT query_id, doc_id, a.rank AS dense_rank, b.rank AS lexical_rank, coalesce(1.0::DOUBLE / (60 + a.rank), 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score
-  FROM (SELECT * FROM {_SEMANTIC} WHERE rank <= 100) a FULL JOIN (SELECT * FROM {_BM25} WHERE rank <= 100 AND query_id % 5 = 0) b USING (query_id, doc_id)))"""
+  FROM (SELECT * FROM {_SEMANTIC} WHERE rank <= 100) a FULL JOIN (SELECT * FROM {_BM25} WHERE rank <= 100) b USING (query_id, doc_id)))"""
 
 
 @query(f"SELECT query_id, doc_id, CAST(dense_rank AS INT) AS dense_rank, CAST(lexical_rank AS INT) AS lexical_rank, score, CAST(rank AS INT) AS rank FROM {_FUSED} WHERE rank <= 20")
@@ -181,20 +210,36 @@ def retrieval_metrics(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.metrics(results, _gold(spark, sf))
 
 
+#: Judged ranges of pages: an item's text lies on one or two pages of a document, and some of its documents are judged not to help.
+_RANGES = f"(SELECT query_id, doc_id, 1 + query_id % 3 AS page_start, 1 + query_id % 3 + doc_id % 2 AS page_end, ((query_id + doc_id) % 4 <> 0)::INT AS relevance FROM {_GOLD})"
+
+
+@query(f"""WITH r AS (SELECT query_id, doc_id, rank, 1 + doc_id % 4 AS a, 1 + doc_id % 4 + rank % 2 AS b FROM {_BM25} WHERE rank <= 5)
+  SELECT r.query_id, r.doc_id AS document_id, CAST(a AS INT) AS page_start, CAST(b AS INT) AS page_end, CASE max(relevance) FILTER (g.page_start <= b AND g.page_end >= a) WHEN 1 THEN 'positive' WHEN 0 THEN 'explicit-negative' ELSE 'unjudged' END AS judgment
+  FROM r LEFT JOIN {_RANGES} g ON g.query_id = r.query_id AND g.doc_id = r.doc_id GROUP BY ALL""")
+def ranged_judgments(spark: SparkSession, sf: str) -> DataFrame:
+    """Results on one or two pages against judged ranges of pages, with explicit negatives."""
+    page, last = (1 + F.col("doc_id") % 4).cast("int"), F.col("rank") % 2
+    results = _lexical(spark, sf, 5).select("query_id", F.col("doc_id").alias("document_id"), page.alias("page_start"), (page + last).cast("int").alias("page_end"))
+    gold, start = _gold(spark, sf), 1 + F.col("query_id") % 3
+    ranges = gold.select("query_id", "document_id", start.alias("page_start"), (start + F.col("document_id") % 2).alias("page_end"), ((F.col("query_id") + F.col("document_id")) % 4 != 0).cast("int").alias("relevance"))
+    return retrieval.judge(results, ranges)
+
+
 _POOL = f"""(WITH a AS (SELECT query_id, document_id, min(rank) AS best_rank, string_agg(mode, '|' ORDER BY list_position(['lexical', 'dense', 'hybrid'], mode)) AS seen_in_modes FROM (
-  SELECT query_id, doc_id AS document_id, rank, 'lexical' AS mode FROM {_BM25} WHERE rank <= 5 AND query_id % 5 = 0 UNION ALL SELECT query_id, doc_id, rank, 'dense' FROM {_SEMANTIC} WHERE rank <= 5
+  SELECT query_id, doc_id AS document_id, rank, 'lexical' AS mode FROM {_BM25} WHERE rank <= 5 UNION ALL SELECT query_id, doc_id, rank, 'dense' FROM {_SEMANTIC} WHERE rank <= 5
   UNION ALL SELECT query_id, doc_id, rank, 'hybrid' FROM {_FUSED} WHERE rank <= 5) GROUP BY 1, 2)
   SELECT a.query_id, document_id, seen_in_modes, CAST(best_rank AS INT) AS best_rank, CASE WHEN g.doc_id IS NULL THEN 'unjudged' ELSE 'positive' END AS judgment FROM a LEFT JOIN {_GOLD} g ON a.query_id = g.query_id AND a.document_id = g.doc_id)"""
 
 
 def _ranges(df: DataFrame, mode: str) -> DataFrame:
-    return df.select("query_id", F.col("doc_id").alias("document_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "rank", F.lit(mode).alias("mode"))
+    return df.where("rank <= 5").select("query_id", F.col("doc_id").alias("document_id"), F.lit(1).alias("page_start"), F.lit(1).alias("page_end"), "rank", F.lit(mode).alias("mode"))
 
 
 def _modes(spark: SparkSession, sf: str) -> DataFrame:
-    """The first five of each mode for each item of the query set."""
-    lexical = _ranges(_lexical(spark, sf, 5).where("query_id % 5 = 0"), "lexical")
-    return lexical.unionByName(_ranges(_semantic(spark, sf, 5), "dense")).unionByName(_ranges(_fused(spark, sf).where("rank <= 5"), "hybrid"))
+    """The first five of each mode for each item. Both lists are made once; fusion reads them."""
+    lexical, dense = written(_lexical(spark, sf, 100), "lexical"), written(_semantic(spark, sf, 100), "dense")
+    return _ranges(lexical, "lexical").unionByName(_ranges(dense, "dense")).unionByName(_ranges(retrieval.fuse(dense, lexical), "hybrid"))
 
 
 @query(f"SELECT * FROM {_POOL}")
@@ -207,37 +252,76 @@ def judgment_counts(spark: SparkSession, sf: str) -> DataFrame:
     return retrieval.judgment_counts(retrieval_pool(spark, sf))
 
 
-@query(f"""WITH g AS (SELECT * FROM {_GOLD} WHERE query_id % 5 = 0), n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
+@query(f"""WITH g AS {_GOLD}, n AS (SELECT query_id, count(*) AS n FROM g GROUP BY 1),
   r AS (SELECT query_id, rank, mode FROM (SELECT query_id, doc_id, rank, 'lexical' AS mode FROM {_BM25} UNION ALL SELECT query_id, doc_id, rank, 'dense' FROM {_SEMANTIC} UNION ALL SELECT query_id, doc_id, rank, 'hybrid' FROM {_FUSED}) JOIN g USING (query_id, doc_id) WHERE rank <= 5),
   q AS (SELECT m.mode, n.query_id, CAST(coalesce(min(rank) <= 3, false) AS INT) AS hit, coalesce(round(1.0::DOUBLE / min(rank), 6), 0) AS mrr,
     round(coalesce(sum(1.0::DOUBLE / log2(rank + 1)), 0) / list_sum(list_transform(range(1, least(any_value(n), 5) + 1), lambda k: 1.0::DOUBLE / log2(k + 1))), 6) AS ndcg
     FROM n CROSS JOIN (SELECT unnest(['lexical', 'dense', 'hybrid']) AS mode) m LEFT JOIN r ON r.query_id = n.query_id AND r.mode = m.mode GROUP BY 1, 2)
   SELECT mode, count(*) AS n_queries, round(avg(hit), 6) AS hit_at_3, round(avg(mrr), 6) AS mrr, round(avg(ndcg), 6) AS ndcg_at_5 FROM q GROUP BY 1""")
 def evaluation_summary(spark: SparkSession, sf: str) -> DataFrame:
-    """Macro means of each mode over the items of the query set that occur in some document."""
-    found, gold = _modes(spark, sf), _gold(spark, sf).where("query_id % 5 = 0")
-    each = [retrieval.metrics(found.where(F.col("mode") == m), gold).withColumn("mode", F.lit(m)) for m in search.MODES]
-    return retrieval.macro(each[0].unionByName(each[1]).unionByName(each[2]), ["mode"])
+    """Macro means of each mode over the items that occur in some document; a mode's item counts as a query of its own."""
+    named = F.concat_ws(":", "mode", "query_id")
+    gold = _gold(spark, sf).withColumn("mode", F.explode(F.array(*map(F.lit, search.MODES)))).withColumn("query_id", named).drop("mode")
+    each = retrieval.metrics(_modes(spark, sf).withColumn("query_id", named).drop("mode"), gold)
+    return retrieval.macro(each.withColumn("mode", F.substring_index("query_id", ":", 1)), ["mode"])
+
+
+#: Hits of each mode before diversity: rank, score, and the scores that the mode's lists hold.
+_HITS = {
+    "lexical": f"(SELECT query_id, doc_id, rank, score, 0.0::DOUBLE AS ds, score AS ls FROM {_BM25} WHERE rank <= 100)",
+    "dense": f"(SELECT query_id, doc_id, rank, score, score AS ds, 0.0::DOUBLE AS ls FROM {_SEMANTIC})",
+    "hybrid": f"""(SELECT query_id, doc_id, score, ds, ls, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST) AS rank FROM (
+  SELECT query_id, doc_id, a.score AS ds, coalesce(b.score, 0) AS ls, CASE WHEN a.rank <= 100 THEN a.rank END AS dense_rank, b.rank AS lexical_rank,
+    coalesce(CASE WHEN a.rank <= 100 THEN 1.0::DOUBLE / (60 + a.rank) END, 0) + coalesce(1.0::DOUBLE / (60 + b.rank), 0) AS score
+  FROM {_SEMANTIC} a LEFT JOIN (SELECT * FROM {_BM25} WHERE rank <= 100) b USING (query_id, doc_id)) WHERE score > 0)""",
+}
+
+
+def _results(mode: str) -> str:
+    return rf"""SELECT query_id, CAST(position AS INT) AS rank, '{mode}' AS mode, doc_id AS chunk_id, round(score, 6) AS score, round(ds, 6) AS dense_score, round(ls, 6) AS lexical_score, source AS document_id, 'Doc ' || doc_id AS title, lang AS author,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(1900 + doc_id % 100 AS VARCHAR) ELSE '' END AS year, lang AS category, CAST(doc_id AS INT) AS page, CAST(doc_id AS INT) AS page_start, CAST(doc_id + n_chars % 2 AS INT) AS page_end,
+  CASE WHEN lang IS NOT NULL AND lang <> '' AND doc_id % 2 = 0 THEN lang || ' (' || (1900 + doc_id % 100) || ')' WHEN lang IS NOT NULL AND lang <> '' THEN lang ELSE 'Doc ' || doc_id END AS citation,
+  CASE WHEN n_chars % 2 = 0 THEN 'p. ' || doc_id ELSE 'pp. ' || doc_id || '–' || (doc_id + 1) END AS pages, source || '.pdf' AS relative_path, array_to_string(list_slice({_WORDS}, 1, 24), ' ') || ' …' AS preview
+  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM (SELECT h.*, source, lang, text, n_chars, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM {_HITS[mode]} h JOIN documents USING (doc_id)) WHERE k <= 2) WHERE position <= 5"""
 
 
-_HITS = f"""(SELECT query_id, doc_id, dense_rank, lexical_rank, score, ds, ls, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, dense_rank NULLS LAST, lexical_rank NULLS LAST) AS rank FROM (
-  SELECT query_id, doc_id, a.rank AS dense_rank, b.rank AS lexical_rank, coalesce(a.score, 0) AS ds, coalesce(b.score, 0) AS ls,
-    coalesce(CASE WHEN a.rank <= 100 THEN 1.0::DOUBLE / (60 + a.rank) END, 0) + coalesce(CASE WHEN b.rank <= 100 THEN 1.0::DOUBLE / (60 + b.rank) END, 0) AS score
-  FROM {_SEMANTIC} a FULL JOIN (SELECT * FROM {_BM25} WHERE query_id % 5 = 0) b USING (query_id, doc_id)) WHERE score > 0)"""
+#: Folders of the indexes that were written, by session and input.
+_INDEXES: dict[tuple[str, str], str] = {}
 
 
-@query(rf"""SELECT query_id, CAST(position AS INT) AS rank, 'hybrid' AS mode, doc_id AS chunk_id, round(score, 6) AS score, round(ds, 6) AS dense_score, round(ls, 6) AS lexical_score, source AS document_id, 'Doc ' || doc_id AS title, lang AS author,
-  CASE WHEN doc_id % 2 = 0 THEN CAST(1900 + doc_id % 100 AS VARCHAR) ELSE '' END AS year, lang AS category, CAST(doc_id AS INT) AS page, CAST(doc_id AS INT) AS page_start, CAST(doc_id + n_chars % 2 AS INT) AS page_end,
-  CASE WHEN lang IS NOT NULL AND lang <> '' AND doc_id % 2 = 0 THEN lang || ' (' || (1900 + doc_id % 100) || ')' WHEN lang IS NOT NULL AND lang <> '' THEN lang ELSE 'Doc ' || doc_id END AS citation,
-  CASE WHEN n_chars % 2 = 0 THEN 'p. ' || doc_id ELSE 'pp. ' || doc_id || '–' || (doc_id + 1) END AS pages, source || '.pdf' AS relative_path, array_to_string(list_slice({_WORDS}, 1, 24), ' ') || ' …' AS preview
-  FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS position FROM (SELECT h.*, source, lang, text, n_chars, row_number() OVER (PARTITION BY query_id, source ORDER BY rank) AS k FROM {_HITS} h JOIN documents USING (doc_id)) WHERE k <= 2) WHERE position <= 5""")
+def _index(spark: SparkSession, sf: str) -> dict[str, DataFrame]:
+    """Documents as chunks of their source, in an index that is written once and read by each search of the session."""
+    key = (spark.sparkContext.applicationId, sf)
+    if key not in _INDEXES:
+        chunks = load(spark, sf, "documents").select(
+            F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("lang").alias("author"), F.when(F.col("doc_id") % 2 == 0, (1900 + F.col("doc_id") % 100).cast("string")).otherwise("").alias("year"),
+            F.col("lang").alias("category"), F.col("doc_id").cast("int").alias("page"), F.col("doc_id").cast("int").alias("page_start"), (F.col("doc_id") + F.col("n_chars") % 2).cast("int").alias("page_end"), F.concat("source", F.lit(".pdf")).alias("relative_path"), F.lit(0).alias("ordinal"), "text",
+        )
+        path = new_folder(spark, "index")
+        scans.write_index(search.build(chunks, _embed), path)
+        _INDEXES[key] = path
+    return {name: scans.read_index(spark, _INDEXES[key], name) for name in search.TABLES}
+
+
+@query(_results("hybrid"))
 def search_results(spark: SparkSession, sf: str) -> DataFrame:
-    """Documents as chunks of their source; hybrid search of every fifth item over an index that is built for it."""
-    chunks = load(spark, sf, "documents").select(
-        F.col("doc_id").alias("chunk_id"), F.col("source").alias("document_id"), F.concat(F.lit("Doc "), "doc_id").alias("title"), F.col("lang").alias("author"), F.when(F.col("doc_id") % 2 == 0, (1900 + F.col("doc_id") % 100).cast("string")).otherwise("").alias("year"),
-        F.col("lang").alias("category"), F.col("doc_id").cast("int").alias("page"), F.col("doc_id").cast("int").alias("page_start"), (F.col("doc_id") + F.col("n_chars") % 2).cast("int").alias("page_end"), F.concat("source", F.lit(".pdf")).alias("relative_path"), F.lit(0).alias("ordinal"), "text",
-    )
-    return search.search(search.build(chunks, _embed), _items(spark, sf), "hybrid", 5, 2, _embed)
+    return search.search(_index(spark, sf), _items(spark, sf), "hybrid", 5, 2, _embed)
+
+
+@query(_results("lexical"))
+def search_lexical(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_index(spark, sf), _items(spark, sf), "lexical", 5, 2, _embed)
+
+
+@query(_results("dense"))
+def search_dense(spark: SparkSession, sf: str) -> DataFrame:
+    return search.search(_index(spark, sf), _items(spark, sf), "dense", 5, 2, _embed)
+
+
+@query(f"SELECT query_id, doc_id, score, CAST(rank AS INT) AS rank FROM {_BM25} WHERE rank <= 10")
+def impact_topk(spark: SparkSession, sf: str) -> DataFrame:
+    """The rows of ``bm25_topk`` from the index's postings, of which blocks that can't matter are left out."""
+    return retrieval.shown(impact.search(_index(spark, sf), _items(spark, sf), 10)[0])
 
 
 _TOP = f"""(SELECT query_id, label AS answerable, max(score) AS top FROM (SELECT query_id, score, (q.label = d.label)::INT AS label FROM {_DENSE} x JOIN embeddings q ON q.vec_id = query_id JOIN embeddings d ON d.vec_id = doc_id WHERE query_id <> doc_id) GROUP BY 1, 2)"""
@@ -343,6 +427,17 @@ def keyword_filter(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "documents").where("lang = 'en'").where(F.arrays_overlap(F.transform(text.tokens(F.col("text")), F.lower), terms)).select("doc_id")
 
 
+@query(rf"""WITH q AS (SELECT r_regionkey AS query_id, CASE r_regionkey WHEN 0 THEN ['perú'] WHEN 1 THEN ['panamá', 'reason'] WHEN 2 THEN ['peru', 'nation', 'heat'] WHEN 3 THEN [] ELSE ['reason', 'heat'] END AS terms FROM region),
+  p AS (SELECT doc_id, lang, {_TOKENS} AS t FROM documents) SELECT query_id, doc_id FROM q, p WHERE (NOT list_has_any(terms, ['perú', 'peru']) OR coalesce(lang = 'es', false))
+  AND (len(list_filter(terms, lambda w: w NOT IN ('perú', 'peru', 'panamá', 'panama'))) = 0 OR list_has_any(t, list_filter(terms, lambda w: w NOT IN ('perú', 'peru', 'panamá', 'panama'))))""")
+def corpus_matches(spark: SparkSession, sf: str) -> DataFrame:
+    """Questions that name a place, some words, both, or nothing, against documents with their tokens as keywords and Spanish ones as those of the place."""
+    said = F.when(F.col("r_regionkey") == 0, "El Perú").when(F.col("r_regionkey") == 1, "Panamá: reason?").when(F.col("r_regionkey") == 2, "nation, peru. heat").when(F.col("r_regionkey") == 3, "a b").otherwise("reason heat")
+    asked = load(spark, sf, "region").select(F.col("r_regionkey").alias("query_id"), said.alias("text")).withColumn("text", F.regexp_replace("text", "^El ", ""))
+    passages = load(spark, sf, "documents").select("doc_id", F.when(F.col("lang") == "es", "Perú").otherwise(F.col("lang")).alias("country"), F.transform(text.tokens(F.col("text")), F.lower).alias("keywords"))
+    return retrieval.matching(passages, asked).select("query_id", "doc_id")
+
+
 @query("""SELECT conv_id, turn, round(e - d, 6) AS start_s, round(e, 6) AS end_s FROM (SELECT conv_id, turn, d, sum(d) OVER w + 0.4::DOUBLE * (row_number() OVER w - 1) AS e
   FROM (SELECT conv_id, turn, length(coalesce(text, '')) / 10.0::DOUBLE AS d FROM conversations) WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))""")
 def turn_timeline(spark: SparkSession, sf: str) -> DataFrame:
@@ -363,6 +458,42 @@ def session_budget(spark: SparkSession, sf: str) -> DataFrame:
     return audit.budget(load(spark, sf, "events"), "user_id", F.date_trunc("hour", "ts"), ["ts", "event_id"], F.col("event_type"), {"click": 3}, 6).select("event_id", "n_calls", "n_click", "within")
 
 
+_CALLS = """(WITH c AS (SELECT event_id, concat_ws('-', user_id, event_id // 1500) AS session, ts, CASE WHEN event_type IN ('click', 'purchase') THEN 'open' ELSE 'search' END AS kind, event_id % 7 AS query, concat_ws('-', event_id % 5, event_id % 3) AS passage_id FROM events),
+  n AS (SELECT *, count(*) OVER w AS n_calls, CAST(count(*) FILTER (kind = 'search') OVER w AS BIGINT) AS n_searches FROM c WINDOW w AS (PARTITION BY session ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)),
+  p AS (SELECT concat_ws('-', conv_id, turn) AS passage_id, conv_id AS query FROM conversations),
+  g AS (SELECT session, p.passage_id, min(n_calls) AS granted FROM n JOIN p ON p.query = n.query WHERE kind = 'search' AND n_calls <= 6 AND n_searches <= 3 GROUP BY 1, 2)
+  SELECT event_id, n.session, kind, n.passage_id, n_calls, n_searches, CASE WHEN n_calls > 6 THEN 'calls spent' WHEN kind = 'search' AND n_searches > 3 THEN 'searches spent'
+    WHEN kind = 'open' AND NOT coalesce(granted < n_calls, false) THEN 'not found before' WHEN kind = 'open' AND n.passage_id NOT IN (SELECT passage_id FROM p) THEN 'no such passage' ELSE 'done' END AS outcome
+  FROM n LEFT JOIN g ON g.session = n.session AND g.passage_id = n.passage_id)"""
+
+
+def _calls(spark: SparkSession, sf: str) -> DataFrame:
+    """Events as the calls of sessions, a user's share of some events each: clicks and purchases open a turn of a conversation, others search, which returns a conversation's turns."""
+    calls = load(spark, sf, "events").select(
+        "event_id", "ts", F.concat_ws("-", "user_id", F.floor(F.col("event_id") / 1500)).alias("session"), F.when(F.col("event_type").isin("click", "purchase"), "open").otherwise("search").alias("kind"),
+        (F.col("event_id") % 7).alias("query"), F.concat_ws("-", F.col("event_id") % 5, F.col("event_id") % 3).alias("passage_id"),
+    )
+    turns = load(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("passage_id"), F.col("conv_id").alias("query"))
+    return sessions.outcomes(calls, turns, turns, "session", F.date_trunc("hour", "ts"), ["ts", "event_id"])
+
+
+@query(f"SELECT event_id, n_calls, n_searches, outcome FROM {_CALLS}")
+def session_calls(spark: SparkSession, sf: str) -> DataFrame:
+    return _calls(spark, sf).select("event_id", "n_calls", "n_searches", "outcome")
+
+
+@query(f"""WITH c AS {_CALLS}, r AS (SELECT session, passage_id, max((outcome = 'done')::INT) AS opened FROM c WHERE kind = 'open' GROUP BY 1, 2)
+  SELECT session AS claim_id, CASE WHEN min(opened) = 1 THEN 'supported' ELSE 'insufficient' END AS verdict, CASE WHEN min(opened) = 1 THEN 0 ELSE 1 END AS n_problems FROM r GROUP BY 1""")
+def session_claims(spark: SparkSession, sf: str) -> DataFrame:
+    """A claim for each session that cites all it asked to open; recorded calls tell what it has opened."""
+    told = written(_calls(spark, sf), "calls")
+    cited = told.where("kind = 'open'").select(F.col("session").alias("claim_id"), "passage_id", F.lit("supports").alias("relation")).distinct()
+    claims = cited.select("claim_id", F.lit("supported").alias("verdict"), F.lit(False).alias("causal")).distinct()
+    passages = load(spark, sf, "conversations").select(F.concat_ws("-", "conv_id", "turn").alias("passage_id"), F.lit("descriptive").alias("causal_strength"))
+    drafts = governance.drafts(claims, cited, sessions.opened(told, "session").withColumnRenamed("session", "claim_id"), passages)
+    return drafts.select("claim_id", "verdict", F.size("problems").alias("n_problems"))
+
+
 @query("SELECT event_type, count(*) AS n, count(DISTINCT user_id) AS users FROM events GROUP BY 1")
 def trace_counts(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.countDistinct("user_id").alias("users"))
@@ -402,6 +533,23 @@ def document_records(spark: SparkSession, sf: str) -> DataFrame:
     return documents.document_records(_crossing(spark, sf))
 
 
+_RECORDS = f"(SELECT p.source AS document_id, pages, coalesce(chunks, 0) AS chunks, coalesce(crossing, 0) AS crossing, coalesce(characters, 0) AS characters FROM (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY 1) p LEFT JOIN (SELECT document_id, count(*) AS chunks, count(*) FILTER (page_start < page_end) AS crossing, CAST(sum(length(text)) AS BIGINT) AS characters FROM {_CROSS} GROUP BY 1) r ON r.document_id = p.source)"
+
+
+@query(f"""WITH r AS {_RECORDS}, h AS (SELECT unnest(['# Build log', '', '- documents: ' || count(*), '- pages: ' || sum(pages), '- chunks: ' || sum(chunks), '- chunks across pages: ' || sum(crossing), '', '| document | pages | chunks | crossing | characters |', '| --- | ---: | ---: | ---: | ---: |']) AS value, unnest(range(9)) AS line FROM r),
+  l AS (SELECT 0 AS part, '' AS key, line, value FROM h UNION ALL SELECT 1, document_id, 0, '| ' || concat_ws(' | ', document_id, pages, chunks, crossing, characters) || ' |' FROM r UNION ALL SELECT 2, '', line, value FROM (SELECT unnest(['', '## Problems', '']) AS value, unnest(range(3)) AS line)
+    UNION ALL SELECT 3, document_id, 0, '- ' || document_id || ': few chunks' FROM r WHERE chunks < 20) SELECT row_number() OVER (ORDER BY part, key, line) - 1 AS position, value FROM l""")
+def build_log(spark: SparkSession, sf: str) -> DataFrame:
+    """The log of an index over sources as documents, written in order and read."""
+    pages = load(spark, sf, "documents").where("source is not null").groupBy(F.col("source").alias("document_id")).agg(F.count("*").alias("pages"))
+    records = written(pages.join(documents.document_records(_crossing(spark, sf)), "document_id", "left").fillna(0, ["chunks", "crossing", "characters"]), "records")
+    total = records.agg(F.count("*").alias("documents"), F.sum("pages").alias("pages"), F.sum("chunks").alias("chunks"), F.sum("crossing").alias("crossing")).first()
+    facts = {"documents": total.documents, "pages": total.pages, "chunks": total.chunks, "chunks across pages": total.crossing}
+    path = new_folder(spark, "log")
+    reports.write_document(reports.build_log(records, facts, F.when(F.col("chunks") < 20, F.lit("few chunks"))), ["part", "key", "at"], path)
+    return reports.document(spark, path)
+
+
 _PLACED = _SENTENCES.replace("unnest(l) AS s", "unnest(l) AS s, unnest(range(len(l))) AS place", 1)
 
 

@@ -26,7 +26,7 @@ def keyword_forms(spark: SparkSession, sf: str) -> DataFrame:
 
 
 @query(r"""SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN '10.1000/ab' || o_custkey WHEN 1 THEN '10.1000/ab' || o_custkey ELSE 'ab' || o_custkey END AS doi, CASE WHEN o_orderkey % 2 = 0 THEN 'W' || o_custkey ELSE 'w x' END AS work_id,
-  lower(o_orderpriority)[1:0] || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9_]+', ' ', 'g')) AS match_key, regexp_replace(regexp_replace(lower(o_orderpriority), '[^a-z0-9]+', '-', 'g'), '^-|-$', '', 'g') || '-' || substr(sha256(o_orderstatus), 1, 12) AS cache_name,
+  lower(o_orderpriority)[1:0] || trim(regexp_replace(lower(o_orderpriority), '[^a-z0-9_]+', ' ', 'g')) AS match_key, regexp_replace(regexp_replace(lower(o_orderpriority), '[^a-z0-9-]+', '-', 'g'), '^-+|-+$', '', 'g') || '.' || substr(sha256(o_orderstatus), 1, 12) || '.jsonl' AS cache_name,
   CASE WHEN o_orderkey % 3 < 2 THEN 'doi:10.1000/ab' || o_custkey ELSE 'doi:ab' || o_custkey END || '|id:' || CASE WHEN o_orderkey % 2 = 0 THEN 'w' || o_custkey ELSE 'w x' END AS record_keys FROM orders""")
 def identifier_forms(spark: SparkSession, sf: str) -> DataFrame:
     """Orders' numbers as identifiers in several spellings."""
@@ -94,6 +94,33 @@ def jsonl_last_wins(spark: SparkSession, sf: str) -> DataFrame:
     return files.last_per_key(files.read_jsonl(spark, path, "user_id long, event_id long, event_type string, value double"), "user_id", "event_id")
 
 
+_KIND = lambda c: f"bit_or(CASE WHEN trim({c}) = '' THEN 0 WHEN regexp_full_match(trim({c}), '(?i)true|false') THEN 1 WHEN regexp_full_match(trim({c}), '[+-]?[0-9]{{1,18}}') THEN 2 WHEN regexp_full_match(trim({c}), '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?') THEN 4 ELSE 8 END)"
+_TYPED = {"o_orderkey": "o_orderkey::VARCHAR", "o_totalprice": "o_totalprice::VARCHAR", "o_custkey": "CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_custkey::VARCHAR END", "mixed": "CASE WHEN o_orderkey % 50 = 0 THEN o_totalprice::VARCHAR ELSE o_custkey::VARCHAR END",
+          "late": "CASE WHEN o_orderkey = (SELECT max(o_orderkey) FROM orders) THEN 'x' ELSE '1' END", "flag": "CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE 'False' END", "none": "''", "odd": "CASE WHEN o_orderkey % 2 = 0 THEN 'true' ELSE '1' END"}
+
+
+@query(" UNION ALL ".join(f"SELECT '{c}' AS name, CASE k WHEN 0 THEN 'missing' WHEN 1 THEN 'boolean' WHEN 2 THEN 'bigint' WHEN 4 THEN 'double' WHEN 6 THEN 'double' ELSE 'string' END AS kind FROM (SELECT {_KIND(v)} AS k FROM orders)" for c, v in _TYPED.items()))
+def typed_columns(spark: SparkSession, sf: str) -> DataFrame:
+    """Orders as CSV: the type of each column, from every row; one late word makes a column text."""
+    path, key = new_folder(spark, "csv"), F.col("o_orderkey")
+    orders = load(spark, sf, "orders")
+    last = orders.agg(F.max("o_orderkey")).first()[0]
+    made = {
+        "o_orderkey": key, "o_totalprice": F.col("o_totalprice"), "o_custkey": F.when(key % 3 == 0, "").otherwise(F.col("o_custkey").cast("string")), "mixed": F.when(key % 50 == 0, F.col("o_totalprice").cast("string")).otherwise(F.col("o_custkey").cast("string")),
+        "late": F.when(key == last, "x").otherwise("1"), "flag": F.when(key % 2 == 0, "true").otherwise("False"), "none": F.lit(""), "odd": F.when(key % 2 == 0, "true").otherwise("1"),
+    }
+    files.write_csv(orders.select(*[v.cast("string").alias(c) for c, v in made.items()]), path, list(made))
+    return files.inferred(files.read_csv(spark, path))
+
+
+@query("SELECT user_id, arg_max(event_type, event_id) AS event_type, arg_max(value, event_id) AS value FROM events GROUP BY 1")
+def jsonl_last_line(spark: SparkSession, sf: str) -> DataFrame:
+    """Events through JSON lines in several files, without their order as a column: each user's last line."""
+    path = new_folder(spark, "jsonl")
+    files.write_jsonl(load(spark, sf, "events").repartitionByRange(4, "event_id").sortWithinPartitions("event_id").select("user_id", "event_type", "value"), path)
+    return files.last_line_per_key(spark, path, "user_id long, event_type string, value double", "user_id")
+
+
 @query("""SELECT 'T' || n_nationkey AS section, key, CASE key WHEN 'name' THEN n_name ELSE r_name END AS text FROM nation JOIN region ON n_regionkey = r_regionkey, unnest(['name', 'region']) t(key)""")
 def markdown_sections(spark: SparkSession, sf: str) -> DataFrame:
     """Nations as sections of one Markdown file, written and read as lines."""
