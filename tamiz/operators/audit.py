@@ -99,6 +99,12 @@ def budget(calls: DataFrame, by: str, step: Column, order: list[str], kind: Colu
     return out.withColumn("within", ok)
 
 
+def changes(rows: DataFrame, by: list[str], order: str, value: str, name: str) -> DataFrame:
+    """WIN-10: ``value`` less that of the row before, in ``order`` within ``by``; null for the first. For summed tables: the rows of one ``by`` are put in order by one task."""
+    before = F.lag(value).over(Window.partitionBy(*by).orderBy(order))
+    return rows.withColumn(name, F.round(F.col(value) - before, 6))
+
+
 def timeline(turns: DataFrame, by: str, order: str, duration: Column, pause: float = 0.4, width: int = 1000) -> DataFrame:
     """WIN-07: start and end of each turn, with a pause between turns. ``order`` is a number; sums are made per ``width`` of it first."""
     summed = running(turns, by, F.floor(F.col(order) / width), [order], {"_said": duration, "_turns": F.lit(1)})

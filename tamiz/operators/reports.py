@@ -59,7 +59,7 @@ def build_log(records: DataFrame, facts: dict[str, object], problems: Column) ->
 
 def evaluation_report(summary: DataFrame, each: DataFrame, modes: tuple[str, ...], facts: dict[str, object]) -> DataFrame:
     """(part, key, at, value): a table of each mode's means (mode, hit_at_3, mrr, ndcg_at_5), then for each query of ``each`` (query_id, mode, and the same) a heading and a line a mode."""
-    spark, place = summary.sparkSession, lambda mode: F.array_position(F.array(*map(F.lit, modes)), mode).cast("int")
+    spark, place = summary.sparkSession, lambda mode: F.array_position(F.array(*map(F.lit, modes)), F.col(mode)).cast("int")
     number = lambda c: F.format_string("%.3f", F.col(c))
     head = ["# Evaluation", "", *[f"- {name}: {value}" for name, value in facts.items()], "", "| mode | Hit@3 | MRR | nDCG@5 |", "| --- | ---: | ---: | ---: |"]
     top = spark.createDataFrame([(0, "", k, x) for k, x in enumerate(head)], "part int, key string, at int, value string")

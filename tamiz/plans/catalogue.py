@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tamiz.functions import numbers, text
 from tamiz.operators import answers, audit, documents, gates, governance, impact, linkage, preflight, pruned, reports, retrieval, search, sessions
 from tamiz.session import load, new_folder, written
-from tamiz.sources import scans
+from tamiz.sources import files, scans
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -379,6 +379,16 @@ def merge_gap(spark: SparkSession, sf: str) -> DataFrame:
     return _merged(spark, sf).groupBy("lang").agg(F.round(every, 6).alias("mean_all"), F.round(some, 6).alias("mean_matched"), F.round(every - some, 6).alias("gap"))
 
 
+@query("""SELECT lang, row_set, mean, round(mean - lag(mean) OVER (PARTITION BY lang ORDER BY row_set), 6) AS change FROM (SELECT lang, row_set, round(avg(n_chars), 6) AS mean FROM (
+  SELECT lang, n_chars, 'a: all' AS row_set FROM documents UNION ALL SELECT lang, n_chars, 'b: matched' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels) UNION ALL SELECT lang, n_chars, 'c: good' FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)) GROUP BY 1, 2)""")
+def mean_changes(spark: SparkSession, sf: str) -> DataFrame:
+    """Means over ever fewer rows, and how each differs from the one before."""
+    docs, labels = load(spark, sf, "documents").select("doc_id", "lang", "n_chars"), load(spark, sf, "labels")
+    of = lambda df, name: df.select("lang", "n_chars", F.lit(name).alias("row_set"))
+    every = of(docs, "a: all").unionByName(of(docs.join(labels, "doc_id", "left_semi"), "b: matched")).unionByName(of(docs.join(labels.where("quality = 1"), "doc_id", "left_semi"), "c: good"))
+    return audit.changes(every.groupBy("lang", "row_set").agg(F.round(F.avg("n_chars"), 6).alias("mean")), ["lang"], "row_set", "mean", "change")
+
+
 @query("SELECT o_orderkey FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem)")
 def coverage_semi(spark: SparkSession, sf: str) -> DataFrame:
     return load(spark, sf, "orders").select("o_orderkey").join(load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey")), "o_orderkey", "left_semi")
@@ -399,7 +409,28 @@ def dedup_first_wins(spark: SparkSession, sf: str) -> DataFrame:
     return audit.first_wins(load(spark, sf, "documents").select("doc_id", "text"), F.sha2("text", 256), ["doc_id"]).select("doc_id")
 
 
-@query()
+def _fold(records: str) -> str:
+    """SQL of (block, position, kept_position, matched): records (block, pos, keys) folded in order; a state holds the keys of those kept, their owners, and what was decided."""
+    none = "'seen': []::VARCHAR[], 'owners': []::BIGINT[], 'outs': []::STRUCT(pos BIGINT, kept BIGINT, matched VARCHAR)[]"
+    hit = "list_filter(x.keys, lambda k: list_contains(s.seen, k))[1]"
+    kept = "{'pos': x.pos, 'keys': x.keys, 'seen': list_concat(s.seen, x.keys), 'owners': list_concat(s.owners, list_transform(x.keys, lambda k: x.pos)), 'outs': list_append(s.outs, {'pos': x.pos, 'kept': x.pos, 'matched': NULL::VARCHAR})}"
+    gone = f"{{'pos': x.pos, 'keys': x.keys, 'seen': s.seen, 'owners': s.owners, 'outs': list_append(s.outs, {{'pos': x.pos, 'kept': s.owners[list_position(s.seen, {hit})], 'matched': {hit}}})}}"
+    step = f"CASE WHEN list_has_any(s.seen, x.keys) THEN {gone} ELSE {kept} END"
+    state = f"list_reduce(list_prepend({{'pos': -1::BIGINT, 'keys': []::VARCHAR[], {none}}}, list({{'pos': pos, 'keys': keys, {none}}} ORDER BY pos)), lambda s, x: {step})"
+    return f"(SELECT block, o.pos AS position, o.kept AS kept_position, o.matched AS matched FROM (SELECT block, unnest(s.outs) AS o FROM (SELECT block, {state} AS s FROM {records} GROUP BY block)))"
+
+
+def _keys(*ids: str) -> str:
+    """SQL of a record's keys: its identifiers, or its title."""
+    title = "trim(regexp_replace(lower(substr(coalesce(text, ''), 1, 30)), '[^a-z0-9]+', ' ', 'g'))"
+    return f"CASE WHEN {' OR '.join(f'({i}) IS NOT NULL' for i in ids)} THEN list_filter([{', '.join(ids)}], lambda k: k IS NOT NULL) ELSE list_filter(['title:' || {title}], lambda k: k <> 'title:') END"
+
+
+_DOI = r"CASE WHEN n_chars % 3 = 0 THEN 'doi:' || lower(trim(regexp_replace('10.1000/' || substr(text, 1, 12), '\s+', ' ', 'g'))) END"
+_ID = "CASE WHEN n_chars % 2 = 0 THEN 'id:w' || n_chars END"
+
+
+@query(f"SELECT block, position, kept_position, matched FROM {_fold(f"(SELECT 'all' AS block, doc_id AS pos, {_keys(_DOI, _ID)} AS keys FROM documents)")}")
 def dedup_multikey(spark: SparkSession, sf: str) -> DataFrame:
     """All documents as records with made-up identifiers: a DOI from the text's beginning, an id from its length, and the beginning as title."""
     docs = load(spark, sf, "documents").select(
@@ -533,6 +564,16 @@ def document_records(spark: SparkSession, sf: str) -> DataFrame:
     return documents.document_records(_crossing(spark, sf))
 
 
+@query(f"SELECT 2 AS schema_version, count(*) FILTER (ordinal = 0) AS documents, count(*) AS chunks, count(*) FILTER (page_start < page_end) AS crossing, CAST(sum(length(text)) AS BIGINT) AS characters FROM {_CROSS}")
+def index_config(spark: SparkSession, sf: str) -> DataFrame:
+    """What the write of an index's chunks has seen, as a JSON document that is written and read."""
+    path = new_folder(spark, "chunks")
+    sums = {"documents": F.count(F.when(F.col("ordinal") == 0, 1)), "chunks": F.count("*"), "crossing": F.count(F.when(F.col("page_start") < F.col("page_end"), 1)), "characters": F.sum(F.length("text"))}
+    seen = scans.write_counted(_crossing(spark, sf), f"{path}/chunks", sums)
+    scans.write_document({"schema_version": 2, **seen}, f"{path}/config", spark)
+    return files.read_json(spark, f"{path}/config", "schema_version int, documents long, chunks long, crossing long, characters long", ("schema_version", "chunks"))
+
+
 _RECORDS = f"(SELECT p.source AS document_id, pages, coalesce(chunks, 0) AS chunks, coalesce(crossing, 0) AS crossing, coalesce(characters, 0) AS characters FROM (SELECT source, count(*) AS pages FROM documents WHERE source IS NOT NULL GROUP BY 1) p LEFT JOIN (SELECT document_id, count(*) AS chunks, count(*) FILTER (page_start < page_end) AS crossing, CAST(sum(length(text)) AS BIGINT) AS characters FROM {_CROSS} GROUP BY 1) r ON r.document_id = p.source)"
 
 
@@ -683,7 +724,8 @@ def cited_answers(spark: SparkSession, sf: str) -> DataFrame:
     return told.select("query_id", "statistic", "margin", "answered", "sources", F.sha2("answer", 256).alias("answer_sha256"), F.size("problems").alias("n_problems"))
 
 
-@query()
+@query(f"""WITH f AS {_fold(f"(SELECT coalesce(source, '') AS block, doc_id AS pos, {_keys(_ID)} AS keys FROM documents)")}, k AS (SELECT block, position AS kept_position, row_number() OVER (PARTITION BY block ORDER BY position) AS n FROM f WHERE position = kept_position)
+  SELECT block, position, format('D{{:02d}}', n) AS candidate_id, position <> kept_position AS duplicate, matched, n <= 25 AS within FROM f JOIN k USING (block, kept_position)""")
 def discovery_candidates(spark: SparkSession, sf: str) -> DataFrame:
     """Records with made-up identifiers, an id from the text's length or its beginning as title, as results of one query per source; the first 25 candidates of each."""
     docs = load(spark, sf, "documents").select(
@@ -691,3 +733,9 @@ def discovery_candidates(spark: SparkSession, sf: str) -> DataFrame:
         F.when(F.col("n_chars") % 2 == 0, F.concat(F.lit("W"), F.col("n_chars"))).alias("id"), F.substring("text", 1, 30).alias("title"),
     )
     return linkage.discovery(docs, "block", 25)
+
+
+@query(f"WITH d AS ({ORACLES['discovery_candidates']}) SELECT block, count(*) AS records, count(*) FILTER (duplicate) AS duplicates, count(*) FILTER (NOT duplicate) AS candidates, count(*) FILTER (NOT duplicate AND NOT within) AS dropped FROM d GROUP BY 1")
+def discovery_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """What the log of ``discovery_candidates`` says per query."""
+    return linkage.discovery_log(discovery_candidates(spark, sf))

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tamiz.functions import text
-from tamiz.operators import gates, governance, impact, linkage, preflight, pruned, retrieval, search, sessions
+from tamiz.operators import gates, governance, impact, linkage, preflight, pruned, reports, retrieval, search, sessions
 from tamiz.sources import files, scans
 
 
@@ -180,6 +180,57 @@ def test_lines_of_split_files(spark, tmp_path):
     assert files.last_line_per_key(spark, str(tmp_path / "none"), "page int, text string", "page").count() == 0
 
 
+def test_documents_are_written_in_order_and_compared(spark, tmp_path):
+    said = [(k, f"line {k}" if k % 9 else None) for k in range(500)]
+    lines = spark.createDataFrame(random.Random(1).sample(said, 500), "k int, value string").repartition(7)
+    a, b, c = (str(tmp_path / x) for x in "abc")
+    reports.write_document(lines, ["k"], a)
+    assert [(r.position, r.value) for r in reports.document(spark, a).orderBy("position").collect()] == [(k, v or "") for k, v in said]
+    reports.write_document(lines.coalesce(1), ["k"], b)
+    reports.write_document(lines.withColumn("value", F.when(F.col("k") == 77, "other").otherwise(F.col("value"))).where("k < 499"), ["k"], c)
+    assert reports.same(spark, a, b) and not reports.same(spark, a, c)
+    assert rows(reports.differing(spark, a, c).fillna("none"), "position", "a", "b") == [(77, "line 77", "other"), (499, "line 499", "none")]
+    parts = reports.lines_of(F.col("t"), spark.createDataFrame([(1, "x\ny"), (2, None)], "k int, t string"), "k")
+    assert rows(parts, "k", "at", "value") == [(1, 0, "x"), (1, 1, "y")]
+    summary = spark.createDataFrame([("dense", 1.0, 0.5, 0.25), ("lexical", 0.0, 0.0, 0.0)], "mode string, hit_at_3 double, mrr double, ndcg_at_5 double")
+    each = spark.createDataFrame([(12, "dense", 1, 0.5, 0.25), (12, "lexical", 0, 0.0, 0.0), (3, "dense", 1, 1.0, 1.0)], "query_id int, mode string, hit_at_3 int, mrr double, ndcg_at_5 double")
+    reports.write_document(reports.evaluation_report(summary, each, ("lexical", "dense"), {"questions": 2}), ["part", "key", "at"], c)
+    assert [r.value for r in reports.document(spark, c).orderBy("position").collect()] == [
+        "# Evaluation", "", "- questions: 2", "", "| mode | Hit@3 | MRR | nDCG@5 |", "| --- | ---: | ---: | ---: |", "| lexical | 0.000 | 0.000 | 0.000 |", "| dense | 1.000 | 0.500 | 0.250 |",
+        "", "## 3", "- dense: Hit@3 1; RR 1.000; nDCG@5 1.000", "", "## 12", "- lexical: Hit@3 0; RR 0.000; nDCG@5 0.000", "- dense: Hit@3 1; RR 0.500; nDCG@5 0.250"]
+
+
+def test_manifest_files_and_lock(spark, tmp_path):
+    (tmp_path / "m.csv").write_text(",".join(scans.MANIFEST_FIELDS) + "\n")
+    head = scans.MANIFEST_FIELDS
+    value = {"document_id": "d1", "relative_path": "a/b.pdf", "text_policy": "auto", "start_page": "2", "max_pages": "all", "title": "T"}
+    for bad, message in (({}, None), ({"relative_path": "../b.pdf"}, "outside"), ({"text_policy": "none"}, "outside"), ({"document_id": ""}, "empty or repeated")):
+        (tmp_path / "m.csv").write_text(",".join(head) + "\n" + ",".join((value | bad).get(c, "") for c in head) + "\n")
+        if message is None:
+            made = scans.manifest(spark, str(tmp_path / "m.csv")).first()
+            assert (made.document_id, made.start_page, made.max_pages, made.end_page, made.author) == ("d1", 2, None, None, "")
+        else:
+            with pytest.raises(ValueError, match=message):
+                scans.manifest(spark, str(tmp_path / "m.csv"))
+    (tmp_path / "d" / "e").mkdir(parents=True)
+    (tmp_path / "d" / "e" / "x.pdf").write_bytes(b"one")
+    (tmp_path / "d" / "y.txt").write_bytes(b"two")
+    found = files.files(spark, str(tmp_path / "d"))
+    assert [(r.path.rsplit("/", 1)[1], r.digest) for r in found.collect()] == [("x.pdf", "7692c3ad3540bb803c020b3aee66cd8887123234ea0c6e7143c0add73ff431ed")]
+    lock = spark.createDataFrame([("x.pdf", "0" * 64)], "name string, digest string")
+    named = found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "digest")
+    assert [(r.rule, r.key, r.message) for r in governance.changed(named, lock).collect()] == [("freeze", "x.pdf", "changed after the lock")]
+
+
+def test_sums_of_a_write(spark, tmp_path):
+    df = spark.range(1000).withColumn("x", F.when(F.col("id") % 2 == 0, F.col("id")))
+    seen = scans.write_counted(df.repartition(5), str(tmp_path / "t"), {"rows": F.count("*"), "known": F.count("x"), "total": F.sum("x")})
+    assert seen == {"rows": 1000, "known": 500, "total": 249500} and spark.read.parquet(str(tmp_path / "t")).count() == 1000
+    assert scans.write_counted(df.limit(0), str(tmp_path / "u"), {"rows": F.count("*"), "total": F.sum("x")}) == {"rows": 0, "total": 0}
+    scans.write_document({"b": 1, "a": "é"}, str(tmp_path / "j"), spark)
+    assert files.read_json(spark, str(tmp_path / "j"), "a string, b int", ("a", "b")).first() == ("é", 1)
+
+
 def space(spark, root):
     frame = lambda data, schema: spark.createDataFrame(data, schema)
     evidence = "evidence_id string, source_id string, claim_id string, study_design string, population string, outcome string, verbatim_excerpt string, locator string"
