@@ -98,12 +98,12 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(lang, '') AS lang,
      valued AS (SELECT lang, source, name, CASE WHEN x > 0 THEN ceil(ln(x) / {_LOG}::DOUBLE)::INT ELSE -(1 << 30) END AS bucket FROM ratio WHERE NOT base_failed),
      own AS ({_points("lang, source, ")}),
      whole AS ({_points("")}),
-     chosen AS (SELECT lang, source, name, own.total >= 30 AS is_own, CASE WHEN own.total >= 30 THEN own.q0 ELSE whole.q0 END AS q0, CASE WHEN own.total >= 30 THEN own.q1 ELSE whole.q1 END AS q1,
-                       CASE WHEN own.total >= 30 THEN own.q2 ELSE whole.q2 END AS q2, CASE WHEN own.total >= 30 THEN own.q3 ELSE whole.q3 END AS q3 FROM own JOIN whole USING (name)),
-     fence AS (SELECT lang, source, name, is_own, CASE WHEN name = 'word_length' THEN q0 - 4 * greatest(q2 - q0, 0.1 * q1, 0.05) ELSE 0 END AS low,
+     weighed AS (SELECT lang, source, name, own.total / (own.total + 30.0::DOUBLE) AS w, own.q0 AS a0, own.q1 AS a1, own.q2 AS a2, own.q3 AS a3, whole.q0 AS b0, whole.q1 AS b1, whole.q2 AS b2, whole.q3 AS b3 FROM own JOIN whole USING (name)),
+     chosen AS (SELECT lang, source, name, w, w * a0 + (1 - w) * b0 AS q0, w * a1 + (1 - w) * b1 AS q1, w * a2 + (1 - w) * b2 AS q2, w * a3 + (1 - w) * b3 AS q3 FROM weighed),
+     fence AS (SELECT lang, source, name, w, CASE WHEN name = 'word_length' THEN q0 - 4 * greatest(q2 - q0, 0.1 * q1, 0.05) ELSE 0 END AS low,
                       CASE name WHEN 'word_length' THEN q2 + 4 * greatest(q2 - q0, 0.1 * q1, 0.05) {_TAILS} END AS high FROM chosen),
-     inside AS (SELECT r, bool_and(coalesce(x BETWEEN low AND high, true)) AS ok, bool_and(is_own) AS own_fences FROM ratio LEFT JOIN fence USING (lang, source, name) GROUP BY r)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept, own_fences FROM judged JOIN inside USING (r)"""
+     inside AS (SELECT r, bool_and(coalesce(x BETWEEN low AND high, true)) AS ok, round(min(w), 6) AS own_weight FROM ratio LEFT JOIN fence USING (lang, source, name) GROUP BY r)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND ok AS kept, own_weight FROM judged JOIN inside USING (r)"""
 
 ORACLES = {"op2_archives": ARCHIVES, "op3_decontaminate": DECONTAMINATE, "op6_repeats": REPEATS, "op7_secrets": SECRETS, "op9_quality": QUALITY}
 

@@ -137,13 +137,14 @@ def _failed(least_words: int, most_repeated: float) -> Column:
     return (F.col("n_words") < least_words) | (100 * F.col("n_repeat_words") > most_repeated * F.col("n_words"))
 
 
-def fences(docs_measures: DataFrame, by: tuple[str, ...] = ("lang", "source"), reach: float = 4.0, least: int = 30, least_words: int = 10, most_repeated: float = 20.0) -> DataFrame:
+def fences(docs_measures: DataFrame, by: tuple[str, ...] = ("lang", "source"), reach: float = 4.0, prior: float = 30.0, least_words: int = 10, most_repeated: float = 20.0) -> DataFrame:
     """A row per group with a lower and an upper fence of each ratio, from its documents that pass the base rules.
 
     word_length: quartiles moved out by ``reach`` times their distance, which counts as a tenth of the median at least, or 0.05, so that a
     group of near-equal documents isn't thinned. The others are mostly zero, and so are their quartiles: at most their ``TAIL`` quantile,
-    kept within the bounds of ``TAILS``, so that a group of clean texts allows for some and one of much junk doesn't admit it. Groups of under
-    ``least`` documents take the fences of all documents together; ``own_fences`` tells which. Null lang or source is a group of its own.
+    kept within the bounds of ``TAILS``, so that a group of clean texts allows for some and one of much junk doesn't admit it. A group's
+    quantiles are blended with those of all documents as if it had ``prior`` more of these, so small groups lean on the whole and large ones
+    on themselves, without a size at which that changes; ``own_weight`` is the group's part. Null lang or source is a group of its own.
     """
     filled = docs_measures.where(~_failed(max(least_words, 1), most_repeated)).select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in by], *_COUNTS)
     sketch = cut(sketches(filled, by), "sketches")
@@ -151,19 +152,20 @@ def fences(docs_measures: DataFrame, by: tuple[str, ...] = ("lang", "source"), r
     every = quantiles(sketch.groupBy("name", "bucket").agg(F.sum("n").alias("n")), (), points)
     own = quantiles(sketch, by, points)
     joined = own.join(F.broadcast(every.select("name", *[F.col(f"q{k}").alias(f"all{k}") for k in range(4)])), "name")
-    low, mid, high, tail = (F.when(F.col("total") >= least, F.col(f"q{k}")).otherwise(F.col(f"all{k}")) for k in range(4))
+    weight = F.col("total") / (F.col("total") + F.lit(prior))
+    low, mid, high, tail = (weight * F.col(f"q{k}") + (1 - weight) * F.col(f"all{k}") for k in range(4))
     wide = F.greatest(high - low, 0.1 * mid, F.lit(0.05))
     lower, upper = low - reach * wide, high + reach * wide
     for name, (floor, most) in TAILS.items():
         lower = F.when(F.col("name") == name, 0.0).otherwise(lower)
         upper = F.when(F.col("name") == name, F.least(F.greatest(tail / (1 - accuracy), F.lit(floor)), F.lit(most))).otherwise(upper)
-    joined = joined.select(*by, "name", (F.col("total") >= least).alias("own"), lower.alias("lower"), upper.alias("upper"))
-    return joined.groupBy(*by).agg(F.min("own").alias("own_fences"), *[F.max(F.when(F.col("name") == k, F.col(side))).alias(f"{k}_{side}") for k in ratios() for side in ("lower", "upper")])
+    joined = joined.select(*by, "name", weight.alias("own"), lower.alias("lower"), upper.alias("upper"))
+    return joined.groupBy(*by).agg(F.round(F.min("own"), 6).alias("own_weight"), *[F.max(F.when(F.col("name") == k, F.col(side))).alias(f"{k}_{side}") for k in ratios() for side in ("lower", "upper")])
 
 
 def judged(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), least_words: int = 10, most_repeated: float = 20.0, reach: float = 4.0) -> DataFrame:
-    """doc_id, lang, source, the five counts, base_failed, kept: passes the base rules and lies within its group's fences, and own_fences:
-    whether those are the group's own, not those of all documents (null if all of the group fail the base rules).
+    """doc_id, lang, source, the five counts, base_failed, kept: passes the base rules and lies within its group's fences, and own_weight:
+    the group's own part in those, the rest is of all documents (null if all of the group fail the base rules).
 
     base_failed: under ``least_words`` words, or more than ``most_repeated`` percent of words in repeated windows. Null, empty and blank
     texts fail. Repeated rows are judged each. An empty table gives an empty result. Further columns are not read.
@@ -177,7 +179,7 @@ def judged(docs: DataFrame, by: tuple[str, ...] = ("lang", "source"), least_word
     for name, value in ratios().items():
         inside = inside & F.coalesce(value.between(F.col(f"{name}_lower"), F.col(f"{name}_upper")), F.lit(True))
     failed = _failed(least_words, most_repeated)
-    return joined.select("doc_id", "lang", "source", *_NAMES, failed.alias("base_failed"), (~failed & inside).alias("kept"), "own_fences")
+    return joined.select("doc_id", "lang", "source", *_NAMES, failed.alias("base_failed"), (~failed & inside).alias("kept"), "own_weight")
 
 
 def keep_good(docs: DataFrame, **settings) -> DataFrame:
