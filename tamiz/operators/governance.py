@@ -61,7 +61,7 @@ def review(
         ("screening", (F.col("pending") > 0) & (F.col("decisions") > 0), "still pending after a decision"),
         ("screening", (F.col("candidates") > 0) & (F.col("pending") + F.col("decisions") == 0), "missing"), ("gate", F.col("pending") > 0, "screening decision pending"),
     )
-    decided = found(decisions, "record_id", ("screening", ~F.coalesce("human_decision", F.lit("")).isin(*states), "state outside the protocol"), ("screening", blank("human_reason"), "decision without a reason"))
+    decided = found(decisions, "record_id", ("screening", ~F.coalesce("human_decision", F.lit("")).isin(*states), "decision is none of the known ones"), ("screening", blank("human_reason"), "decision without a reason"))
 
     shared = ["evidence_id", "source_id", "study_design", "population", "outcome", "verbatim_excerpt", "locator"]
     official = ledger.select(*shared, F.col("final_interpretation").alias("said"), F.lit(True).alias("official"))
@@ -92,10 +92,10 @@ def review(
     descent = found(
         official.join(outcome, "source_id", "left"), "evidence_id",
         ("ledger", F.col("decision").isNull(), "no screening decision"), ("ledger", F.col("decision") != "include", F.concat(F.lit("record screened as "), F.col("decision"))),
-        ("ledger", own("population") != population, "population that the protocol does not admit"),
+        ("ledger", own("population") != population, "studied another population"),
     )
     claimed = official.select("source_id").unionByName(proposed.select("source_id"))
-    idle = found(packet.join(outcome.where("decision = 'include'"), "source_id", "left_semi").join(claimed, "source_id", "left_anti"), "source_id", ("evidence", F.lit(True), "no row yet"))
+    idle = found(packet.join(outcome.where("decision = 'include'"), "source_id", "left_semi").join(claimed, "source_id", "left_anti"), "source_id", ("evidence", F.lit(True), "included, but no evidence is given"))
     return screening.unionByName(decided).unionByName(anchors).unionByName(legal).unionByName(descent).unionByName(idle)
 
 

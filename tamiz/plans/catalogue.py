@@ -671,12 +671,12 @@ _PHRASES = ", ".join(f"'{p}'" for p in governance.CAUSAL_PHRASES)
   ver AS (SELECT doc_id, CASE WHEN quality = 1 THEN 'verified' ELSE 'rejected' END AS verdict FROM labels), ev AS (SELECT *, lang = 'es' AS official FROM documents WHERE lang IN ('es', 'fr')),
   k AS (SELECT doc_id, list_filter([{_PHRASES}], lambda p: regexp_matches(lower(text), '(^|[^\p{{L}}\p{{N}}_])' || p || '([^\p{{L}}\p{{N}}_]|$)'))[1] AS phrase FROM ev),
   v AS (SELECT 'screening' AS rule, 'still pending after a decision' AS message FROM pend JOIN dec USING (doc_id) UNION ALL SELECT 'gate', 'screening decision pending' FROM pend
-    UNION ALL SELECT 'screening', 'missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'screening', 'state outside the protocol' FROM dec WHERE decision = 'maybe'
+    UNION ALL SELECT 'screening', 'missing' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels) UNION ALL SELECT 'screening', 'decision is none of the known ones' FROM dec WHERE decision = 'maybe'
     UNION ALL SELECT 'screening', 'decision without a reason' FROM dec WHERE doc_id % 5 = 0 UNION ALL SELECT 'anchor', 'locator differs' FROM ev WHERE NOT official UNION ALL SELECT 'population', 'population differs' FROM ev WHERE n_chars % 7 = 0
     UNION ALL SELECT 'causal-language', 'uses ' || phrase FROM k WHERE phrase IS NOT NULL UNION ALL SELECT 'gate', 'verification pending' FROM ev WHERE NOT official
     UNION ALL SELECT 'ledger', 'official without a verification' FROM ev WHERE official AND doc_id NOT IN (SELECT doc_id FROM ver) UNION ALL SELECT 'ledger', 'official but the verdict is rejected' FROM ev JOIN ver USING (doc_id) WHERE official AND verdict = 'rejected'
     UNION ALL SELECT 'ledger', 'verified but never official' FROM ver WHERE verdict = 'verified' AND doc_id NOT IN (SELECT doc_id FROM ev) UNION ALL SELECT 'ledger', 'no screening decision' FROM ev WHERE official AND doc_id NOT IN (SELECT doc_id FROM dec)
-    UNION ALL SELECT 'ledger', 'record screened as maybe' FROM ev JOIN dec USING (doc_id) WHERE official AND decision = 'maybe' UNION ALL SELECT 'evidence', 'no row yet' FROM documents JOIN dec USING (doc_id) WHERE decision = 'include' AND doc_id NOT IN (SELECT doc_id FROM ev))
+    UNION ALL SELECT 'ledger', 'record screened as maybe' FROM ev JOIN dec USING (doc_id) WHERE official AND decision = 'maybe' UNION ALL SELECT 'evidence', 'included, but no evidence is given' FROM documents JOIN dec USING (doc_id) WHERE decision = 'include' AND doc_id NOT IN (SELECT doc_id FROM ev))
   SELECT rule, message, count(*) AS n FROM v GROUP BY 1, 2""")
 def review_violations(spark: SparkSession, sf: str) -> DataFrame:
     """Documents as candidates, labels as decisions and verifications, Spanish documents as official evidence and French ones as proposals; broken rules, counted."""
