@@ -23,7 +23,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies, with 0.8 or more of their five-word shingles in common, stays."""
+    """One document of each class of near copies, with 0.8 or more of their five-word shingles in common, stays.
+
+    SimHash's positional index gives the first pairs, lists of shared shingles those that differ in more bits; all are verified.
+    """
     return shingles.drop_near_copies(docs)
 
 

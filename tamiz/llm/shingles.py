@@ -1,7 +1,10 @@
 """Near copies of texts: sets of five-word shingles with a Jaccard similarity of 0.8 or more.
 
-Candidates share all rows of one of a MinHash signature's bands: a pair of similarity 0.8 misses all bands with a chance of
-1 in 17,000. First each node of a list is held against the list's least node, which joins most classes. What is left are the nodes of lists
+First come the pairs of ``simhash``'s index: fingerprints that its positional lists find to be at most three bits apart, and equal ones.
+Those whose sets are similar make the first classes. Other similar pairs differ in more bits, up to about ten, where no byte is sure to be
+shared and the index would list all pairs. For these, candidates of different classes share all rows of one of a MinHash signature's bands:
+a pair of similarity 0.8 misses all bands with a chance of 1 in 17,000. Each node of a list is held against the list's least node, which
+joins most of the classes that the index left apart. What is left are the nodes of lists
 that hold several classes. Among these, similar sets share one of their rarest shingles: a set of n lacks at most n - 0.8 n of the other's,
 so one of its n - 0.8 n + 1 rarest (its prefix) is in both. Places in that order tell more: what stands before the first shared shingle is
 not shared, so a shingle at place i leaves room for partners up to a certain size only. Nodes are entered under their prefix's shingles and
@@ -22,6 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tamiz.llm import simhash
 from tamiz.llm.common import bound_batches, cut, gathered, numbered, settled
 from tamiz.llm.components import components
 from tamiz.llm.filters import only, without
@@ -68,11 +72,13 @@ def _bands(shingles: np.ndarray) -> np.ndarray:
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        sets = [shingles_of(x.as_py()) for x in batch.column(1).cast(pa.binary())]
+        texts = [x.as_py() for x in batch.column(1).cast(pa.binary())]
+        sets = [shingles_of(x) for x in texts]
+        prints = np.fromiter(map(simhash.fingerprint_of, texts), np.uint64, len(texts)).view(np.int64)
         nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
         keys = [_bands(s) if len(s) else [] for s in sets]
         sizes = pa.array([len(s) for s in sets], pa.int64())
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), sizes, pa.array(keys, pa.list_(pa.int64()))], ["_row", "node", "size", "keys"])
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes), sizes, pa.array(prints), pa.array(keys, pa.list_(pa.int64()))], ["_row", "node", "size", "fp", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -99,6 +105,20 @@ def _alike(x, y):
     return UNDER * F.least(x, y) >= OVER * F.greatest(x, y)
 
 
+def _indexed(nodes: DataFrame) -> DataFrame:
+    """Nodes (node, size, fp, ...) -> pairs (a, b) that SimHash's index finds, of sizes that may be similar.
+
+    Each fingerprint stands for its least node: the index's links join these, and a fingerprint's other nodes are paired with it.
+    """
+    some = nodes.where("size > 0").select("node", "size", "fp")
+    prints = cut(some.groupBy("fp").agg(F.min(F.struct("node", "size")).alias("least")), "prints")
+    of = lambda c: prints.select(F.col("fp").alias(c), F.col("least").alias(f"{c}_least"))
+    apart = simhash.links(prints.select("fp")).join(of("a"), "a").join(of("b"), "b").select(F.col("a_least").alias("x"), F.col("b_least").alias("y"))
+    equal = some.join(prints, "fp").where("node <> least.node").select(F.col("least").alias("x"), F.struct("node", "size").alias("y"))
+    fit = apart.unionByName(equal).where(_alike(F.col("x.size"), F.col("y.size")))
+    return fit.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b")).distinct()
+
+
 def _verified(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) whose sets are similar enough."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("set").alias("y")), "b")
@@ -156,14 +176,26 @@ def _across(entries: DataFrame, high: int) -> DataFrame:
     return pairs.dropDuplicates(["a", "b"])
 
 
-def _classes(members: DataFrame, sets: DataFrame) -> DataFrame:
+def _between(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes of different classes, with their ``a_root`` and ``b_root``."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    both = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    return both.select("a", "b", F.coalesce("a_root", "a").alias("a_root"), F.coalesce("b_root", "b").alias("b_root")).where("a_root <> b_root")
+
+
+def _classes(members: DataFrame, sets: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """Members of lists and sets (node, set) -> (node, root) of classes of two or more nodes, joined over all similar pairs of a list.
 
+    ``known`` are classes (node, root) found before; pairs within one of them are not looked at.
+
     A node's place ``at`` in an entry, from a hash, tells in which round it is a pivot, so choosing pivots takes no order of an entry.
     """
     rest = members.where("node <> least.node")
     stars = rest.where(_alike(F.col("size"), F.col("least.size"))).select(F.col("least.node").alias("a"), F.col("node").alias("b")).distinct()
-    roots = settled("roots", lambda: components(_verified(stars, sets)))
+    if known is None:
+        roots = settled("roots", lambda: components(_verified(stars, sets)))
+    else:
+        roots = _moved(known, _joined(_verified(_between(stars, known), sets)))
     open_ = cut(_undecided(members.select("list", "node"), roots, "list").select("node").distinct(), "open")
     entries = _entered(sets.join(open_, "node", "left_semi"))
     crowd = entries.groupBy("entry").agg(F.count("*").alias("n"), F.bool_or("asks").alias("some"), F.bool_and("asks").alias("all")).where("some and not all").select("entry", "n")
@@ -178,11 +210,15 @@ def _classes(members: DataFrame, sets: DataFrame) -> DataFrame:
         decided = pairs.select("a", "b") if decided is None else decided.unionByName(fresh.select("a", "b"))
         found = gathered(cut(_verified(fresh, sets), "found"))
         if not found.isEmpty():
-            joined = components(found.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
-            roots = _moved(roots, joined)
+            roots = _moved(roots, _joined(found))
         low, high = high, high * TIMES
 
 
+def _joined(pairs: DataFrame) -> DataFrame:
+    """(node, root) of the classes that similar pairs join."""
+    return components(pairs.select(F.col("a_root").alias("a"), F.col("b_root").alias("b")))
+
+
 def _moved(roots: DataFrame, joined: DataFrame) -> DataFrame:
     """``roots`` after their classes were joined as (node, root) of ``joined`` says, whose nodes are roots or nodes without a class."""
 
@@ -208,13 +244,16 @@ def drop_near_copies(docs: DataFrame) -> DataFrame:
 
 def _gone(rows: DataFrame) -> DataFrame:
     """The numbers of the rows of (_row, doc_id, text) that are copies of a row that stays."""
-    signed = cut(rows.select("_row", "text").mapInArrow(_sign, "_row long, node long, size long, keys array<long>"), "signed")
-    nodes = cut(signed.groupBy("node").agg(F.min("_row").alias("_row"), F.first("size").alias("size"), F.first("keys").alias("keys")), "nodes")
+    signed = cut(rows.select("_row", "text").mapInArrow(_sign, "_row long, node long, size long, fp long, keys array<long>"), "signed")
+    nodes = cut(signed.groupBy("node").agg(F.min("_row").alias("_row"), F.first("size").alias("size"), F.min("fp").alias("fp"), F.first("keys").alias("keys")), "nodes")
+    near = settled("near", lambda: _indexed(nodes))
     members = cut(_members(nodes), "members")
-    chosen = cut(nodes.select("node", "_row").join(members.select("node").distinct(), "node", "left_semi"), "chosen")
+    met = members.select("node").unionByName(near.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
+    chosen = cut(nodes.select("node", "_row").join(met, "node", "left_semi"), "chosen")
     texts = cut(only(rows.select("_row", "text"), "_row", chosen).select("node", "text"), "texts")  # written, so that a task has one Python worker at a time
     sets = cut(texts.mapInArrow(_sets, "node long, set array<long>"), "sets")
-    roots = _classes(members, sets)
+    known = settled("known", lambda: components(_verified(near, sets)))
+    roots = _classes(members, sets, known)
     ids = signed.select("_row", "node").join(rows.select("_row", "doc_id"), "_row")
     first = lambda x: F.min(x).alias("best")
     best = ids.groupBy("node").agg(first(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row")))

@@ -152,3 +152,22 @@ def test_dissimilar_texts_of_one_template_make_few_pairs(spark, monkeypatch):
         assert shingles.drop_near_copies(spark.createDataFrame(rows, "doc_id long, text string")).count() == n
         made[n], counted[:] = sum(counted), []
     assert made[300] < 40 * 300 and made[300] < 2.5 * made[150]
+
+
+def test_near_copies_come_from_the_simhash_index(spark, monkeypatch):
+    """Copies at most three bits apart are found by SimHash's index without any other list; equal fingerprints of dissimilar texts link nothing."""
+    r = random.Random(8)
+    bases = [[f"w{r.randint(0, 999)}" for _ in range(300)] for _ in range(30)]
+    texts = [t for w in bases for t in (" ".join(w), changed(w, {150}))]
+    cycle = " ".join([f"c{k}" for k in range(11)] * 200)
+    texts += [f"{cycle} {c}0 {c}1 {c}2" for c in "xyz"]
+    prints = [simhash.fingerprint_of(t.encode()) for t in texts]
+    apart = [(prints[k] ^ prints[k + 1]).bit_count() for k in range(0, 60, 2)]
+    assert 5 < sum(0 < d <= 3 for d in apart) < 30 and len(set(prints[60:])) == 1 and similarity(*texts[60:62]) < 0.8
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    odds = set(range(1, 60, 2))
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == set(range(63)) - odds
+    members = shingles._members
+    monkeypatch.setattr(shingles, "_members", lambda nodes: members(nodes).limit(0))
+    found = {2 * k + 1 for k, d in enumerate(apart) if d <= 3}
+    assert {r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").collect()} == set(range(63)) - found
