@@ -51,3 +51,7 @@ def test_nearest_equal_all_pairs(spark, monkeypatch, undefined, limit):
     place = lambda s: 2.0 if s is None else -9.0 if s != s else -s
     want = [(a, k, b) for a in asked for k, (_, b) in enumerate(sorted((place(score(a, b)), b) for b in range(300))[:limit], 1)]
     assert sorted((r.query_id, r["rank"], r.doc_id) for r in got) == sorted(want)
+
+
+def test_diversified_topk_with_documents_without_words(spark, wordless):
+    assert same_as_sql(spark, wordless, "diversified_topk")
