@@ -55,3 +55,7 @@ def test_nearest_equal_all_pairs(spark, monkeypatch, undefined, limit):
 
 def test_diversified_topk_with_documents_without_words(spark, wordless):
     assert same_as_sql(spark, wordless, "diversified_topk")
+
+
+def test_evaluation_summary_with_documents_without_words(spark, wordless):
+    assert same_as_sql(spark, wordless, "evaluation_summary")
