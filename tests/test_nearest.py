@@ -59,3 +59,7 @@ def test_diversified_topk_with_documents_without_words(spark, wordless):
 
 def test_evaluation_summary_with_documents_without_words(spark, wordless):
     assert same_as_sql(spark, wordless, "evaluation_summary")
+
+
+def test_judgment_counts_with_documents_without_words(spark, wordless):
+    assert same_as_sql(spark, wordless, "judgment_counts")
