@@ -63,3 +63,7 @@ def test_evaluation_summary_with_documents_without_words(spark, wordless):
 
 def test_judgment_counts_with_documents_without_words(spark, wordless):
     assert same_as_sql(spark, wordless, "judgment_counts")
+
+
+def test_retrieval_pool_with_documents_without_words(spark, wordless):
+    assert same_as_sql(spark, wordless, "retrieval_pool")
