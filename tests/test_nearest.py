@@ -67,3 +67,7 @@ def test_judgment_counts_with_documents_without_words(spark, wordless):
 
 def test_retrieval_pool_with_documents_without_words(spark, wordless):
     assert same_as_sql(spark, wordless, "retrieval_pool")
+
+
+def test_search_dense_with_documents_without_words(spark, wordless):
+    assert same_as_sql(spark, wordless, "search_dense")
