@@ -71,3 +71,7 @@ def test_retrieval_pool_with_documents_without_words(spark, wordless):
 
 def test_search_dense_with_documents_without_words(spark, wordless):
     assert same_as_sql(spark, wordless, "search_dense")
+
+
+def test_search_results_with_documents_without_words(spark, wordless):
+    assert same_as_sql(spark, wordless, "search_results")
