@@ -100,18 +100,18 @@ def _places(sorted_keys: np.ndarray) -> np.ndarray:
     return at - np.maximum.accumulate(np.where(new, at, 0)) if len(at) else at
 
 
-def _first(s: np.ndarray, ids: pa.Array, labels: pa.Array, limit: int, most: int | None, bar: np.ndarray, top: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
+def taken(s: np.ndarray, ids: pa.Array, labels: pa.Array | None, limit: int, most: int | None, bar: np.ndarray, top: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray | None]:
     """(question, vector) numbers of the block's first ``limit`` of each question at or above its ``bar``, the bars after that, and each question's best scores."""
     if most is None:
-        taken = s >= bar[:, None]
-        if s.shape[1] > limit and taken.sum() > 4 * limit * len(s):
-            taken = s >= np.maximum(bar, np.partition(s, s.shape[1] - limit, axis=1)[:, s.shape[1] - limit])[:, None]
+        some = s >= bar[:, None]
+        if s.shape[1] > limit and some.sum() > 4 * limit * len(s):
+            some = s >= np.maximum(bar, np.partition(s, s.shape[1] - limit, axis=1)[:, s.shape[1] - limit])[:, None]
     else:
         groups = _codes(labels)
         floors, reached = _group_floors(s, groups, most, limit)
         bar = np.maximum(bar, reached)
-        taken = (s >= bar[:, None]) & (s >= floors)
-    q, x = np.nonzero(taken)
+        some = (s >= bar[:, None]) & (s >= floors)
+    q, x = np.nonzero(some)
     order = np.lexsort((_codes(ids)[x], -s[q, x], q))
     q, x = q[order], x[order]
     if most is not None:
@@ -154,7 +154,7 @@ def first(vectors: DataFrame, queries: DataFrame, limit: int, label: str | None
                 q, x, block = _blocks(batch, "q", k), _blocks(batch, "v", k), batch["q_block"][k].as_py()
                 bar, top = tops.pop(block, (np.full(len(q[0]), -np.inf), None))
                 s = _scores(q, x, digits, undefined)
-                i, j, bar, top = _first(s, x[0], x[1], limit, most, bar, top)
+                i, j, bar, top = taken(s, x[0], x[1], limit, most, bar, top)
                 tops[block] = bar, top
                 if len(tops) > KEPT:
                     tops.popitem(last=False)
