@@ -75,3 +75,12 @@ def test_search_dense_with_documents_without_words(spark, wordless):
 
 def test_search_results_with_documents_without_words(spark, wordless):
     assert same_as_sql(spark, wordless, "search_results")
+
+
+def test_nearest_leave_few_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ROWS", 50)
+    x = np.random.default_rng(2).normal(size=(2000, 6))
+    vectors = spark.createDataFrame([(k, v) for k, v in enumerate(x.tolist())], "doc_id long, v array<double>").coalesce(1)
+    queries = vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
+    assert nearest.first(vectors, queries, 10).count() < 0.06 * 20 * 2000
+    assert nearest.first(vectors, queries, 0 + 1, undefined=float("nan")).count() < 0.02 * 20 * 2000
