@@ -84,3 +84,23 @@ def test_nearest_leave_few_pairs(spark, monkeypatch):
     queries = vectors.where("doc_id % 100 = 0").withColumnRenamed("doc_id", "query_id")
     assert nearest.first(vectors, queries, 10).count() < 0.06 * 20 * 2000
     assert nearest.first(vectors, queries, 0 + 1, undefined=float("nan")).count() < 0.02 * 20 * 2000
+
+
+def test_best_by_label_equal_all_pairs(spark, monkeypatch):
+    monkeypatch.setattr(nearest, "ROWS", 40)
+    monkeypatch.setattr(nearest, "ASKED", 3)
+    x = np.random.default_rng(4).integers(-2, 3, (200, 4)).astype(float)
+    x[[5, 77]] = 0
+    labels = [None if k % 11 == 0 else k % 3 for k in range(200)]
+    data = [(k, v, labels[k]) for k, v in enumerate(x.tolist())]
+    vectors = spark.createDataFrame(data, "doc_id long, v array<double>, label int")
+    asked = [k for k in range(200) if k % 20 == 5]
+    u = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+    want = {}
+    for a in asked:
+        for b in range(200):
+            if a != b and None not in (labels[a], labels[b]):
+                key = (a, labels[a] == labels[b])
+                want[key] = max(want.get(key, -9.0), round(float(u[a] @ u[b]), 9))
+    got = nearest.best_by_label(vectors, vectors.where(vectors.doc_id.isin(asked)).withColumnRenamed("doc_id", "query_id")).collect()
+    assert {(r.query_id, r.own): round(r.score, 9) for r in got} == want
